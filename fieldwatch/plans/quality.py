@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwatch.functions.values import MISSING_MARK, usable
+from fieldwatch.functions.values import MISSING_MARK, epoch_micros, usable
+from fieldwatch.operators.controlchart import FieldRule, flag_readings
 from fieldwatch.operators.gridfill import regular_series
 from fieldwatch.session import table
 
@@ -44,7 +45,36 @@ k as (
 n as (select *, lead(k) over (partition by field, station order by k) as nk from k)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_series": p1_series}
+#: Physical limits and what counts as far for each field.
+RULES = [
+    FieldRule("residual", -3000.0, 3000.0, 15.0, relative=True),
+    FieldRule("barometer", 500.0, 1100.0, 10.0),
+    FieldRule("irradiance", -10.0, 1500.0, 300.0, stuck_above=5.0, max_gap_periods=3),
+]
+
+
+def chart_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable residual, barometer and irradiance readings as (field, station, ts_us, row_id, value)."""
+    mag = table(spark, sf, "residuals").where(usable(F.col("residual"), MISSING_MARK)).select(
+        F.lit("residual").alias("field"), F.col("observatory").alias("station"), epoch_micros(F.col("ts")).alias("ts_us"), F.col("reading_id").alias("row_id"), F.col("residual").alias("value"))
+    met = table(spark, sf, "weather_readings")
+    for x in ("barometer", "irradiance"):
+        mag = mag.unionByName(met.where(usable(F.col(x))).select(
+            F.lit(x).alias("field"), "station", epoch_micros(F.col("ts")).alias("ts_us"), F.col("record_id").alias("row_id"), F.col(x).alias("value")))
+    return mag
+
+
+def p2_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Implausible rows with the reason."""
+    return flag_readings(chart_readings(spark, sf), RULES, table(spark, sf, "stations").select("station", "cadence_s"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows flagged for any reason."""
+    return p2_flags(spark, sf).select("field", "row_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_series": p1_series, "p2_found": p2_found, "p2_flags": p2_flags}
 
 SQL = {
     "p1_found": _GRID_SQL
