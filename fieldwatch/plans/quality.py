@@ -9,6 +9,7 @@ from fieldwatch.functions.values import MISSING_MARK, epoch_micros, usable
 from fieldwatch.operators.controlchart import FieldRule, flag_readings
 from fieldwatch.operators.gridfill import regular_series
 from fieldwatch.session import table
+from fieldwatch.sources.rawcsv import judge_lines, typed_rows
 
 
 def grid_readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,9 +75,32 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_flags(spark, sf).select("field", "row_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_series": p1_series, "p2_found": p2_found, "p2_flags": p2_flags}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that fail, with the reason."""
+    return judge_lines(table(spark, sf, "raw_weather_lines")).where("status = 'rejected'").select("line_id", "reason")
+
+
+def p5_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid lines as typed readings."""
+    return typed_rows(judge_lines(table(spark, sf, "raw_weather_lines")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_series": p1_series, "p2_found": p2_found, "p2_flags": p2_flags, "p5_found": p5_found, "p5_rows": p5_rows}
+
+_FIELD = r'("([^"]|"")*"|[^",]*)'
+_LINES_SQL = f"""
+with l as (select line_id, line, regexp_full_match(line, '{_FIELD}(,{_FIELD})*') as quoted from raw_weather_lines where line_no <> 1 and trim(line) <> ''),
+f as (select line_id, quoted, case when quoted then list_transform(regexp_extract_all(',' || line, ',{_FIELD}', 1),
+  lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end) end as f from l),
+v as (select line_id, case when not quoted then 'quoting' when len(f) <> 8 then 'column_count'
+  when not regexp_full_match(f[2], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}') or try_strptime(f[2], '%Y-%m-%d %H:%M') is null then 'invalid_value'
+  when trim(f[3], ' ') <> '' and not coalesce(regexp_full_match(trim(f[3], ' '), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') and try_cast(trim(f[3], ' ') as double) between -90 and 60, false) then 'invalid_value'
+  when trim(f[7], ' ') <> '' and not coalesce(regexp_full_match(trim(f[7], ' '), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') and try_cast(trim(f[7], ' ') as double) between 0 and 36, false) then 'invalid_value'
+  end as reason, f from f)
+"""
 
 SQL = {
+    "p5_found": _LINES_SQL + "select line_id, reason from v where reason is not null",
     "p1_found": _GRID_SQL
     + "select field, station, g * cadence_s as period_start from (select field, station, cadence_s::bigint as cadence_s, unnest(range(k + 1, nk)) as g from n where nk > k + 1)",
 }
