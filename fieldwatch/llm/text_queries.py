@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwatch.llm.abuse import AbuseRule, rates_by_source, score_documents
 from fieldwatch.llm.leaks import find_leaks
 from fieldwatch.session import table
 
@@ -20,5 +21,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_spans(spark, sf).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans}
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of every document."""
+    return score_documents(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents at or above the threshold."""
+    return p8_scores(spark, sf).where(F.col("score") >= AbuseRule().threshold).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates per source."""
+    return rates_by_source(p8_scores(spark, sf))
+
+
+QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
