@@ -6,13 +6,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import lexicon
+from fieldwatch.llm.lexicon import DEMOTED, PATTERNS, SOBER, STRONG, WEAK
 
 OUT = "doc_id long, source string, score double, category string, matches int, quoted boolean"
 
@@ -106,12 +105,11 @@ class Trie:
         return self.find(form, limit_of, child, [1, *range(len(form))]) if child else None
 
 
-@lru_cache(1)
 def _lexicon() -> tuple[frozenset, frozenset, dict[str, str]]:
-    demoted = set(lexicon.DEMOTED.split())
-    category = {w: c for c, text in lexicon.STRONG.items() for w in text.split()}
+    demoted = set(DEMOTED.split())
+    category = {w: c for c, text in STRONG.items() for w in text.split()}
     strong = frozenset(w for w in category if w not in demoted)
-    weak = frozenset(lexicon.WEAK.split()) | demoted
+    weak = frozenset(WEAK.split()) | demoted
     return strong, weak - strong, category
 
 
@@ -212,8 +210,8 @@ class Matcher:
         return found
 
 
-_PATTERNS = [(c, re.compile(p), w) for c, p, w in lexicon.PATTERNS]
-_SOBER = re.compile(lexicon.SOBER)
+_PATTERNS = [(c, re.compile(p), w) for c, p, w in PATTERNS]
+_SOBER = re.compile(SOBER)
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
 _HEADER = re.compile(r"(?mi)^.*\b(?:page|seite|página|folio)\s+\d+\s+(?:of|von|sur|de)\s+\d+.*$")
 _QUOTES = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from fieldwatch.llm.abuse import AbuseRule, rates_by_source, score_documents
 from fieldwatch.llm.leaks import find_leaks
-from fieldwatch.session import table
+from fieldwatch.llm.packing import count_tokens, fill_report, pack
+from fieldwatch.session import materialize, table
+
+
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document with its container, for each kind."""
+    return pack(materialize(count_tokens(table(spark, sf, "documents")), "tokens"), table(spark, sf, "capacities"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and unused room per kind."""
+    return fill_report(p6_packed(spark, sf), table(spark, sf, "capacities"))
 
 
 def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,5 +47,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rates_by_source(p8_scores(spark, sf))
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
