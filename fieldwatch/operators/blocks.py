@@ -58,3 +58,23 @@ def rows_before_gaps(df: DataFrame, keys: list[str], pos: str, values: list[str]
         f"next_{pos} > {pos} + 1 and floor(next_{pos} / {size}) > floor({pos} / {size})"
     )
     return inner.unionByName(outer.select(*inner.columns))
+
+
+def with_halo(df: DataFrame, keys: list[str], pos: str, before: int, after: int = 0, size: int = 4096) -> tuple[DataFrame, list[str]]:
+    """Cut a regular series in blocks whose windows of ``before``/``after`` positions are complete.
+
+    Returns the frame with columns ``_block`` and ``_halo`` and the partition keys for row-frame windows. Rows within
+    ``before`` positions of a block's start also stand in that block as halo, likewise ``after``; take rows with
+    ``not _halo`` once the windows are computed. So a window over a series of any length runs in tasks of bounded size, at
+    the cost of (before + after) / size copied rows. Series must be regular: one row a position.
+    """
+    size = max(size, 2 * (before + after))
+    own = F.floor(F.col(pos) / size).cast("long")
+    first, last = F.floor((F.col(pos) - after) / size).cast("long"), F.floor((F.col(pos) + before) / size).cast("long")
+    cut = df.withColumn("_block", F.explode(F.sequence(first, last))).withColumn("_halo", F.col("_block") != own)
+    return cut, [*keys, "_block"]
+
+
+def done_with_halo(df: DataFrame) -> DataFrame:
+    """Drop copied rows and the block columns."""
+    return df.where("not _halo").drop("_block", "_halo")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldwatch.plans import quality
+from fieldwatch.plans import activity, quality
 
-_MODULES = [quality]
+_MODULES = [activity, quality]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
