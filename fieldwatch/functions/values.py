@@ -33,3 +33,13 @@ def ratio(num: Column, den: Column) -> Column:
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since the epoch of a UTC timestamp with or without zone (session time zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def r9(c) -> Column:
+    """Rounded to nine decimals, ties shifted aside, so that results compare across engines."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-11), 9)
+
+
+def sql9(text: str) -> str:
+    """SQL with the same rounding: every ``round(x, 9)`` shifts ties as ``r9`` does."""
+    return text.replace(", 9)", " + 1e-11, 9)")

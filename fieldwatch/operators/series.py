@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwatch.functions.values import r9
 from fieldwatch.operators.blocks import done_with_halo, rows_before_gaps, with_halo
 
 
@@ -26,7 +27,7 @@ def regular_grid(readings: DataFrame, key: str, seconds: str, value: str, step:
     """(key, k, v): one row for every period of ``step`` seconds between a key's first and last reading; v is the mean of the
     period's values, NULL where there is none. NULL keys and times are left out."""
     k = F.floor(F.col(seconds) / step).cast("long")
-    means = readings.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).groupBy(key, k.alias("k")).agg(F.round(F.avg(value), 9).alias("v"))
+    means = readings.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).groupBy(key, k.alias("k")).agg(r9(F.avg(value)).alias("v"))
     span = means.groupBy(key).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     parts = span.select(key, "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / chunk))).alias("c"))
     at = F.col("lo") + F.col("c") * chunk

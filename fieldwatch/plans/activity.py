@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.functions import tiers
-from fieldwatch.functions.values import known, ratio
+from fieldwatch.functions.values import known, r9, ratio, sql9
 from fieldwatch.operators.series import asof_backward, fill_gaps, median_cadence, rolling
 from fieldwatch.plans.base import CTE, STEP, bulletins, grid, readings
 
 WINDOW = 18  # rows of three hours
 BASE = 36  # rows of the trailing median baseline
-r9 = lambda c: F.round(c, 9)
 
 
 def regular_grid_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,11 +54,6 @@ def amplitude(mode: str, before: int = WINDOW - 1, after: int = 0):
     return query
 
 
-def full(stat: Column, n: int) -> Column:
-    """Statistic of a window of n rows only where all are known; over the window built by ``rolling``."""
-    return stat
-
-
 def rolling_stats(g: DataFrame, value: str, sizes: dict[str, tuple[str, int]]) -> DataFrame:
     """Add trailing statistics that need every row of their window: name -> (median | p75 | max, rows)."""
     from pyspark.sql import Window
@@ -70,7 +64,7 @@ def rolling_stats(g: DataFrame, value: str, sizes: dict[str, tuple[str, int]]) -
         def over(w: Window):
             f = w.rowsBetween(-(n - 1), 0)
             stat = {"median": F.percentile(value, 0.5), "p75": F.percentile(value, 0.75), "max": F.max(value)}[kind]
-            return F.when(F.count(value).over(f) == n, F.round(stat.over(f), 9))
+            return F.when(F.count(value).over(f) == n, r9(stat.over(f)))
 
         return over
 
@@ -79,7 +73,7 @@ def rolling_stats(g: DataFrame, value: str, sizes: dict[str, tuple[str, int]]) -
 
 def magnitude(spark: SparkSession, sf: str) -> DataFrame:
     """Forward-filled grid with the size of its values."""
-    return fill_gaps(grid(spark, sf), "station").select("station", "k", F.round("filled", 9).alias("x")).withColumn("m", F.abs("x"))
+    return fill_gaps(grid(spark, sf), "station").select("station", "k", r9("filled").alias("x")).withColumn("m", F.abs("x"))
 
 
 #: Rows of ten minutes that stand for the detector's windows.
@@ -116,9 +110,9 @@ def spike_reversal(spark: SparkSession, sf: str) -> DataFrame:
 def diff_mad_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     """Differences far from their rolling median, by max(100, 8 * 1.4826 * rolling MAD), full windows of 18 rows."""
     n = WINDOW
-    g = rolling(grid(spark, sf), "station", 1, 0, {"d": lambda w: F.round(F.col("v") - F.lag("v").over(w), 9)})
+    g = rolling(grid(spark, sf), "station", 1, 0, {"d": lambda w: r9(F.col("v") - F.lag("v").over(w))})
     g = rolling(g, "station", n - 1, 0, {"c": F.count("d"), "med": F.percentile("d", 0.5)})
-    g = g.withColumn("dev", F.when(F.col("c") == n, F.round(F.abs(F.col("d") - F.col("med")), 9)))
+    g = g.withColumn("dev", F.when(F.col("c") == n, r9(F.abs(F.col("d") - F.col("med")))))
     g = rolling(g, "station", n - 1, 0, {"c2": F.count("dev"), "mad": F.percentile("dev", 0.5)})
     limit = F.greatest(F.lit(100.0), F.coalesce(F.when(F.col("c2") == n, 8 * 1.4826 * F.col("mad")), F.lit(100.0)))
     return g.select("station", "k", "d", r9(limit).alias("limit"), known(F.col("dev") >= limit).alias("anomaly"))
@@ -126,7 +120,7 @@ def diff_mad_anomaly(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """Filled grid, trailing-median baseline, residual, range amplitude and label: (station, k, r, amp, flag)."""
-    g = fill_gaps(grid(spark, sf), "station").select("station", "k", F.round("filled", 9).alias("x"))
+    g = fill_gaps(grid(spark, sf), "station").select("station", "k", r9("filled").alias("x"))
     g = rolling(g, "station", BASE, -1, {"base": F.percentile("x", 0.5)})
     g = g.select("station", "k", r9(F.col("x") - F.col("base")).alias("r"))
     g = rolling(g, "station", WINDOW - 1, 1, {
@@ -311,3 +305,4 @@ select station, k, d, round(lim, 9) as "limit", coalesce(dev >= lim, false) as a
     "lag_features": _MAG + "select station, k, x, " + ", ".join(f"round(avg(x) over w{n}, 9) as mean_{n}, round(stddev_pop(x) over w{n}, 9) as std_{n}, max(x) over w{n} as max_{n}" for n in (6, 18, 36)) + ", " + ", ".join(f"lag(x, {n}) over w as lag_{n}" for n in (1, 3, 6, 18))
     + " from mg window w as (partition by station order by k), " + ", ".join(f"w{n} as (partition by station order by k rows between {n - 1} preceding and current row)" for n in (6, 18, 36)),
 }
+SQL = {name: sql9(text) for name, text in SQL.items()}
