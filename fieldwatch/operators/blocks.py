@@ -78,3 +78,26 @@ def with_halo(df: DataFrame, keys: list[str], pos: str, before: int, after: int
 def done_with_halo(df: DataFrame) -> DataFrame:
     """Drop copied rows and the block columns."""
     return df.where("not _halo").drop("_block", "_halo")
+
+
+def sessions(df: DataFrame, keys: list[str], pos: str, gap: int, cell: int | None = None) -> DataFrame:
+    """Add ``session``: the first position of the run of rows whose neighbours are at most ``gap`` apart.
+
+    ``pos`` is a LONG and may repeat. Rows are compared inside cells of positions; of each cell only its first and last
+    position and last session start travel to the next cells, so a key of any size spreads over tasks.
+    """
+    size = cell or max(4096, 64 * gap)
+    c = df.withColumn("_cell", F.floor(F.col(pos) / size).cast("long"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(pos)
+    c = c.withColumn("_p", F.lag(pos).over(inside))
+    start = F.when(F.col("_p").isNotNull() & (F.col(pos) - F.col("_p") > gap), F.col(pos))
+    c = c.withColumn("_start", F.last(start, ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = c.groupBy(*keys, "_cell").agg(F.min(pos).alias("_a"), F.max(pos).alias("_b"), F.max("_start").alias("_s"))
+    across = Window.partitionBy(*keys).orderBy("_cell")
+    linked = F.coalesce(F.col("_a") - F.lag("_b").over(across) <= gap, F.lit(False))
+    ends = ends.withColumn("_opens", F.when(~linked, F.col("_a")))
+    # a cell's first run began at the last break before or at the cell's first row
+    carry = F.last(F.coalesce("_s", "_opens"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), F.coalesce("_opens", carry).alias("_from"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_cell") == F.col("_c")]
+    return c.join(ends, on).withColumn("session", F.coalesce("_start", "_from")).select(*df.columns, "session")
