@@ -101,3 +101,13 @@ def sessions(df: DataFrame, keys: list[str], pos: str, gap: int, cell: int | Non
     ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), F.coalesce("_opens", carry).alias("_from"))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_cell") == F.col("_c")]
     return c.join(ends, on).withColumn("session", F.coalesce("_start", "_from")).select(*df.columns, "session")
+
+
+def positions(df: DataFrame, keys: list[str], pos: str, out: str = "i", size: int = 4096) -> DataFrame:
+    """Add ``out``: the 1-based rank of each row within its series, positions being distinct. Rows are ranked inside blocks of
+    positions; the blocks' counts, one row a block, are summed along the series."""
+    cut = df.withColumn("_block", F.floor(F.col(pos) / size).cast("long"))
+    local = cut.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(pos)))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return local.join(base, [*keys, "_block"]).withColumn(out, (F.col("_base") + F.col("_r")).cast("long")).select(*df.columns, out)

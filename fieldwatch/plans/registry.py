@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldwatch.plans import activity, detector, quality
+from fieldwatch.plans import activity, detector, forecasting, quality
 
-_MODULES = [activity, detector, quality]
+_MODULES = [activity, detector, forecasting, quality]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
