@@ -111,3 +111,14 @@ def positions(df: DataFrame, keys: list[str], pos: str, out: str = "i", size: in
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return local.join(base, [*keys, "_block"]).withColumn(out, (F.col("_base") + F.col("_r")).cast("long")).select(*df.columns, out)
+
+
+def forward_fill(df: DataFrame, keys: list[str], pos: str, column: str, out: str, size: int = 4096) -> DataFrame:
+    """Add ``out``: the last known value of ``column`` at or before each row. Positions are distinct. Inside a block this is a
+    window; into a block comes the last value of the blocks before, of which only one row each travels."""
+    cut = df.withColumn("_block", F.floor(F.col(pos) / size).cast("long"))
+    local = cut.withColumn("_l", F.last(column, ignorenulls=True).over(Window.partitionBy(*keys, "_block").orderBy(pos)))
+    lasts = cut.groupBy(*keys, "_block").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(pos))).alias("_v"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, "_block", F.last("_v", ignorenulls=True).over(before).alias("_c"))
+    return local.join(carried, [*keys, "_block"]).withColumn(out, F.coalesce("_l", "_c")).select(*df.columns, out)
