@@ -100,6 +100,8 @@ v as (select line_id, case when not quoted then 'quoting' when len(f) <> 8 then
 """
 
 SQL = {
+    "p5_rows": _LINES_SQL + "select r.line_id, r.file_name, r.line_no, f[1] as station_id, strptime(f[2], '%Y-%m-%d %H:%M') as ts, try_cast(trim(f[3]) as double) as temperature, try_cast(trim(f[4]) as double) as humidity_prec, "
+    "try_cast(trim(f[5]) as double) * 10 as barometer, try_cast(trim(f[6]) as double) * 1000 / 3600 as wind_speed, try_cast(trim(f[7]) as double) * 10 as wind_direction, nullif(trim(f[8]), '') as weather from v join raw_weather_lines r on v.line_id = r.line_id where reason is null",
     "p5_found": _LINES_SQL + "select line_id, reason from v where reason is not null",
     "p1_found": _GRID_SQL
     + "select field, station, g * cadence_s as period_start from (select field, station, cadence_s::bigint as cadence_s, unnest(range(k + 1, nk)) as g from n where nk > k + 1)",
