@@ -52,7 +52,7 @@ def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) ->
     """Suspected flags and scale of every reading. ``starts``: first reading of each series in ``v``; ``steps``: by reading,
     a distance from the last accepted value that is suspicious at any scale (infinite where there is none).
 
-    Series are cut in lanes that run side by side. A lane starts from median and absolute deviation of its first readings,
+    Series are cut in lanes that run side by side. A lane starts from the median and the median step of its first readings,
     clips suspected values before they move mean and scale, and after more than ``accept_after`` suspected values in a row
     takes the new level. Series shorter than the warm-up are suspected as a whole: the chart knows nothing yet.
     """
@@ -72,8 +72,10 @@ def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) ->
     at = lo[:, None] + np.arange(c.warm)
     head = np.where(at < series_end[:, None], v[np.minimum(at, n - 1)], np.nan)
     level = np.nanmedian(head, axis=1)
-    sc = 1.4826 * np.nanmedian(np.abs(head - level[:, None]), axis=1)
-    sc = np.maximum(sc, 1e-3)
+    # differences tell the scatter even where the level shifts inside the warm-up
+    steps_seen = np.abs(np.diff(head, axis=1))
+    steps_seen[np.isnan(steps_seen).all(axis=1), 0] = 0.0
+    sc = np.maximum(np.nanmedian(steps_seen, axis=1) / 0.954, 1e-3)
     floor = np.maximum(sc * 0.25, 1e-3)
     prev, run = level.copy(), np.zeros(len(lo), int)
     for k in range(c.lane + c.warm):

@@ -58,10 +58,10 @@ def parse_props_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orders_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders per day as a regular series with empty days."""
+    """Mean price (thousands) of orders per day and priority as a regular series with empty days."""
     from fieldwatch.operators.series import regular_grid
 
-    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("station"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("s"), F.col("o_totalprice").alias("v"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("station"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("s"), (F.col("o_totalprice") / 1000).alias("v"))
     return regular_grid(o, "station", "s", "v", 86400).select("station", "k", "v")
 
 
@@ -73,5 +73,5 @@ SQL = {
     "dst_fixed_width": _IX + "select station, s // 3600 * 3600 as s, trunc(min(dst))::int as dst from ix where dst between -999 and 9998 group by station, s // 3600",
     "envelope_roundtrip": "select record_id as sequence_number, epoch_us(ts) as us, " + ", ".join(f"case when isnan({f}) then null else {f} end as {f}" for f in FIELDS) + " from weather_readings",
     "parse_props_json": "select event_id, (props->>'k')::int as k from events",
-    "orders_daily": "with o as (select o_orderpriority as station, (epoch_us(o_orderdate) // 86400000000)::bigint as k, avg(o_totalprice) as v from orders group by 1, 2), b as (select station, min(k) as a, max(k) as b from o group by 1), g as (select station, unnest(range(a, b + 1)) as k from b) select g.station, g.k, round(o.v + 1e-11, 9) as v from g left join o on g.station = o.station and g.k = o.k",
+    "orders_daily": "with o as (select o_orderpriority as station, (epoch_us(o_orderdate) // 86400000000)::bigint as k, avg(o_totalprice / 1000) as v from orders group by 1, 2), b as (select station, min(k) as a, max(k) as b from o group by 1), g as (select station, unnest(range(a, b + 1)) as k from b) select g.station, g.k, round(o.v + 1e-11, 9) as v from g left join o on g.station = o.station and g.k = o.k",
 }

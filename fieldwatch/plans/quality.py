@@ -99,7 +99,37 @@ v as (select line_id, case when not quoted then 'quoting' when len(f) <> 8 then
   end as reason, f from f)
 """
 
+def _spikes_sql() -> str:
+    """Runs of one to three readings far from both sides, as one branch a length."""
+    out = []
+    for r in (1, 2, 3):
+        a, b = "lag(v) over w", f"lead(v, {r}) over w"
+        inner = [f"lead(v, {k}) over w" if k else "v" for k in range(r)]
+        far = "least(" + ", ".join(f"abs({x} - {a}), abs({x} - {b})" for x in inner) + ")"
+        gap = f"greatest(us - lag(us) over w, lead(us, {r}) over w - " + (f"lead(us, {r - 1}) over w" if r > 1 else "us") + ")"
+        ends = f"lead(us, {r - 1}) over w" if r > 1 else "us"
+        out.append(f"select field, station, us as u0, {ends} as u1, {a} as a, {b} as b, {far} as far, {gap} as gap from d window w as (partition by field, station order by us)")
+    return " union all ".join(out)
+
+
+_CHART_SQL = f"""
+with r as (select 'residual' as field, observatory as station, epoch_us(ts) as us, reading_id as id, residual as v from residuals where residual is not null and not isnan(residual) and not isinf(residual) and residual <> 99999.0
+  union all select 'barometer', station, epoch_us(ts), record_id, barometer from weather_readings where barometer is not null and not isnan(barometer) and not isinf(barometer)
+  union all select 'irradiance', station, epoch_us(ts), record_id, irradiance from weather_readings where irradiance is not null and not isnan(irradiance) and not isinf(irradiance)),
+d as (select field, station, us, arg_min(v, id) as v from r group by 1, 2, 3),
+s as (select field, station, median(abs(x)) / 0.954 as sigma from (select field, station, v - lag(v) over (partition by field, station order by us) as x from d) group by 1, 2),
+l as (select s.field, s.station, case s.field when 'residual' then 15 * sigma when 'barometer' then 10 else 300 end as lim, t.cadence_s from s left join stations t on t.station = s.station),
+c as ({_spikes_sql()}),
+k as (select c.*, lim from c join l on c.field = l.field and c.station = l.station where abs(a - b) < lim and far > lim and (c.field <> 'irradiance' or gap <= 3 * cadence_s * 1000000)),
+g as (select *, sum(n) over (partition by field, station order by us) as g from (select *, case when v = lag(v) over (partition by field, station order by us) then 0 else 1 end as n from d)),
+u as (select field, station, g, min(us) as u0, max(us) as u1, min(v) as v from g group by 1, 2, 3 having count(*) >= 12)
+select field, id as row_id from r where (field = 'residual' and abs(v) > 3000) or (field = 'barometer' and (v < 500 or v > 1100)) or (field = 'irradiance' and (v < -10 or v > 1500))
+union select r.field, r.id from r join k on r.field = k.field and r.station = k.station and r.us between k.u0 and k.u1 and least(abs(r.v - k.a), abs(r.v - k.b)) > k.lim
+union select r.field, r.id from r join u on r.field = u.field and r.station = u.station and r.us between u.u0 and u.u1 and r.v = u.v where r.field <> 'irradiance' or r.v > 5
+"""
+
 SQL = {
+    "p2_found": _CHART_SQL,
     "p5_rows": _LINES_SQL + "select r.line_id, r.file_name, r.line_no, f[1] as station_id, strptime(f[2], '%Y-%m-%d %H:%M') as ts, try_cast(trim(f[3]) as double) as temperature, try_cast(trim(f[4]) as double) as humidity_prec, "
     "try_cast(trim(f[5]) as double) * 10 as barometer, try_cast(trim(f[6]) as double) * 1000 / 3600 as wind_speed, try_cast(trim(f[7]) as double) * 10 as wind_direction, nullif(trim(f[8]), '') as weather from v join raw_weather_lines r on v.line_id = r.line_id where reason is null",
     "p5_found": _LINES_SQL + "select line_id, reason from v where reason is not null",
