@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.session import materialize
+from fieldwatch.session import materialize, partitions_for
 
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
@@ -221,7 +221,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule
         limit = max(rule.formula_share * total, rule.formula_least)
         usual = hits.select(F.explode("hits").alias("g")).groupBy("g").count().where(F.col("count") > limit)
         common = {r.g for r in usual.select("g").collect()}  # at most as many as the broadcast set has
-        found = hits.where("text is not null").select("doc_id", "text").repartition(max(1, spark.sparkContext.defaultParallelism))
+        found = hits.where("text is not null").select("doc_id", "text")
+        found = found.repartition(partitions_for(total, 20_000, spark.sparkContext.defaultParallelism))
         found = found.mapInArrow(_verifier(broadcast, common, rule), "doc_id long, item_id string, share double, spans array<struct<first: int, last: int>>")
         found = materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)

@@ -29,6 +29,7 @@ class PackRule:
     slack: int = 1  # classes that a pattern may leave empty
     long_part: int = 4  # where documents are short against the capacity, patterns hold one of at least capacity / long_part
     most_capacity: int = 1_000_000  # the histogram that the driver sees has at most so many lengths a container kind
+    most_kinds: int = 64  # more kinds of containers are an error, none is dropped
     block_rows: int = 50_000
 
 
@@ -229,11 +230,14 @@ class Plan:
         self.left[length] -= n
 
 
-def pieces_of(tokens: DataFrame, capacities: DataFrame) -> DataFrame:
+def pieces_of(tokens: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """(container_kind, capacity_tokens, doc_id, piece_no, start_token, n_tokens): whole documents, or cuts of those that
-    alone exceed the capacity."""
+    alone exceed the capacity, once for every kind of (name, capacity)."""
+    each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(int(c)).alias("capacity_tokens")) for k, c in kinds])
+    if not kinds:
+        each = each.cast("array<struct<container_kind: string, capacity_tokens: int>>")
     c = F.col("capacity_tokens").cast("long")
-    cut = tokens.where("n > 0").join(F.broadcast(capacities.select("container_kind", "capacity_tokens")))
+    cut = tokens.where("n > 0").select("doc_id", "n", F.explode(each).alias("_c")).select("doc_id", "n", "_c.*")
     numbered = cut.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / c).cast("int"))))
     start = F.col("piece_no") * c
     return numbered.select("container_kind", "capacity_tokens", "doc_id", "piece_no", start.alias("start_token"), F.least(c, F.col("n") - start).alias("n_tokens"))
@@ -270,8 +274,11 @@ def pack(tokens: DataFrame, capacities: DataFrame, rule: PackRule = PackRule())
     long one); what remains is packed best-fit in counts, into room left by the patterns too. Pieces are ranked within their length in blocks, so that a length of any
     frequency spreads over tasks, and find their container by rank.
     """
-    kinds = capacities.where(f"container_kind is not null and capacity_tokens between 1 and {rule.most_capacity}")
-    pieces = materialize(pieces_of(tokens, kinds), "pieces")
+    sound = capacities.where(f"container_kind is not null and capacity_tokens between 1 and {rule.most_capacity}")
+    rows = sound.select("container_kind", "capacity_tokens").distinct().limit(rule.most_kinds + 1).collect()
+    if len(rows) > rule.most_kinds:
+        raise ValueError(f"more than {rule.most_kinds} kinds of containers")
+    pieces = materialize(pieces_of(tokens, sorted((r.container_kind, r.capacity_tokens) for r in rows)), "pieces")
     histogram = pieces.groupBy("container_kind", "capacity_tokens", "n_tokens").count().collect()
     counts: dict[str, np.ndarray] = {}
     for r in histogram:
