@@ -54,7 +54,7 @@ def rows_before_gaps(df: DataFrame, keys: list[str], pos: str, values: list[str]
     inner = kept.where(f"next_{pos} > {pos} + 1").select(*keys, *cols, *[f"next_{c}" for c in cols])
     ends = kept.where(f"_first or next_{pos} is null").select(*keys, *cols)
     # first and last rows of blocks in order: the row after a block's last is the first of the next block that has one
-    outer = with_next(ends, keys, pos, values, size * size, 2).where(
+    outer = with_next(ends, keys, pos, values, size * size, 1).where(
         f"next_{pos} > {pos} + 1 and floor(next_{pos} / {size}) > floor({pos} / {size})"
     )
     return inner.unionByName(outer.select(*inner.columns))

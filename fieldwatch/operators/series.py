@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldwatch.functions.values import r9
 from fieldwatch.operators.blocks import done_with_halo, rows_before_gaps, with_halo
+from fieldwatch.session import materialize
 
 
 def median_cadence(readings: DataFrame, key: str, seconds: str) -> DataFrame:
@@ -40,7 +41,9 @@ def fill_gaps(grid: DataFrame, key: str, limit: int = 3, both: bool = False) ->
 
     After a key's last value the first ``limit`` NULLs carry it on; before its first value the last ``limit`` NULLs take it
     with ``both`` and stay NULL without. Only gap edges travel: a gap of any length costs one row and its filled periods.
+    The grid is written once, since several branches read it.
     """
+    grid = materialize(grid, "grid")
     seen = grid.where("v is not null").select(key, "k", "v")
     span = seen.groupBy(key).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min_by("v", "k").alias("first"), F.max_by("v", "k").alias("last"))
     ends = grid.groupBy(key).agg(F.min("k").alias("glo"), F.max("k").alias("ghi")).join(span, key)

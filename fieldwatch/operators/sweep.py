@@ -13,19 +13,19 @@ def bucket(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= value)))
 
 
-def grid(spark, minors: list[float], majors: list[float], severes: list[float]) -> DataFrame:
+def grid(minors: list[float], majors: list[float], severes: list[float]) -> list[tuple[float, float, float]]:
     """Candidates (minor, major, severe) in increasing order."""
-    rows = [(a, b, c) for a in minors for b in majors for c in severes if a < b < c]
-    return spark.createDataFrame(rows, "minor double, major double, severe double")
+    return [(float(a), float(b), float(c)) for a in minors for b in majors for c in severes if a < b < c]
 
 
-def sweep(rows: DataFrame, period: str, candidates: DataFrame, cuts: list[float], unsettled: float, active: float) -> DataFrame:
+def sweep(rows: DataFrame, period: str, candidates: list[tuple[float, float, float]], cuts: list[float], unsettled: float, active: float) -> DataFrame:
     """Scores of every (candidate, period): rows (period, amp, gl) are reduced to counts by period, global level and amplitude
-    bucket, which is all that the candidates need; the candidates are joined to those few rows."""
+    bucket, which is all that the candidates need; each of those few rows then meets each candidate."""
     cuts = sorted({*cuts, unsettled, active})
     counts = rows.groupBy(period, "gl", bucket(F.col("amp"), cuts).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     low = F.element_at(F.array(*[F.lit(float(c)) for c in [-1e308, *cuts]]), F.col("b") + 1)  # the largest cut a row reaches
-    c = counts.withColumn("low", F.when(F.col("b").isNotNull(), low)).join(F.broadcast(candidates))
+    each = F.array(*[F.struct(F.lit(x).alias("minor"), F.lit(y).alias("major"), F.lit(z).alias("severe")) for x, y, z in candidates])
+    c = counts.withColumn("low", F.when(F.col("b").isNotNull(), low)).select("*", F.inline(each))
     level = F.when(F.col("low").isNull(), F.lit(None).cast("int")).when(F.col("low") >= F.col("major"), 4).when(F.col("low") >= F.col("minor"), 3).when(F.col("low") >= active, 2).when(F.col("low") >= unsettled, 1).otherwise(0)
     c = c.withColumn("ll", level)
     n = lambda cond: F.sum(F.when(known(cond), F.col("n")).otherwise(0))
@@ -116,12 +116,15 @@ def brier_logloss(rows: DataFrame) -> DataFrame:
 
 def pooled_sufficiency(cases: DataFrame, classes: list[str], station: int = 4, year: int = 8, pooled: int = 12) -> DataFrame:
     """One row (sufficient): every (observatory, year, class), (year, class) and class has enough cases, missing ones failing.
-    ``cases`` has (observatory, year, class_name); no cases at all is insufficient. The product is of distinct values."""
-    spark = cases.sparkSession
-    kinds = spark.createDataFrame([(c,) for c in classes], "class_name string")
-    counts = cases.groupBy("observatory", "year", "class_name").agg(F.count(F.lit(1)).alias("n"))
-    full = counts.select("observatory").distinct().join(F.broadcast(counts.select("year").distinct())).join(F.broadcast(kinds)).join(counts, ["observatory", "year", "class_name"], "left").na.fill(0, ["n"])
-    a = full.agg(F.min("n").alias("m"), F.count(F.lit(1)).alias("c"))
-    b = full.groupBy("year", "class_name").agg(F.sum("n").alias("n")).agg(F.min("n").alias("m2"))
-    d = full.groupBy("class_name").agg(F.sum("n").alias("n")).agg(F.min("n").alias("m3"))
-    return a.join(F.broadcast(b)).join(F.broadcast(d)).select(F.coalesce((F.col("c") > 0) & (F.col("m") >= station) & (F.col("m2") >= year) & (F.col("m3") >= pooled), F.lit(False)).alias("sufficient"))
+    ``cases`` has (observatory, year, class_name); no cases at all is insufficient. One pass with grouping sets: as many
+    combinations must have enough cases as there can be."""
+    rows = cases.where(F.col("class_name").isin(classes))
+    keys = ["observatory", "year", "class_name"]
+    n = rows.groupingSets([keys, keys[1:], keys[2:]], *keys).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    # observatories and years of any class count as combinations that must be there
+    dims = cases.groupBy("observatory", "year").agg(F.lit(0).cast("long").alias("n")).select("observatory", "year", F.lit(None).cast("string").alias("class_name"), "n", F.lit(-1).cast("long").alias("g"))
+    both = n.select(*keys, "n", F.col("g").cast("long").alias("g")).unionByName(dims)
+    g, k = F.col("g"), len(classes)
+    o, y = F.count_distinct(F.when(g == -1, F.col("observatory"))), F.count_distinct(F.when(g == -1, F.col("year")))
+    enough = lambda level, least: F.count_if((g == level) & (F.col("n") >= least))
+    return both.agg(((o > 0) & (enough(0, station) == o * y * k) & (enough(4, year) == y * k) & (enough(6, pooled) == k)).alias("sufficient"))

@@ -30,7 +30,7 @@ def quiet_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     rows = activity.checked(spark, sf).select("station", "amp", "gl")
-    return sw.sweep(rows, "station", sw.grid(spark, MINORS, MAJORS, SEVERES), MINORS + MAJORS + SEVERES, 20.0, 30.0)
+    return sw.sweep(rows, "station", sw.grid(MINORS, MAJORS, SEVERES), MINORS + MAJORS + SEVERES, 20.0, 30.0)
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:

@@ -120,7 +120,7 @@ d as (select field, station, us, arg_min(v, id) as v from r group by 1, 2, 3),
 s as (select field, station, median(abs(x)) / 0.954 as sigma from (select field, station, v - lag(v) over (partition by field, station order by us) as x from d) group by 1, 2),
 l as (select s.field, s.station, case s.field when 'residual' then 15 * sigma when 'barometer' then 10 else 300 end as lim, t.cadence_s from s left join stations t on t.station = s.station),
 c as ({_spikes_sql()}),
-k as (select c.*, lim from c join l on c.field = l.field and c.station = l.station where abs(a - b) < lim and far > lim and (c.field <> 'irradiance' or gap <= 3 * cadence_s * 1000000)),
+k as (select c.*, lim from c join l on c.field = l.field and c.station = l.station where abs(a - b) < lim and far > lim and (c.field <> 'irradiance' or gap <= 3 * cadence_s::bigint * 1000000)),
 g as (select *, sum(n) over (partition by field, station order by us) as g from (select *, case when v = lag(v) over (partition by field, station order by us) then 0 else 1 end as n from d)),
 u as (select field, station, g, min(us) as u0, max(us) as u1, min(v) as v from g group by 1, 2, 3 having count(*) >= 12)
 select field, id as row_id from r where (field = 'residual' and abs(v) > 3000) or (field = 'barometer' and (v < 500 or v > 1100)) or (field = 'irradiance' and (v < -10 or v > 1500))

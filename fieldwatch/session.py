@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _discard(path: str) -> None:
+    """Remove a written table when the driver ends, where the shared folder is mounted here."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        atexit.register(shutil.rmtree, url.path, ignore_errors=True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors and
     gives the optimizer real sizes. Every call has a folder of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _discard(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
