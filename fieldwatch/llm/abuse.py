@@ -154,7 +154,9 @@ class Matcher:
             return form
         n = len(form)
         letters = sum(c.isalpha() for c in form)
-        if n < 3 or n > 24 or letters < 2 or letters * 2 < n - 1:
+        if n < 3 or n > 24 or letters < 1 or letters * 2 < n - 1 and any(c in HIDES for c in form):
+            return None
+        if letters < 2 and (n < 4 or any(c not in STANDS_FOR and not c.isalpha() for c in form)):
             return None
         if letters < n:  # something stands for letters: nothing else may differ
             if form[0] in HIDES or not form[-1].isalnum() and form[-1] not in HIDES:

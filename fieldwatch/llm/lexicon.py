@@ -36,10 +36,14 @@ WEAK = """
     sau schwein schweine ratte ratten maul fresse schnauze hund nackt geleckt schwanz menschen ertranken vergasen erde zahne umbringen knie
     ordure ordures porc porcs chienne rat rats vermine noyer humains gueule dents sucer nue genoux pendre peau
     cerdo cerda cerdos zorra zorras rata ratas perra perro escoria basura personas callate dientes desnuda rodillas lamer ahogar imbecil
+    plaga parasitos alimanas echarlos ahogarlos colgarlos quemarlos exterminarlos matarlos humanos rompo quemo mato
+    racaille bruler gazer tuer egorge creve demolis bute
+    tiere dreck ausgerottet ausrotten vergast aufhangen erschiessen
+    hang drown exterminate savages lampposts cockroach
     you your yourself du dich dir toi tu ta cretin
 """
 
-_ADJ = "(?:stupid|filthy|disgusting|lying|rotten|worthless|miserable|dirty|fat|ugly|pathetic|useless|little|bloody|damn|damned|fucking|old|dumb|lazy|greedy|sick|vile|nasty)"
+_ADJ = "(?:stupid|filthy|disgusting|lying|rotten|worthless|miserable|dirty|fat|ugly|pathetic|useless|little|bloody|damn|damned|fucking|old|dumb|lazy|greedy|sick|vile|nasty|spineless|gutless|brainless|heartless|shameless|mindless|hopeless|hideous|idiotic|revolting|repulsive|wretched|treacherous|sneaky|slimy|cowardly|crooked|arrogant|ignorant|foul|loathsome|contemptible|despicable|smelly|stinking|thieving)"
 _BAD_EN = "(?:bitch|bastard|pig|rat|dog|swine|cow|ape|monkey|vermin|scum|filth|parasite|cockroach|moron|imbecile|cretin|idiot|crap|shit|prick|cock|dick|ass|whore|slut|waste of (?:breath|space|skin|air)|(?:piece|sack|pile|bag|lump) of (?:shit|crap|filth|dirt|garbage|trash))s?"
 _BAD_DE = "(?:sau|schwein|ratte|hund|hure|schlampe|drecksau|missgeburt|fotze|idiot|affe|ziege|kuh|stuck (?:dreck|scheisse))n?"
 _BAD_FR = "(?:ordure|porc|chienne|rat|vermine|salope|connard|encule|pute|batard|abruti|cretin|idiot|merde|chien|raclure|fils de pute)s?"
@@ -50,15 +54,16 @@ _HARM_EN = "(?:kill|cut|slit|break|smash|burn|bury|beat|stab|shoot|strangle|crus
 PATTERNS = [
     ("insult", rf"\b(?:you|your|u)(?: \w+){{0,3}} {_BAD_EN}\b", 1.0),
     ("insult", rf"\b{_ADJ} {_BAD_EN}\b(?: you are)?", 0.9),
+    ("insult", rf"\b{_BAD_EN} you are\b", 0.9),
     ("insult", rf"\blisten {_BAD_EN}\b", 0.9),
     ("insult", r"\b(?:shut your (?:mouth|face|trap)|go to hell|burn in hell|rot in hell|drop dead)\b", 0.9),
     ("insult", r"\b(?:piece|sack|pile|bag) of (?:shit|crap)\b", 0.9),
     ("insult", rf"\b(?:du|dich|ihr|sie)(?: \w+){{0,2}} {_BAD_DE}\b", 0.9),
-    ("insult", r"\b(?:dreckige|dumme|verlogene|elende|blode|fette|widerliche|faule|miese)[rsn]? (?:sau|schwein|ratte|hund|hure|schlampe|fotze|ziege|kuh|idiot|missgeburt|drecksau)\b", 0.9),
+    ("insult", r"\b(?:dreckige|dumme|verlogene|elende|blode|fette|widerliche|faule|miese|feige|ekelhafte|nutzlose|erbarmliche|stinkende|schmierige)[rsn]? (?:sau|schwein|ratte|hund|hure|schlampe|fotze|ziege|kuh|idiot|missgeburt|drecksau)\b", 0.9),
     ("insult", r"\bhalt (?:\w+ ){0,3}(?:maul|fresse|schnauze|klappe)\b", 0.9),
-    ("insult", rf"\b(?:sale|pauvre|miserable|espece de|gros|grosse|petit|petite)s? {_BAD_FR}\b", 0.9),
+    ("insult", rf"\b(?:sale|pauvre|miserable|espece de|gros|grosse|petit|petite|vieux|vieille|immonde|infecte)s? {_BAD_FR}\b", 0.9),
     ("insult", rf"\b(?:encore un mot|ta gueule|ferme la|va te faire|tais toi)\b", 0.8),
-    ("insult", rf"\b(?:asqueros[oa]|maldit[oa]|miserable|puer[oc]+[oa]|suci[oa]|estupid[oa]|jodid[oa]) {_BAD_ES}\b", 0.9),
+    ("insult", rf"\b(?:asqueros[oa]|maldit[oa]|miserable|puer[oc]+[oa]|suci[oa]|estupid[oa]|jodid[oa]|inutil|cobarde|repugnante|mentiros[oa]) {_BAD_ES}\b", 0.9),
     ("insult", rf"\b(?:callate|eres una?|vete a la)(?: \w+){{0,2}} {_BAD_ES}\b", 0.9),
     ("insult", r"\bhij[oa]s? de (?:la gran )?(?:puta|perra)\b|\bfils de pute\b|\bsons? of a bitch\b", 1.0),
     ("threat", rf"\b(?:i|we) (?:will|shall|am going to|are going to|ll|swear i will)(?: \w+){{0,3}} {_HARM_EN}(?: \w+){{0,5}} (?:you|your|yours)\b", 1.0),
@@ -70,9 +75,9 @@ PATTERNS = [
     ("hate", r"\bare (?:all )?(?:vermin|scum|rats|parasites|animals|filth|cockroaches|savages|apes|pigs|not human|no human)\b", 1.0),
     ("hate", r"\b(?:breed like|thieves by blood|driven into the sea|from the lamp ?posts|deserve to (?:breathe|live|exist))\b|\bbreathe our air\b", 1.0),
     ("hate", rf"\b(?:hang|drown|gas|exterminate|deport|shoot) (?:all|the|every|these|those)(?: \w+){{1,4}} (?:from the|every one|like)\b", 1.0),
-    ("hate", r"\bkeine (?:richtigen )?menschen\b|\b(?:ertranken|vergasen|aufhangen|erschiessen|ausrotten)\b(?=.{0,30}$)|\bsind (?:alle )?(?:ungeziefer|ratten|abschaum|tiere|parasiten|dreck)\b|\bvermehren sich wie\b", 1.0),
+    ("hate", r"\bkeine (?:richtigen )?menschen\b|\b(?:ertranken|vergasen|aufhangen|erschiessen|ausrotten|ausgerottet)\b(?=.{0,30}$)|\bsind (?:alle )?(?:ungeziefer|ratten|abschaum|tiere|parasiten|dreck)\b|\bvermehren sich wie\b", 1.0),
     ("hate", r"\bne sont pas des (?:etres )?(?:humains|hommes)\b|\bsont (?:tous )?(?:de la (?:vermine|racaille)|des (?:rats|animaux|parasites|sous hommes))\b|\b(?:tous|toutes) les (?:noyer|pendre|bruler|gazer|tuer)\b|\bles (?:noyer|pendre|gazer) tous\b", 1.0),
-    ("hate", r"\bno son (?:personas|humanos|seres humanos|gente)\b|\bson (?:todos )?(?:ratas|escoria|basura|animales|parasitos|una plaga|alimanas)\b|\b(?:ahogarlos|colgarlos|quemarlos|exterminarlos)\b", 1.0),
+    ("hate", r"\bno son (?:personas|humanos|seres humanos|gente)\b|\bson (?:todos )?(?:ratas|escoria|basura|animales|parasitos|(?:una )?plaga|alimanas|parasitos)\b|\b(?:ahogarlos|colgarlos|quemarlos|exterminarlos|matarlos)\b|\bhay que echarlos\b", 1.0),
     ("sexual", r"\b(?:his|my|your|a) (?:cock|dick)\b|\bsuck(?:ed|ing)? (?:him|his|my|me|it)\b|\bmade (?:her|him) kneel\b|\bkneel naked\b|\bcame all over\b|\blick(?:ed|ing)? (?:her|him|his|you)\b|\btouch(?:ed|ing)? (?:himself|herself|myself) while\b|\bwhile she undressed\b|\buntil she orgasm(?:ed)?\b|\brubbed her\b|\bher (?:tits|pussy|ass|cunt|nipples)\b|\bspread her (?:legs|thighs)\b", 1.0),
     ("sexual", r"\b(?:sie|ihn|ihr)(?: \w+){0,5} (?:gefickt|geblasen|geleckt|gevogelt)\b|\bnackt auf den knien\b|\bschwanz in\b|\b(?:ihre|die) (?:titten|muschi)\b|\bgeleckt bis sie\b", 1.0),
     ("sexual", r"\b(?:l ?avoir|avait) (?:\w+ ){0,2}baisee\b|\b(?:a|le|la) (?:le |la )?sucer\b|\bsucer nue\b|\bnue et a genoux\b|\bseins nus\b|\blechee? jusqu\b", 1.0),
