@@ -31,8 +31,11 @@ class LeakRule:
     formula_share: float = 0.02  # n-grams in more than this share of the documents are formulas
     formula_least: int = 3  # and in more than so many documents, for small corpora
     rare: float = 0.45  # rare n-grams a covered word: words that merely recur in other order have few
+    edited: float = 0.6  # where so much of an item is covered, many words may have been changed,
+    rare_edited: float = 0.25  # and so few rare n-grams suffice
+    least_words: int = 24  # covered words in all (or most of a shorter item): usual phrases in a row come to some twenty
     gap: int = 9  # words that may be changed between two matches
-    least_place: int = 12  # words a place must cover: shorter scraps are no leak
+    least_place: int = 14  # words a place must cover: shorter scraps are no leak
     drift: int = 3  # words that may be put in or left out there
     inserted: int = 16  # words a page header may put in between
     most_words: int = 2_000_000  # words of the items that are broadcast at once
@@ -79,7 +82,7 @@ def _scanner(broadcast, rule: LeakRule):
         least = []
         for i, (_, passage) in enumerate(items):
             w = words(passage)
-            least.append(max(1, rule.rare * rule.share * len(w)))
+            least.append(max(1, min(rule.rare * rule.share, rule.rare_edited * rule.edited) * len(w)))
             for g in set(grams(w, rule.n)):
                 of[index[g]].append(i)
         for batch in batches:
@@ -171,7 +174,7 @@ def _verifier(broadcast, common: set[int], rule: LeakRule):
                         rare[i].append(b)
                 for i, where in rare.items():
                     item = split[i]
-                    if len(where) < rule.rare * rule.share * len(item):
+                    if len(where) < min(rule.rare * rule.share, rule.rare_edited * rule.edited) * len(item):
                         continue
                     covered: set[int] = set()
                     spans: list[tuple[int, int]] = []
@@ -183,7 +186,9 @@ def _verifier(broadcast, common: set[int], rule: LeakRule):
                             covered |= new
                             spans.append((first, last))
                     seen = len({g5[b] for b in where if any(f <= b <= e for f, e in spans)})
-                    if len(covered) >= rule.share * len(item) and seen >= rule.rare * len(covered):
+                    enough = max(rule.share * len(item), min(rule.least_words, 0.8 * len(item)))
+                    told = rule.rare_edited if len(covered) >= rule.edited * len(item) else rule.rare
+                    if len(covered) >= enough and seen >= told * len(covered):
                         out["doc_id"].append(doc)
                         out["item_id"].append(items[i][0])
                         out["share"].append(len(covered) / len(item))

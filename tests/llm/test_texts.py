@@ -86,7 +86,7 @@ def test_leaks(spark):
     shuffled = [" ".join(w[i: i + 4]) for i in range(0, 60, 4)]
     rnd.shuffle(shuffled)
     docs = {
-        1: passage(rnd, 300), 2: passage(rnd, 50) + " " + items[0][1] + " " + passage(rnd, 50), 3: "Intro. " + ", ".join(edited).upper(), 4: " ".join(w[:22]), 5: " ".join(w[5:17]), 6: "<p>" + "-\n".join(["x", "y"]) + " ".join(w[:20]) + "</p> " + passage(rnd, 60) + " " + " ".join(w[30:50]),
+        1: passage(rnd, 300), 2: passage(rnd, 50) + " " + items[0][1] + " " + passage(rnd, 50), 3: "Intro. " + ", ".join(edited).upper(), 4: " ".join(w[:26]), 5: " ".join(w[5:17]), 6: "<p>" + "-\n".join(["x", "y"]) + " ".join(w[:20]) + "</p> " + passage(rnd, 60) + " " + " ".join(w[30:50]),
         7: " ".join(shuffled), 8: items[1][1] + " " + passage(rnd, 200) + items[2][1], 9: "", 10: None, 11: passage(rnd, 20000) + " " + items[1][1],
     }
     docs |= {100 + i: passage(rnd, 40) + (" " + formula if i < 60 else "") for i in range(400)}
