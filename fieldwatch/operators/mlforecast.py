@@ -69,3 +69,16 @@ def load_bundle(path: str) -> tuple[PipelineModel, dict]:
     if manifest.get("version") != VERSION:
         raise ValueError(f"bundle version {manifest.get('version')!r}, expected {VERSION!r}")
     return PipelineModel.load(f"{path}/model"), manifest
+
+
+def against_persistence(rows: DataFrame, truth: str, forecast: str, last: str) -> DataFrame:
+    """One row: mean absolute error of a forecast, of the last value, and the relative gain (NULL where the latter has none).
+    Rows with any of the three missing are left out."""
+    ok = rows.dropna(subset=[truth, forecast, last])
+    e = ok.agg(F.avg(F.abs(F.col(truth) - F.col(forecast))).alias("mae"), F.avg(F.abs(F.col(truth) - F.col(last))).alias("mae_persistence"), F.count(F.lit(1)).alias("n"))
+    return e.withColumn("gain", F.try_divide(F.col("mae_persistence") - F.col("mae"), F.col("mae_persistence")))
+
+
+def context_length(n: int, patch: int = 32) -> int:
+    """The longest multiple of a model's patch within a context; a shorter context stays as it is."""
+    return n // patch * patch if n >= patch else n

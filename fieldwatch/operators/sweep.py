@@ -128,3 +128,29 @@ def pooled_sufficiency(cases: DataFrame, classes: list[str], station: int = 4, y
     o, y = F.count_distinct(F.when(g == -1, F.col("observatory"))), F.count_distinct(F.when(g == -1, F.col("year")))
     enough = lambda level, least: F.count_if((g == level) & (F.col("n") >= least))
     return both.agg(((o > 0) & (enough(0, station) == o * y * k) & (enough(4, year) == y * k) & (enough(6, pooled) == k)).alias("sufficient"))
+
+
+def coordinate_search(evaluate, first: dict[str, list[float]], then: dict[str, list[float]], passes: int = 4) -> tuple[dict[str, float], float]:
+    """Best setting and its objective (lower is better): a full grid over the names of ``first``, then in turn each name of
+    ``then`` over its values. ``evaluate`` takes a list of settings and returns their objectives, so that each step is one
+    job over the data; of equal ones the earlier wins."""
+    from itertools import product
+
+    settings = [dict(zip(first, values)) | {n: v[0] for n, v in then.items() if n not in first} for values in product(*first.values())]
+    scores = evaluate(settings)
+    best, value = min(zip(settings, scores), key=lambda x: x[1])
+    for _ in range(passes):
+        before = value
+        for name, values in then.items():
+            settings = [best | {name: v} for v in values]
+            near, score = min(zip(settings, evaluate(settings)), key=lambda x: x[1])
+            if score < value:
+                best, value = near, score
+        if value == before:
+            break
+    return best, value
+
+
+def settings_fragment(best: dict[str, float], evidence: dict[str, float]) -> str:
+    """Chosen settings as YAML text, the evidence as comments."""
+    return "\n".join([*[f"# {k}: {v:.4g}" for k, v in sorted(evidence.items())], *[f"{k}: {v:g}" for k, v in sorted(best.items())]]) + "\n"
