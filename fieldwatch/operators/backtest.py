@@ -16,7 +16,7 @@ def origins(series: DataFrame, keys: list[str], context: int, horizon: int, spli
     """(keys, split, origin): last training position of each split; splits that overrun the series are left out."""
     n = series.groupBy(*keys).agg(F.max("i").alias("n"))
     step = F.greatest(F.lit(1), F.floor((F.col("n") - context - horizon) / splits))
-    all_ = n.select(*keys, "n", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    all_ = n.select(*keys, "n", step.alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))).alias("split"))
     return all_.withColumn("origin", F.lit(context) + F.col("split") * F.col("step")).where(F.col("origin") + horizon <= F.col("n")).select(*keys, "split", F.col("origin").cast("long").alias("origin"))
 
 

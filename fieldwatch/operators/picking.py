@@ -56,4 +56,4 @@ def sliding_windows(samples: DataFrame, key: str, seconds: str, width: int, step
     first = F.greatest(F.lit(0), F.ceil((rel - width) / step)).cast("int")
     last = F.least(F.floor(rel / step), n).cast("int")
     hits = samples.join(span, key).where(last >= first).select(key, F.explode(F.sequence(first, last)).alias("idx")).groupBy(key, "idx").agg(F.count(F.lit(1)).alias("samples"))
-    return windows.join(hits, [key, "idx"], "left").na.fill(0, ["samples"])
+    return windows.join(hits, [key, "idx"], "left").na.fill(0, ["samples"]).withColumn("idx", F.col("idx").cast("long"))

@@ -65,7 +65,7 @@ def backtest_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Backends in order of MASE per field."""
     both = [_average(b)(spark, sf).withColumn("backend", F.lit(b)) for b in ("persistence", "seasonal_naive")]
     w = Window.partitionBy("field").orderBy(F.coalesce("avg_mase", F.lit(999.0)), "backend")  # two rows a field
-    return both[0].unionByName(both[1]).select("field", "backend", "avg_mase", F.row_number().over(w).alias("place"))
+    return both[0].unionByName(both[1]).select("field", "backend", "avg_mase", F.row_number().over(w).cast("long").alias("place"))
 
 
 def poison_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def kt_scaled_forecast(spark: SparkSession, sf: str) -> DataFrame:
     kt = F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col("v") / F.col("sky")))
     clearness = ranked.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.when(F.col("n") <= 72, kt), 0.5).alias("kt"))
     last = rows.groupBy("station", "latitude").agg(F.max("k").alias("k0"))
-    ahead = last.join(clearness, "station", "left").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))))
+    ahead = last.join(clearness, "station", "left").withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(HORIZON).cast("long"))))
     t = F.timestamp_seconds((F.col("k0") + F.col("h")) * 3600)
     sky = clear_sky(F.col("latitude"), F.dayofyear(t), F.hour(t).cast("double"))
     factor = F.when(F.col("n") > 24, F.col("kt")).otherwise(1.0)
@@ -127,7 +127,7 @@ def forecast_records(spark: SparkSession, sf: str) -> DataFrame:
     """One record per field and step: its persistence forecast with the last values of all fields beside it."""
     end = hourly(spark, sf).groupBy(*KEYS).agg(F.max("k").alias("k0"), F.max_by("v", "k").alias("last"))
     wide = end.groupBy("station").pivot("field", FIELDS).agg(F.round(F.first("last"), 2))
-    steps = end.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(HORIZON)))).join(wide, "station")
+    steps = end.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(HORIZON).cast("long")))).join(wide, "station")
     return steps.select("station", "field", "h", ((F.col("k0") + F.col("h")) * 3600).alias("at"), F.round(clip_field(F.col("field"), F.col("last")) + 1e-7, 2).alias("p50"), *[F.col(f).alias(f"now_{f}") for f in FIELDS])
 
 
@@ -135,7 +135,7 @@ def forecast_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """The last 24 values against the persistence forecast from before them: outside the outer levels or z over 3."""
     h = hourly(spark, sf)
     end = h.groupBy(*KEYS).agg(F.max("i").alias("n")).where(f"n >= {CONTEXT + 24}")
-    at = end.select(*KEYS, F.lit(0).alias("split"), (F.col("n") - 24).alias("origin"))
+    at = end.select(*KEYS, F.lit(0).cast("long").alias("split"), (F.col("n") - 24).alias("origin"))
     told = bt.forecast(h.drop("k"), at, KEYS, 24, "persistence").withColumn("i", F.col("origin") + F.col("h"))
     rows = told.join(h, [*KEYS, "i"])
     circ = F.col("field") == "wind_direction"
