@@ -95,8 +95,17 @@ def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) ->
         sc = np.maximum(sc + c.scale_weight * (1.2533 * np.abs(clipped) - sc), floor)
         prev = np.where(bad & ~new, prev, x)
         run = np.where(new, 0, run)
+    # a jump from the reading before is suspicious whatever the chart's level is just then, and so are the readings after it
+    # that a spike may still hold; so no spike beside a shift or another spike escapes the exact check
+    usual = np.concatenate([np.full(e - s, max(np.median(np.abs(np.diff(v[s:e]))) / 0.954, 1e-3) if e - s > 1 else np.inf) for s, e in zip(starts, ends)])
+    jump = np.zeros(n, bool)
+    jump[1:] = np.abs(np.diff(v)) > np.minimum(1.5 * c.limit * np.minimum(scale, 1.5 * usual), steps)[1:]
+    jump[starts] = False
+    held = jump.copy()
+    for k in range(1, c.longest_spike):
+        held[k:] |= jump[:-k]
     short = np.repeat(ends - starts < c.warm, ends - starts)
-    return suspect | short, scale
+    return suspect | held | short, scale
 
 
 def judge(f: np.ndarray, us: np.ndarray, v: np.ndarray, starts: np.ndarray, rules: list[FieldRule], c: Chart):
