@@ -82,3 +82,23 @@ def against_persistence(rows: DataFrame, truth: str, forecast: str, last: str) -
 def context_length(n: int, patch: int = 32) -> int:
     """The longest multiple of a model's patch within a context; a shorter context stays as it is."""
     return n // patch * patch if n >= patch else n
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str, pos: str, folds: int = 3, gap: int = 36, rounds: int = 5) -> DataFrame:
+    """Rows with a probability ``p`` from a model that saw earlier rows only: the span of ``pos`` is cut in folds + 1 parts, and
+    every part but the first is told by a model of all rows that end ``gap`` positions before it.
+
+    Folds whose training rows have one outcome only give no rows. One model a fold; the rows themselves stay distributed.
+    """
+    lo, hi = rows.agg(F.min(pos), F.max(pos)).first()
+    out = None
+    for i in range(1, folds + 1):
+        if lo is None:
+            break
+        a, b = (lo + (hi - lo + 1) * j // (folds + 1) for j in (i, i + 1))
+        train = rows.where(F.col(pos) < a - gap)
+        if train.select(label).distinct().count() < 2:
+            continue
+        told = raw_probability(fit_classifier(train, features, label, rounds), rows.where((F.col(pos) >= a) & (F.col(pos) < b))).select(*rows.columns, "p")
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else rows.limit(0).withColumn("p", F.lit(None).cast("double"))

@@ -89,3 +89,14 @@ def rolling(grid: DataFrame, key: str, before: int, after: int, columns: dict[st
     w = Window.partitionBy(*keys).orderBy("k")
     frame = w.rowsBetween(-before, after)
     return done_with_halo(cut.select("*", *[(c(w) if callable(c) else c.over(frame)).alias(n) for n, c in columns.items()]))
+
+
+def analysis_rows(df: DataFrame, seconds: str, start_s: int | None = None, now_s: int | None = None) -> DataFrame:
+    """Rows of the analysis period: at or after its start (earlier ones only warm the windows up, so slice after them) and not
+    after the present, as feeds pad the day with times yet to come."""
+    ok = F.lit(True)
+    if start_s is not None:
+        ok = ok & (F.col(seconds) >= start_s)
+    if now_s is not None:
+        ok = ok & (F.col(seconds) <= now_s)
+    return df.where(ok)

@@ -154,3 +154,11 @@ def coordinate_search(evaluate, first: dict[str, list[float]], then: dict[str, l
 def settings_fragment(best: dict[str, float], evidence: dict[str, float]) -> str:
     """Chosen settings as YAML text, the evidence as comments."""
     return "\n".join([*[f"# {k}: {v:.4g}" for k, v in sorted(evidence.items())], *[f"{k}: {v:g}" for k, v in sorted(best.items())]]) + "\n"
+
+
+def violation(least: dict[str, float], most: dict[str, float]) -> Column:
+    """Sum of how far measures fall short of their floors and exceed their ceilings; an unknown measure counts as 0 against a
+    floor and as 1 against a ceiling. 0 for a feasible row."""
+    parts = [F.greatest(F.lit(0.0), F.lit(v) - F.coalesce(F.col(c), F.lit(0.0))) for c, v in least.items()]
+    parts += [F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(1.0)) - F.lit(v)) for c, v in most.items()]
+    return sum(parts, F.lit(0.0))

@@ -74,3 +74,19 @@ def test_forecaster_parts(spark, tmp_path):
     r = ml.against_persistence(spark.createDataFrame([(1.0, 1.5, 3.0), (None, 1.0, 1.0)], "t double, f double, l double"), "t", "f", "l").first()
     assert (r.mae, r.mae_persistence, r.n, r.gain) == (0.5, 2.0, 1, 0.75)
     assert [ml.context_length(x) for x in (336, 31, 64)] == [320, 31, 64]
+
+
+def test_out_of_fold_trains_on_the_past(spark):
+    rows = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 20).cast("double").alias("m"), F.when(F.col("id") % 20 > 12, 1.0).otherwise(0.0).alias("y"))
+    told = ml.out_of_fold(rows, ["m"], "y", "k", folds=3, gap=10, rounds=2)
+    assert told.count() == 300 and told.agg(F.min("k")).first()[0] == 100 and told.where("(p > 0.5) = (y = 1)").count() == 300
+    assert ml.out_of_fold(rows.where("y = 0"), ["m"], "y", "k").count() == 0 and ml.out_of_fold(rows.limit(0), ["m"], "y", "k").count() == 0
+
+
+def test_violation_and_slice(spark):
+    from fieldwatch.operators.series import analysis_rows
+
+    df = spark.createDataFrame([(0.9, 0.005, 1), (0.5, None, 5), (None, 0.02, 9)], "precision double, far double, s long")
+    got = [round(r[0], 6) for r in df.select(sw.violation({"precision": 0.8}, {"far": 0.01})).collect()]
+    assert got == [0.0, 1.29, 0.81]
+    assert [r.s for r in analysis_rows(df, "s", 2, 5).collect()] == [5] and analysis_rows(df, "s").count() == 3
