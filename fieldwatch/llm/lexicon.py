@@ -55,6 +55,10 @@ PATTERNS = [
     ("insult", rf"\b(?:you|your|u)(?: \w+){{0,3}} {_BAD_EN}\b", 1.0),
     ("insult", rf"\b{_ADJ} {_BAD_EN}\b(?: you are)?", 0.9),
     ("insult", rf"\b{_BAD_EN} you are\b", 0.9),
+    ("insult", rf"\byou are an? {_ADJ}\b|\bwhat an? {_ADJ}(?: {_ADJ})? \w+ you are\b|\bgave birth to you\b", 0.85),
+    ("insult", r"\bdu (?:dreckige|dumme|verlogene|elende|blode|fette|widerliche|miese|feige|ekelhafte)[rs]? \w+", 0.85),
+    ("insult", r"\bcallate (?:asqueros|maldit|miserable|repugnante|cobarde)", 0.85),
+    ("threat", r"\bnext time i see you\b", 0.85),
     ("insult", rf"\blisten {_BAD_EN}\b", 0.9),
     ("insult", r"\b(?:shut your (?:mouth|face|trap)|go to hell|burn in hell|rot in hell|drop dead)\b", 0.9),
     ("insult", r"\b(?:piece|sack|pile|bag) of (?:shit|crap)\b", 0.9),
