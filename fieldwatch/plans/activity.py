@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from fieldwatch.functions import tiers
 from fieldwatch.functions.values import known, r9, ratio, sql9
 from fieldwatch.operators.series import asof_backward, fill_gaps, median_cadence, rolling
-from fieldwatch.plans.base import CTE, STEP, bulletins, grid, readings
+from fieldwatch.plans.base import CTE, STEP, bulletins, grid, in_rows, natively, readings
 
 WINDOW = 18  # rows of three hours
 BASE = 36  # rows of the trailing median baseline
 
 
-def regular_grid_q(spark: SparkSession, sf: str) -> DataFrame:
-    return grid(spark, sf)
+def regular_grid_q(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return grid(spark, sf, step)
 
 
 def median_cadence_q(spark: SparkSession, sf: str) -> DataFrame:
     return median_cadence(readings(spark, sf), "station", "s")
 
 
-def gap_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_gaps(grid(spark, sf), "station").withColumn("filled", r9("filled"))
+def gap_fill_forward(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return fill_gaps(grid(spark, sf, step), "station").withColumn("filled", r9("filled"))
 
 
-def gap_fill_both(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_gaps(grid(spark, sf), "station", both=True).withColumn("filled", r9("filled"))
+def gap_fill_both(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return fill_gaps(grid(spark, sf, step), "station", both=True).withColumn("filled", r9("filled"))
 
 
 def _asof(column: str, tolerance: int):
@@ -39,11 +39,18 @@ def _asof(column: str, tolerance: int):
     return query
 
 
-def amplitude(mode: str, before: int = WINDOW - 1, after: int = 0):
-    """Disturbance amplitude over a row window: range, hybrid, max or instant."""
+def amplitude_rows(step: int | None) -> int:
+    """Rows of the amplitude's three hours."""
+    return in_rows(10800, step) if step else WINDOW
 
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        g = grid(spark, sf)
+
+def amplitude(mode: str, centered: bool = False):
+    """Disturbance amplitude over three hours: range, hybrid, max or instant."""
+
+    def query(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+        n = amplitude_rows(step)
+        before, after = (n // 2, (n - 1) // 2) if centered else (n - 1, 0)
+        g = grid(spark, sf, step)
         if mode == "instant":
             return g.select("station", "k", F.abs("v").alias("amp"))
         w = rolling(g, "station", before, after, {"hi": F.max("v"), "lo": F.min("v"), "mean": F.avg("v")})
@@ -71,46 +78,56 @@ def rolling_stats(g: DataFrame, value: str, sizes: dict[str, tuple[str, int]]) -
     return rolling(g, "station", most - 1, 0, {name: column(k, n) for name, (k, n) in sizes.items()})
 
 
-def magnitude(spark: SparkSession, sf: str) -> DataFrame:
+def magnitude(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Forward-filled grid with the size of its values."""
-    return fill_gaps(grid(spark, sf), "station").select("station", "k", r9("filled").alias("x")).withColumn("m", F.abs("x"))
+    return fill_gaps(grid(spark, sf, step), "station").select("station", "k", r9("filled").alias("x")).withColumn("m", F.abs("x"))
 
 
 #: Rows of ten minutes that stand for the detector's windows.
 SIZES = {"fast": ("median", 1), "medium": ("median", 3), "upper": ("p75", 4), "slow": ("median", 6), "slow3": ("median", 18), "peak": ("max", 2)}
+#: The same windows in minutes, with the most rows each may have.
+MINUTES = {"fast": ("median", 5, 31), "medium": ("median", 15, 61), "upper": ("p75", 30, 121), "slow": ("median", 60, 181), "slow3": ("median", 180, 361), "peak": ("max", 5, 61)}
+
+
+def window_sizes(step: int | None) -> dict[str, tuple[str, int]]:
+    """name -> (statistic, rows) of the detector's windows."""
+    return {n: (k, in_rows(60 * m, step, cap)) for n, (k, m, cap) in MINUTES.items()} if step else SIZES
 
 
-def rolling_medians(spark: SparkSession, sf: str) -> DataFrame:
-    s = rolling_stats(magnitude(spark, sf), "m", {n: SIZES[n] for n in ("fast", "medium", "slow", "slow3")})
+def rolling_medians(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    sizes = window_sizes(step)
+    s = rolling_stats(magnitude(spark, sf, step), "m", {n: sizes[n] for n in ("fast", "medium", "slow", "slow3")})
     return s.select("station", "k", "fast", "medium", "slow", "slow3")
 
 
-def rolling_p75(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling_stats(magnitude(spark, sf), "m", {"upper": SIZES["upper"]}).select("station", "k", "upper")
+def rolling_p75(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    sizes = window_sizes(step)
+    return rolling_stats(magnitude(spark, sf, step), "m", {"upper": sizes["upper"]}).select("station", "k", "upper")
 
 
-def rolling_peak(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling_stats(magnitude(spark, sf), "m", {"peak": SIZES["peak"]}).select("station", "k", "peak")
+def rolling_peak(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    sizes = window_sizes(step)
+    return rolling_stats(magnitude(spark, sf, step), "m", {"peak": sizes["peak"]}).select("station", "k", "peak")
 
 
-def prefilter_median(spark: SparkSession, sf: str) -> DataFrame:
+def prefilter_median(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Centred rolling median of five rows, over what is known."""
-    return rolling(grid(spark, sf), "station", 2, 2, {"med": F.percentile("v", 0.5)}).select("station", "k", r9("med").alias("med"))
+    return rolling(grid(spark, sf, step), "station", 2, 2, {"med": F.percentile("v", 0.5)}).select("station", "k", r9("med").alias("med"))
 
 
-def rolling_p95(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling(magnitude(spark, sf), "station", WINDOW - 1, 0, {"p95": F.percentile("m", 0.95)}).select("station", "k", r9("p95").alias("p95"))
+def rolling_p95(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return rolling(magnitude(spark, sf, step), "station", amplitude_rows(step) - 1, 0, {"p95": F.percentile("m", 0.95)}).select("station", "k", r9("p95").alias("p95"))
 
 
-def spike_reversal(spark: SparkSession, sf: str) -> DataFrame:
-    g = rolling(grid(spark, sf), "station", 1, 1, {"prev": lambda w: F.lag("v").over(w), "next": lambda w: F.lead("v").over(w), "first": lambda w: F.lag("k").over(w).isNull()})
+def spike_reversal(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    g = rolling(grid(spark, sf, step), "station", 1, 1, {"prev": lambda w: F.lag("v").over(w), "next": lambda w: F.lead("v").over(w), "first": lambda w: F.lag("k").over(w).isNull()})
     return g.where(tiers.spike(F.col("v") - F.col("prev"), F.col("next") - F.col("v"))).select("station", "k", "v")
 
 
-def diff_mad_anomaly(spark: SparkSession, sf: str) -> DataFrame:
-    """Differences far from their rolling median, by max(100, 8 * 1.4826 * rolling MAD), full windows of 18 rows."""
-    n = WINDOW
-    g = rolling(grid(spark, sf), "station", 1, 0, {"d": lambda w: r9(F.col("v") - F.lag("v").over(w))})
+def diff_mad_anomaly(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    """Differences far from their rolling median, by max(100, 8 * 1.4826 * rolling MAD), full windows of three hours."""
+    n = in_rows(10800, step, 721) if step else WINDOW
+    g = rolling(grid(spark, sf, step), "station", 1, 0, {"d": lambda w: r9(F.col("v") - F.lag("v").over(w))})
     g = rolling(g, "station", n - 1, 0, {"c": F.count("d"), "med": F.percentile("d", 0.5)})
     g = g.withColumn("dev", F.when(F.col("c") == n, r9(F.abs(F.col("d") - F.col("med")))))
     g = rolling(g, "station", n - 1, 0, {"c2": F.count("dev"), "mad": F.percentile("dev", 0.5)})
@@ -118,13 +135,14 @@ def diff_mad_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("station", "k", "d", r9(limit).alias("limit"), known(F.col("dev") >= limit).alias("anomaly"))
 
 
-def flagged(spark: SparkSession, sf: str) -> DataFrame:
+def flagged(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Filled grid, trailing-median baseline, residual, range amplitude and label: (station, k, r, amp, flag)."""
-    g = fill_gaps(grid(spark, sf), "station").select("station", "k", r9("filled").alias("x"))
-    g = rolling(g, "station", BASE, -1, {"base": F.percentile("x", 0.5)})
+    g = fill_gaps(grid(spark, sf, step), "station").select("station", "k", r9("filled").alias("x"))
+    g = rolling(g, "station", in_rows(21600, step) if step else BASE, -1, {"base": F.percentile("x", 0.5)})
+    n = amplitude_rows(step)
     g = g.select("station", "k", r9(F.col("x") - F.col("base")).alias("r"))
-    g = rolling(g, "station", WINDOW - 1, 1, {
-        "hi": lambda w: F.max("r").over(w.rowsBetween(-(WINDOW - 1), 0)), "lo": lambda w: F.min("r").over(w.rowsBetween(-(WINDOW - 1), 0)),
+    g = rolling(g, "station", n - 1, 1, {
+        "hi": lambda w: F.max("r").over(w.rowsBetween(-(n - 1), 0)), "lo": lambda w: F.min("r").over(w.rowsBetween(-(n - 1), 0)),
         "prev": lambda w: F.lag("r").over(w), "next": lambda w: F.lead("r").over(w)})
     amp = F.when(F.col("r").isNotNull(), r9(F.col("hi") - F.col("lo")))
     g = g.withColumn("amp", amp)
@@ -132,19 +150,19 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("station", "k", "r", "amp", tiers.flag(F.col("r"), F.col("amp"), spike).alias("flag"))
 
 
-def tier_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return flagged(spark, sf)
+def tier_labels(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return flagged(spark, sf, step)
 
 
-def flag_histogram(spark: SparkSession, sf: str) -> DataFrame:
+def flag_histogram(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Samples per activity tier and station."""
-    return flagged(spark, sf).groupBy("station", "flag").agg(F.count(F.lit(1)).alias("n"))
+    return flagged(spark, sf, step).groupBy("station", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def max_local_level(spark: SparkSession, sf: str) -> DataFrame:
+def max_local_level(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Most severe tier present per station; NULL if only invalid or anomalous samples are."""
     order = F.array_position(F.array(*[F.lit(x) for x in tiers.LABELS]), F.col("flag")).cast("int")
-    top = flagged(spark, sf).groupBy("station").agg(F.max(F.when(order > 0, order)).alias("o"))
+    top = flagged(spark, sf, step).groupBy("station").agg(F.max(F.when(order > 0, order)).alias("o"))
     return top.select("station", F.element_at(F.array(*[F.lit(x) for x in tiers.LABELS]), F.col("o")).alias("level"))
 
 
@@ -207,14 +225,15 @@ def future_targets(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("station", "k", *[F.col(f"p{h}").alias(f"target_peak_{h}h") for h in (1, 3, 6)], *[(F.col(f"p{h}") >= 35).alias(f"target_storm_{h}h") for h in (1, 3, 6)])
 
 
-def lag_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing means, spreads and extremes, and lags, of the filled residual."""
+def lag_features(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    """Trailing means, spreads and extremes, and lags, of the filled residual; names count ten minutes."""
     cols = {}
+    rows = lambda n: in_rows(n * STEP, step) if step else n
     for n in (6, 18, 36):
-        f = lambda w, n=n: w.rowsBetween(-(n - 1), 0)
+        f = lambda w, n=n: w.rowsBetween(-(rows(n) - 1), 0)
         cols |= {f"mean_{n}": lambda w, f=f: r9(F.avg("x").over(f(w))), f"std_{n}": lambda w, f=f: r9(F.stddev_pop("x").over(f(w))), f"max_{n}": lambda w, f=f: F.max("x").over(f(w))}
-    cols |= {f"lag_{n}": lambda w, n=n: F.lag("x", n).over(w) for n in (1, 3, 6, 18)}
-    return rolling(magnitude(spark, sf), "station", 36, 0, cols).drop("m")
+    cols |= {f"lag_{n}": lambda w, n=n: F.lag("x", rows(n)).over(w) for n in (1, 3, 6, 18)}
+    return rolling(magnitude(spark, sf, step), "station", rows(36), 0, cols).drop("m")
 
 
 #: fl: filled grid; ff: with both-sided filling; fg: labels; ck: labels with indices
@@ -266,11 +285,15 @@ def _med(n: int, q: float = 0.5) -> str:
 QUERIES = {
     "flag_histogram": flag_histogram, "regular_grid": regular_grid_q, "median_cadence": median_cadence_q, "gap_fill_forward": gap_fill_forward, "gap_fill_both": gap_fill_both,
     "asof_kp": _asof("kp", 10800), "asof_dst": _asof("dst", 3600), "amp_range": amplitude("range"), "amp_hybrid": amplitude("hybrid"), "amp_max": amplitude("max"),
-    "amp_centered": amplitude("range", WINDOW // 2, (WINDOW - 1) // 2), "amp_instant": amplitude("instant"), "rolling_medians": rolling_medians, "rolling_p75": rolling_p75,
+    "amp_centered": amplitude("range", centered=True), "amp_instant": amplitude("instant"), "rolling_medians": rolling_medians, "rolling_p75": rolling_p75,
     "rolling_peak": rolling_peak, "prefilter_median": prefilter_median, "rolling_p95": rolling_p95, "spike_reversal": spike_reversal, "diff_mad_anomaly": diff_mad_anomaly,
     "tier_labels": tier_labels, "max_local_level": max_local_level, "level_ladders": level_ladders, "cross_validate": cross_validate, "metrics_engine": metrics_engine,
     "quality_gate": quality_gate, "residual_stats": residual_stats, "future_targets": future_targets, "lag_features": lag_features,
 }
+#: These over every station at its own cadence, where the ones above (and their SQL) average over ten minutes.
+_NATIVE = ["flag_histogram", "regular_grid", "gap_fill_forward", "gap_fill_both", "amp_range", "amp_hybrid", "amp_max", "amp_centered", "amp_instant", "rolling_medians", "rolling_p75", "rolling_peak",
+           "prefilter_median", "rolling_p95", "spike_reversal", "diff_mad_anomaly", "tier_labels", "max_local_level", "lag_features"]
+QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in _NATIVE}
 _F = lambda n: f"(partition by station order by k rows between 1 following and {6 * n} following)"
 SQL = {
     "flag_histogram": FLAGS + "select station, flag, count(*) as n from fg group by 1, 2",

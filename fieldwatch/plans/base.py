@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.functions.values import MISSING_MARK, epoch_micros, usable
-from fieldwatch.operators.series import regular_grid
+from fieldwatch.operators.series import median_cadence, regular_grid
 from fieldwatch.session import table
 
 STEP = 600
@@ -24,9 +24,41 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "residuals").where(ok).select(F.col("observatory").alias("station"), seconds().alias("s"), F.col("residual").alias("v"))
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten-minute means of the residuals: (station, k, v)."""
-    return regular_grid(readings(spark, sf), "station", "s", "v", STEP)
+def cadences(spark: SparkSession, sf: str) -> DataFrame:
+    """(station, cadence_s) of the stations with readings: the listed cadence, the median distance of readings where none is."""
+    listed = table(spark, sf, "stations").where("cadence_s > 0").groupBy("station").agg(F.max("cadence_s").cast("long").alias("listed"))
+    r = readings(spark, sf)
+    found = median_cadence(r.join(listed, "station", "left_anti"), "station", "s").where("cadence_s is not null")
+    return r.select("station").distinct().join(listed, "station").select("station", F.col("listed").alias("cadence_s")).unionByName(found)
+
+
+def grid(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    """Means of the residuals: (station, k, v); of all stations over ten minutes, or with ``step`` of the stations of that
+    cadence over one reading's period."""
+    r = readings(spark, sf)
+    if step:
+        r = r.join(cadences(spark, sf).where(F.col("cadence_s") == step), "station", "left_semi")
+    return regular_grid(r, "station", "s", "v", step or STEP)
+
+
+def in_rows(seconds_: float, step: int, cap: int | None = None) -> int:
+    """Rows of a window, at least one and at most ``cap``."""
+    n = max(1, round(seconds_ / step))
+    return min(n, cap) if cap else n
+
+
+def natively(query):
+    """A query of (spark, sf, step) over every station at its own cadence, with the cadence as ``cadence_s``."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        steps = sorted(r.cadence_s for r in cadences(spark, sf).select("cadence_s").distinct().collect()) or [STEP]
+        parts = [query(spark, sf, s).withColumn("cadence_s", F.lit(s).cast("long")) for s in steps]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return run
 
 
 def bulletins(spark: SparkSession, sf: str) -> DataFrame:

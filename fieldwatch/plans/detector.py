@@ -8,44 +8,48 @@ from pyspark.sql import functions as F
 from fieldwatch.functions.values import known, r9, sql9
 from fieldwatch.operators.latch import LatchRule, Profile, bool_events, evidence, latch, match_events
 from fieldwatch.operators.picking import agreeing, dedup, sliding_windows, triplets
-from fieldwatch.plans.activity import FILL, SIZES, magnitude, rolling_stats
-from fieldwatch.plans.base import bulletins, readings
+from fieldwatch.plans.activity import FILL, magnitude, rolling_stats, window_sizes
+from fieldwatch.plans.base import bulletins, in_rows, natively, readings
 from fieldwatch.session import table
 from fieldwatch.sources.picks import typed_picks
 
 #: On and off lengths of the latches in rows of ten minutes.
 LATCH = {"active": (2, 3), "storm": (2, 18), "major": (1, 3), "severe": (1, 3)}
+#: The same lengths in minutes.
+MINUTES_ON_OFF = {"active": (5, 30), "storm": (10, 180), "major": (10, 30), "severe": (10, 30)}
 
 
-def masks(spark: SparkSession, sf: str) -> DataFrame:
+def masks(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Rolling statistics with evidence columns: (station, k, x, medium, ready, ..._on, ..._off)."""
-    s = rolling_stats(magnitude(spark, sf), "m", SIZES)
+    sizes = window_sizes(step)
+    s = rolling_stats(magnitude(spark, sf, step), "m", sizes)
     ready = F.col("m").isNotNull()
-    for c in SIZES:
+    for c in sizes:
         ready = ready & F.col(c).isNotNull()
     return s.withColumns({"ready": ready, **evidence(ready)})
 
 
-def evidence_masks(spark: SparkSession, sf: str) -> DataFrame:
-    return masks(spark, sf).select("station", "k", "ready", *[f"{t}_{e}" for t in LATCH for e in ("on", "off")])
+def evidence_masks(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return masks(spark, sf, step).select("station", "k", "ready", *[f"{t}_{e}" for t in LATCH for e in ("on", "off")])
 
 
-def latched(spark: SparkSession, sf: str) -> DataFrame:
-    df = masks(spark, sf).select("station", "k", "x", "medium", "ready", *[f"{t}_{e}" for t in LATCH for e in ("on", "off")])
-    return latch(df, "station", "k", {t: LatchRule(f"{t}_on", f"{t}_off", "ready", on, off) for t, (on, off) in LATCH.items()})
+def latched(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    df = masks(spark, sf, step).select("station", "k", "x", "medium", "ready", *[f"{t}_{e}" for t in LATCH for e in ("on", "off")])
+    lengths = {t: tuple(in_rows(60 * m, step) for m in MINUTES_ON_OFF[t]) for t in LATCH} if step else LATCH
+    return latch(df, "station", "k", {t: LatchRule(f"{t}_on", f"{t}_off", "ready", on, off) for t, (on, off) in lengths.items()})
 
 
-def hysteresis(spark: SparkSession, sf: str) -> DataFrame:
-    return latched(spark, sf).select("station", "k", "active", "storm")
+def hysteresis(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    return latched(spark, sf, step).select("station", "k", "active", "storm")
 
 
-def detector_flags(spark: SparkSession, sf: str) -> DataFrame:
+def detector_flags(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Final labels: severity is nested (severe within major within storm), then the highest wins."""
     storm, major = F.col("storm"), F.col("storm") & F.col("major")
     severe = major & F.col("severe")
     label = (F.when(F.col("x").isNull(), "quiet").when(severe, "severe_storm").when(major, "major_storm").when(storm, "minor_storm").when(F.col("active"), "active")
              .when(F.col("ready") & known(F.col("medium") >= Profile().unsettled), "unsettled").otherwise("quiet"))
-    return latched(spark, sf).select("station", "k", label.alias("flag"))
+    return latched(spark, sf, step).select("station", "k", label.alias("flag"))
 
 
 def predicted_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +143,7 @@ QUERIES = {
     "evidence_masks": evidence_masks, "hysteresis": hysteresis, "detector_flags": detector_flags, "bool_events": predicted_events, "event_match": event_match, "pick_dedup": pick_dedup,
     "pick_filter": pick_filter, "pick_intersection": pick_intersection, "pick_agreement": pick_agreement, "pick_summary": pick_summary, "pick_top": pick_top, "triplets": triplets_q, "sliding_windows": sliding_windows_q,
 }
+QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in ("evidence_masks", "hysteresis", "detector_flags")}
 _BOTH = "select pick_id, sta, wave, us from pk a where model = 'phasenet' and exists (select 1 from pk b where b.model = 'eqtransformer' and b.sta = a.sta and b.wave = a.wave and abs(a.us - b.us) <= 1000000)"
 SQL = {
     "evidence_masks": _MASKS + "select station, k, ready, " + ", ".join(f"coalesce({t}_{e}, false) as {t}_{e}" for t in LATCH for e in ("on", "off")) + " from m3",

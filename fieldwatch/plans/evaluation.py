@@ -14,7 +14,7 @@ from fieldwatch.operators.blocks import forward_fill, positions
 from fieldwatch.operators.series import asof_backward, fill_gaps, rolling
 from fieldwatch.plans import activity
 from fieldwatch.plans.activity import CHECKED, FILL
-from fieldwatch.plans.base import STEP, bulletins, grid, readings
+from fieldwatch.plans.base import STEP, bulletins, grid, natively, readings
 from fieldwatch.plans.forecasting import _PERSIST, _average, _second
 from fieldwatch.session import materialize, table
 
@@ -189,17 +189,17 @@ def baseline_drift(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(prev, ["station", "k"]).select("station", "k", r9(F.col("level") - F.col("before")).alias("drift"))
 
 
-def harmonic_baseline_q(spark: SparkSession, sf: str) -> DataFrame:
-    g = fill_gaps(grid(spark, sf), "station").select("station", "k", F.col("filled").alias("v"), (F.col("k") * STEP).alias("s"))
+def harmonic_baseline_q(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    g = fill_gaps(grid(spark, sf, step), "station").select("station", "k", F.col("filled").alias("v"), (F.col("k") * (step or STEP)).alias("s"))
     ix = bulletins(spark, sf)
     g = asof_backward(g, ix.where("kp is not null"), "station", "s", "kp", 10800, "kp", tie="bulletin_id")
     g = materialize(asof_backward(g, ix.where("dst is not null"), "station", "s", "dst", 3600, "dst", tie="bulletin_id"), "baseline-in")
-    return harmonic_baseline(g, "station", STEP).withColumn("baseline", r9("baseline"))
+    return harmonic_baseline(g, "station", step or STEP).withColumn("baseline", r9("baseline"))
 
 
-def causal_baseline_q(spark: SparkSession, sf: str) -> DataFrame:
-    g = materialize(fill_gaps(grid(spark, sf), "station").select("station", "k", F.col("filled").alias("v")), "causal-in")
-    return causal_baseline(g, "station", STEP).select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"))
+def causal_baseline_q(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    g = materialize(fill_gaps(grid(spark, sf, step), "station").select("station", "k", F.col("filled").alias("v")), "causal-in")
+    return causal_baseline(g, "station", step or STEP).select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"))
 
 
 FEATURES = ["m", "mean_6", "std_6", "max_18", "lag_1", "lag_6"]
@@ -265,6 +265,7 @@ QUERIES = {
     "merge_benchmarks": merge_benchmarks, "scenario_pick": scenario_pick, "chrono_split": chrono_split, "sanitize_features": sanitize_features, "keep_first": keep_first, "keep_last": keep_last, "months_covered": months_covered,
     "baseline_drift": baseline_drift, "harmonic_baseline": harmonic_baseline_q, "causal_baseline": causal_baseline_q, "gbt_forecast": gbt_forecast, "isotonic_calibration": isotonic_calibration,
 }
+QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in ("harmonic_baseline", "causal_baseline")}
 SQL = {
     "quiet_tiers": CHECKED + "select u as unsettled, round(1.5 * u + 1e-9, 1) as active from (select greatest(1.0, round(quantile_cont(round(amp + 1e-9, 4), 0.99) + 1e-9, 1))::double as u from ck where gl = 0 and amp is not null)",
     "threshold_sweep": _SWEEP + " select * from sr", "best_threshold": _SWEEP + " select minor, major, severe, objective from sr order by objective, minor, major, severe limit 5",
