@@ -28,7 +28,7 @@ class LeakRule:
     n: int = 5  # words of a n-gram
     share: float = 0.3  # of an item's words, in at most two places
     places: int = 2
-    formula_share: float = 0.02  # n-grams in more than this share of the documents are formulas
+    formula_share: float = 0.02  # n-grams that stand in more than this share of the distinct texts without the rest of the item are formulas
     formula_least: int = 3  # and in more than so many documents, for small corpora
     rare: float = 0.45  # rare n-grams a covered word: words that merely recur in other order have few
     edited: float = 0.6  # where so much of an item is covered, many words may have been changed,
@@ -72,22 +72,36 @@ def _index(items: list[tuple[str, str]], n: int) -> dict[tuple[str, ...], int]:
     return index
 
 
+def _carried(at: list[int], length: int, rule: LeakRule) -> bool:
+    """TRUE if n-grams of an item at these positions run through so much of it that they are a leak, not a formula; a few words
+    between them may be changed."""
+    at.sort()
+    covered = rule.n + sum(min(b - a, rule.n) if b - a > rule.n + rule.gap else b - a for a, b in zip(at, at[1:]))
+    return covered >= rule.share * length and len(at) >= rule.rare_edited * covered
+
+
 def _scanner(broadcast, rule: LeakRule):
-    """First pass: the n-grams each document shares with the items; the text too if an item might reach its share."""
+    """First pass: the n-grams each document shares with the items, without those of items it carries as a leak would; the
+    text too if an item might reach its share."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = broadcast.value
         index = _index(items, rule.n)
         of: dict[int, list[int]] = defaultdict(list)
-        least = []
+        places: list[dict[int, list[int]]] = []
+        least, length = [], []
         for i, (_, passage) in enumerate(items):
             w = words(passage)
             least.append(max(1, min(rule.rare * rule.share, rule.rare_edited * rule.edited) * len(w)))
-            for g in set(grams(w, rule.n)):
-                of[index[g]].append(i)
+            length.append(len(w))
+            places.append(defaultdict(list))
+            for k, g in enumerate(grams(w, rule.n)):
+                places[i][index[g]].append(k)
+            for g in places[i]:
+                of[g].append(i)
         for batch in batches:
-            ids, hits, texts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, marks, hits, texts = [], [], [], []
+            for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
                 found = index.keys() & set(grams(words(text), rule.n))
@@ -98,10 +112,12 @@ def _scanner(broadcast, rule: LeakRule):
                 for g in numbers:
                     for i in of[g]:
                         count[i] += 1
+                whole = {i for i, c in count.items() if c >= least[i] and _carried([k for g in numbers for k in places[i].get(g, ())], length[i], rule)}
                 ids.append(doc)
-                hits.append(numbers)
+                marks.append(mark)
+                hits.append([g for g in numbers if whole.isdisjoint(of[g])] if whole else numbers)
                 texts.append(text if any(c >= least[i] for i, c in count.items()) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "hits", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "mark", "hits", "text"])
 
     return scan
 
@@ -205,14 +221,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule
     item of (item_id, passage), in order, in one or two places; spans are numbers of the document's words.
 
     Whole texts are scanned once against a broadcast set of the items' n-grams; items are taken in blocks of at most
-    ``most_words`` words, so the broadcast has a bound. The document frequency of the n-grams, counted over all
-    documents, tells formulas from leaks. Only documents that may hold a case keep their text for the second pass.
+    ``most_words`` words, so the broadcast has a bound. The document frequency of the n-grams, counted over distinct texts
+    that do not carry the item itself, tells formulas from leaks, so a leak may stand in any share of the table. Only documents that may hold a case keep their text for the second pass.
     NULL and empty texts and items of fewer words than an n-gram have no cases; repeated documents have one each; empty
     tables give none.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    docs = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     total = documents.count()
+    distinct = docs.select("mark").distinct().count()
     sized = items.select("item_id", "passage").where("passage is not null").dropDuplicates(["item_id", "passage"])
     size = F.size(F.split("passage", r"\s+"))
     words_all = sized.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -222,9 +239,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule = LeakRule
         mine = sized.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == block) if blocks > 1 else sized
         some = sorted((r.item_id, r.passage) for r in mine.collect())
         broadcast = spark.sparkContext.broadcast(some)
-        hits = materialize(docs.mapInArrow(_scanner(broadcast, rule), "doc_id long, hits array<int>, text string"), "leak-hits")
-        limit = max(rule.formula_share * total, rule.formula_least)
-        usual = hits.select(F.explode("hits").alias("g")).groupBy("g").count().where(F.col("count") > limit)
+        hits = materialize(docs.mapInArrow(_scanner(broadcast, rule), "doc_id long, mark long, hits array<int>, text string"), "leak-hits")
+        limit = max(rule.formula_share * distinct, rule.formula_least)
+        once = hits.where("size(hits) > 0").groupBy("mark").agg(F.first("hits").alias("hits"))
+        usual = once.select(F.explode("hits").alias("g")).groupBy("g").count().where(F.col("count") > limit)
         common = {r.g for r in usual.select("g").collect()}  # at most as many as the broadcast set has
         found = hits.where("text is not null").select("doc_id", "text")
         found = found.repartition(partitions_for(total, 20_000, spark.sparkContext.defaultParallelism))
