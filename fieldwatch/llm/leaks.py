@@ -33,9 +33,8 @@ class LeakRule:
     rare: float = 0.45  # rare n-grams a covered word: words that merely recur in other order have few
     edited: float = 0.6  # where so much of an item is covered, many words may have been changed,
     rare_edited: float = 0.25  # and so few rare n-grams suffice
-    least_words: int = 24  # covered words in all (or most of a shorter item): usual phrases in a row come to some twenty
     gap: int = 9  # words that may be changed between two matches
-    least_place: int = 14  # words a place must cover: shorter scraps are no leak
+    least_place: float = 0.1  # of an item's words that a place must cover: shorter scraps are no leak
     drift: int = 3  # words that may be put in or left out there
     inserted: int = 16  # words a page header may put in between
     most_words: int = 2_000_000  # words of the items that are broadcast at once
@@ -194,17 +193,16 @@ def _verifier(broadcast, common: set[int], rule: LeakRule):
                         continue
                     covered: set[int] = set()
                     spans: list[tuple[int, int]] = []
-                    for first, last, cover in align(w, item, rule, formulas[i])[:12]:
+                    for first, last, cover in align(w, item, rule, formulas[i]):
                         if len(spans) == rule.places:
                             break
                         new = cover - covered
-                        if len(new) >= rule.least_place and len(new) >= 0.7 * len(cover):
+                        if len(new) >= rule.least_place * len(item) and len(new) >= 0.7 * len(cover):
                             covered |= new
                             spans.append((first, last))
                     seen = len({g5[b] for b in where if any(f <= b <= e for f, e in spans)})
-                    enough = max(rule.share * len(item), min(rule.least_words, 0.8 * len(item)))
                     told = rule.rare_edited if len(covered) >= rule.edited * len(item) else rule.rare
-                    if len(covered) >= enough and seen >= told * len(covered):
+                    if len(covered) >= rule.share * len(item) and seen >= told * len(covered):
                         out["doc_id"].append(doc)
                         out["item_id"].append(items[i][0])
                         out["share"].append(len(covered) / len(item))

@@ -31,3 +31,19 @@ def test_leak_in_a_third_of_the_table(spark):
     want |= {(1000 + i, "whole") for i in range(50)}
     df = spark.createDataFrame([(d, t, "x") for d, t in docs.items()], DOC)
     assert {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, ITEM)).collect()} == want
+
+
+def test_three_tenths_of_short_items_and_repeated_halves(spark):
+    rnd = random.Random(9)
+    items = [("short", passage(rnd, 55)), ("halves", passage(rnd, 100))]
+    s, h = (x[1].split() for x in items)
+    docs = {
+        1: passage(rnd, 40) + " " + " ".join(s[5:23]) + " " + passage(rnd, 40),  # 18 of 55 words in one place
+        2: " ".join(s[:9]) + " " + passage(rnd, 60) + " " + " ".join(s[40:49]),  # 9 and 9
+        3: " ".join(s[5:20]),  # 15 of 55
+        4: (" " + passage(rnd, 20) + " ").join([" ".join(h[:50])] * 14 + [" ".join(h[52:])]),
+    }
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs.items()], DOC)
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(df, spark.createDataFrame(items, ITEM)).collect()}
+    assert got.keys() == {(1, "short"), (2, "short"), (4, "halves")}
+    assert got[4, "halves"].share == 0.98 and len(got[4, "halves"].spans) == 2
