@@ -141,7 +141,7 @@ class Matcher:
         self.strong, self.weak, self.category = _lexicon()
         self.known = self.strong | self.weak
         self.trie = Trie(sorted(self.known))
-        self.clean: set[str] = set()
+        self.clean: dict[str, list[str]] = {}
         self.hit: dict[str, list[str]] = {}
 
     def _limit(self, word: str) -> int:
@@ -190,7 +190,7 @@ class Matcher:
 
     def suspicious(self, chunks: set[str]) -> bool:
         """TRUE if any chunk holds a lexicon word; new chunks are read once and remembered."""
-        new = chunks - self.clean
+        new = chunks - self.clean.keys()
         if not new:
             return False
         found = False
@@ -203,12 +203,13 @@ class Matcher:
                 continue
             if not _LETTERS.search(c):
                 continue  # numbers are many and hide no word
-            hits = [w for w in self.read(c) if w in self.known]
+            read = self.read(c)
+            hits = [w for w in read if w in self.known]
             if hits:
                 self.hit[c] = hits
                 found = True
             else:
-                self.clean.add(c)
+                self.clean[c] = read
         return found
 
 
@@ -260,7 +261,7 @@ def score_text(text: str | None, m: Matcher) -> tuple[float, str | None, int, bo
     quote = False
     for c in chunks:
         opens = bool(_QUOTES.search(c))
-        read = m.read(c) if c not in m.clean else [level(c)]
+        read = m.clean[c] if c in m.clean else m.read(c)
         for w in read:
             if w in m.known:
                 hot.append(len(words))
