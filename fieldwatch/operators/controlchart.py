@@ -48,14 +48,8 @@ _ARROW = pa.schema([("kind", pa.string()), ("f", pa.int8()), ("station", pa.stri
                     ("a", pa.float64()), ("b", pa.float64()), ("gap_us", pa.int64()), ("hole", pa.bool_()), ("wide", pa.bool_()), ("n", pa.int64())])
 
 
-def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) -> tuple[np.ndarray, np.ndarray]:
-    """Suspected flags and scale of every reading. ``starts``: first reading of each series in ``v``; ``steps``: by reading,
-    a distance from the last accepted value that is suspicious at any scale (infinite where there is none).
-
-    Series are cut in lanes that run side by side. A lane starts from the median and the median step of its first readings,
-    clips suspected values before they move mean and scale, and after more than ``accept_after`` suspected values in a row
-    takes the new level. Series shorter than the warm-up are suspected as a whole: the chart knows nothing yet.
-    """
+def _one_way(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) -> tuple[np.ndarray, np.ndarray]:
+    """Suspected flags and scale of every reading, by charts that run through ``v`` from left to right."""
     n = len(v)
     ends = np.append(starts[1:], n)
     first, out_from, out_to = [], [], []
@@ -95,17 +89,25 @@ def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) ->
         sc = np.maximum(sc + c.scale_weight * (1.2533 * np.abs(clipped) - sc), floor)
         prev = np.where(bad & ~new, prev, x)
         run = np.where(new, 0, run)
-    # a jump from the reading before is suspicious whatever the chart's level is just then, and so are the readings after it
-    # that a spike may still hold; so no spike beside a shift or another spike escapes the exact check
-    usual = np.concatenate([np.full(e - s, max(np.median(np.abs(np.diff(v[s:e]))) / 0.954, 1e-3) if e - s > 1 else np.inf) for s, e in zip(starts, ends)])
-    jump = np.zeros(n, bool)
-    jump[1:] = np.abs(np.diff(v)) > np.minimum(1.5 * c.limit * np.minimum(scale, 1.5 * usual), steps)[1:]
-    jump[starts] = False
-    held = jump.copy()
-    for k in range(1, c.longest_spike):
-        held[k:] |= jump[:-k]
+    return suspect, scale
+
+
+def run_chart(v: np.ndarray, starts: np.ndarray, steps: np.ndarray, c: Chart) -> tuple[np.ndarray, np.ndarray]:
+    """Suspected flags and scale of every reading. ``starts``: first reading of each series in ``v``; ``steps``: by reading,
+    a distance from the last accepted value that is suspicious at any scale (infinite where there is none).
+
+    Series are cut in lanes that run side by side. A lane starts from the median and the median step of its first readings,
+    clips suspected values before they move mean and scale, and after more than ``accept_after`` suspected values in a row
+    takes the new level. A second chart runs through the series from its end, so that a value just behind a shift, which the
+    first chart still measures from the level before, is measured from the level after; what either suspects is suspected.
+    Series shorter than the warm-up are suspected as a whole: the chart knows nothing yet.
+    """
+    n = len(v)
+    ends = np.append(starts[1:], n)
+    suspect, scale = _one_way(v, starts, steps, c)
+    back, _ = _one_way(v[::-1], (n - ends)[::-1], steps[::-1], c)
     short = np.repeat(ends - starts < c.warm, ends - starts)
-    return suspect | held | short, scale
+    return suspect | back[::-1] | short, scale
 
 
 def judge(f: np.ndarray, us: np.ndarray, v: np.ndarray, starts: np.ndarray, rules: list[FieldRule], c: Chart):
