@@ -160,9 +160,10 @@ def _rows(kind: str, f, station, us, ids, v, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols[x.name] for x in _ARROW], schema=_ARROW)
 
 
-def _scan(rules: list[FieldRule], c: Chart, final: bool):
-    """Judge one partition sorted by (f, station, us, id). In the first pass the partition's outermost readings are left to
-    the second, which gets ``edge`` readings from either end; ``hole`` marks a reading whose predecessor was not sent."""
+def _scan(rules: list[FieldRule], c: Chart, final: bool, again: bool = False):
+    """Judge one partition sorted by (f, station, us, id). Unless the pass is the final one, the partition's outermost readings are
+    left to the next pass, which gets ``edge`` readings from either end; ``hole`` marks a reading whose predecessor was not sent.
+    ``again``: the rows are edges of an earlier pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
@@ -175,7 +176,7 @@ def _scan(rules: list[FieldRule], c: Chart, final: bool):
         names, st = code.dictionary, code.indices.to_numpy(zero_copy_only=False)
         cut = np.ones(len(f), bool)
         cut[1:] = (f[1:] != f[:-1]) | (st[1:] != st[:-1])
-        if final:
+        if again:
             cut |= t.column("hole").to_numpy(zero_copy_only=False).astype(bool)
         reading = np.ones(len(f), bool)
         reading[1:] = cut[1:] | (us[1:] != us[:-1])
@@ -187,8 +188,9 @@ def _scan(rules: list[FieldRule], c: Chart, final: bool):
         if not final:
             inner[[0, n - 1]] = False
         keep = np.flatnonzero(inner)
-        wide = np.zeros(n, bool)
-        if final:
+        wide, carried = np.zeros(n, bool), np.zeros(n, bool)
+        if again:
+            carried = t.column("hole").to_numpy(zero_copy_only=False).astype(bool)[head]
             w = t.column("wide").to_numpy(zero_copy_only=False).astype(bool)
             wide = np.bitwise_or.reduceat(w, head)
         last = np.append(head[1:], len(f))
@@ -198,9 +200,14 @@ def _scan(rules: list[FieldRule], c: Chart, final: bool):
             """Rows of every copy of the readings ``rd``; with ``which`` the positions in ``more``."""
             count = last[rd] - head[rd]
             rows = np.repeat(head[rd], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            again = np.repeat(np.arange(len(rd)), count)
-            return _rows(kind, f[rows], station(rows), us[rows], ids[rows], v[rows], wide=np.repeat(wide[rd], count), **{k: x[again] for k, x in more.items()})
-
+            each = np.repeat(np.arange(len(rd)), count)
+            return _rows(kind, f[rows], station(rows), us[rows], ids[rows], v[rows], wide=np.repeat(wide[rd], count), **{k: x[each] for k, x in more.items()})
+
+        if not final and not again:
+            low, high = np.array([r.low for r in rules])[f], np.array([r.high for r in rules])[f]
+            out = np.flatnonzero((v < low) | (v > high))
+            if len(out):
+                yield _rows("impossible", f[out], station(out), us[out], ids[out], v[out])
         if len(keep):
             starts_mask = rcut[keep].copy()
             starts_mask[0] = True
@@ -211,7 +218,7 @@ def _scan(rules: list[FieldRule], c: Chart, final: bool):
             if stuck.any():
                 rd = keep[stuck]
                 yield listed("stuck", rd, rd, a=rv[rd])
-            if not final:
+            if not final and not again:
                 bins = np.round(8 * np.log2(np.maximum(scale, 1e-6)))
                 for s, e in zip(starts, np.append(starts[1:], len(keep))):
                     x, cnt = np.unique(bins[s:e][np.isfinite(bins[s:e])], return_counts=True)
@@ -232,25 +239,27 @@ def _scan(rules: list[FieldRule], c: Chart, final: bool):
             hole[rd[0]] = True
         count = np.minimum(last[rd] - head[rd], c.copies)
         rows = np.repeat(head[rd], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        again = np.repeat(rd, count)
+        each = np.repeat(rd, count)
         lead = np.zeros(len(rows), bool)
         lead[np.cumsum(count) - count] = True
-        yield _rows("edge", f[rows], station(rows), us[rows], ids[rows], v[rows], hole=hole[again] & lead, wide=(last - head)[again] > c.copies)
+        yield _rows("edge", f[rows], station(rows), us[rows], ids[rows], v[rows], hole=(hole | (rcut & carried))[each] & lead, wide=((last - head) > c.copies)[each] | wide[each])
 
     return scan
 
 
-def flag_readings(readings: DataFrame, rules: list[FieldRule], cadence: DataFrame, chart: Chart = Chart(), target_rows: int = 200_000) -> DataFrame:
+def flag_readings(readings: DataFrame, rules: list[FieldRule], cadence: DataFrame, chart: Chart = Chart(), target_rows: int = 200_000, rows_about: int | None = None) -> DataFrame:
     """Implausible rows of (field, station, ts_us, row_id, value): (field, row_id, reason, value), one row per row and reason.
 
     ``readings`` holds usable values only; ``cadence`` is (station, cadence_s) and is needed for rules with
     ``max_gap_periods``. Reasons: ``impossible`` (outside low..high), ``spike`` (one to three consecutive readings far from
     those on both sides, which agree) and ``stuck`` (at least twelve equal readings in a row). Rows with equal station and
     time are copies of one reading, for which the smallest id speaks; every copy that carries such a value is listed.
+    ``rows_about``, such as a count from file footers, saves a pass that counts the rows; partitions hold ``target_rows`` of them.
 
     Rows are range-partitioned by (field, station, time, id), so a station, or a group of copies, of any size spreads over
     tasks; charts run within partitions, and partitions exchange their outermost readings (a bounded number each) for a
-    second judgement across the borders. The usual scatter of a station is the median of its charts' scales, taken from
+    second judgement across the borders. Where those edges are many, they are range-partitioned in turn, so no task sees all
+    edges of a station. The usual scatter of a station is the median of its charts' scales, taken from
     histograms of all partitions. NULL fields and stations, and rows without time, are left out; an empty table gives none.
     """
     names = [r.name for r in rules]
@@ -259,14 +268,20 @@ def flag_readings(readings: DataFrame, rules: list[FieldRule], cadence: DataFram
         code = F.when(F.col("field") == x, F.lit(i).cast("byte")).otherwise(code)
     rows = readings.select(code.alias("f"), "station", F.col("ts_us").alias("us"), F.col("row_id").alias("id"), "value").where(
         "f is not null and station is not null and us is not null and id is not null and value is not null")
-    n = partitions_for(readings.count(), target_rows)
-    ranged = rows.repartitionByRange(n, "f", "station", "us", "id").sortWithinPartitions("f", "station", "us", "id")
+    n = partitions_for(readings.count() if rows_about is None else rows_about, target_rows)
+    order = ["f", "station", "us", "id"]
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     first = materialize(ranged.mapInArrow(_scan(rules, chart, False), OUT), "chart-pass")
-    edges = first.where("kind = 'edge'").select("f", "station", "us", "id", "value", "hole", "wide")
-
-    by_series = edges.repartition("f", "station").sortWithinPartitions("f", "station", "us", "id")
-    second = by_series.mapInArrow(_scan(rules, chart, True), OUT)
-    found = materialize(first.where("kind in ('spike', 'stuck')").unionByName(second), "chart-edges")
+    found = first.where("kind in ('spike', 'stuck')")
+    edges, most = first.where("kind = 'edge'").select(*order, "value", "hole", "wide"), 2 * chart.edge * n
+    per = max(target_rows, 16 * chart.edge)  # far more than a partition's edges, so every pass leaves fewer
+    while most > per:
+        n = partitions_for(most, per)
+        step = materialize(edges.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan(rules, chart, False, True), OUT), "chart-edges")
+        found = found.unionByName(step.where("kind in ('spike', 'stuck')"))
+        edges, most = step.where("kind = 'edge'").select(*order, "value", "hole", "wide"), 2 * chart.edge * n
+    by_series = edges.repartition("f", "station").sortWithinPartitions(*order)
+    found = materialize(found.unionByName(by_series.mapInArrow(_scan(rules, chart, True, True), OUT)), "chart-found")
 
     scatter = first.where("kind = 'scale'").groupBy("f", "station", "value").agg(F.sum("n").alias("n")).groupBy("f", "station").agg(
         F.pow(F.lit(2.0), F.percentile("value", 0.5, F.col("n")) / 8).alias("scatter"))
@@ -291,10 +306,6 @@ def flag_readings(readings: DataFrame, rules: list[FieldRule], cadence: DataFram
     wide = found.where("wide").select("kind", "f", "station", "us", "a", "b", "gap_us").distinct()
     if not wide.isEmpty():
         result = result.unionByName(decided(rows.join(wide, ["f", "station", "us"])))
-    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i, r in enumerate(rules):
-        low = F.when(F.col("f") == i, F.lit(r.low)).otherwise(low)
-        high = F.when(F.col("f") == i, F.lit(r.high)).otherwise(high)
-    impossible = rows.where((F.col("value") < low) | (F.col("value") > high)).select("f", "id", F.lit("impossible").alias("kind"), "value")
+    result = result.unionByName(first.where("kind = 'impossible'").select("f", "id", "kind", "value"))
     name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("f").cast("int") + 1)
-    return result.unionByName(impossible).select(name.alias("field"), F.col("id").alias("row_id"), F.col("kind").alias("reason"), "value").distinct()
+    return result.select(name.alias("field"), F.col("id").alias("row_id"), F.col("kind").alias("reason"), "value").distinct()

@@ -67,7 +67,8 @@ def chart_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Implausible rows with the reason."""
-    return flag_readings(chart_readings(spark, sf), RULES, table(spark, sf, "stations").select("station", "cadence_s"))
+    rows = table(spark, sf, "residuals").count() + 2 * table(spark, sf, "weather_readings").count()  # from file footers
+    return flag_readings(chart_readings(spark, sf), RULES, table(spark, sf, "stations").select("station", "cadence_s"), rows_about=rows)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,7 +77,7 @@ def brute(rows, rule, cadence):
     return bad
 
 
-@pytest.mark.parametrize("target", [60, 100_000])
+@pytest.mark.parametrize("target", [60, 400, 100_000])
 def test_flags_equal_definition_at_any_partitioning(spark, target):
     rnd = random.Random(4)
     rows, want = [], set()
