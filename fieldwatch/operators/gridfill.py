@@ -33,19 +33,20 @@ def observed_periods(readings: DataFrame) -> DataFrame:
     """One row a period that has a reading: (field, station, cadence_s, k, value, readings).
 
     ``readings`` holds (field, station, cadence_s, ts, value, received_at), usable values only. The value is that of the
-    reading nearest the middle of the period; of copies (same ts) the latest delivered. Aggregated before the shuffle.
+    reading nearest the middle of the period, of equally near ones the latest delivered, of those the larger value: a total
+    order, so the result depends on nothing else. Aggregated before the shuffle.
     """
     micros, step = epoch_micros(F.col("ts")), F.col("cadence_s").cast("long") * F.lit(1_000_000)
     k = F.floor(micros / step).cast("long")
     off = F.abs(micros - k * step - F.floor(step / 2)).cast("long")
-    late = F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")) - micros, F.lit(0)) / F.lit(1e6)
-    # one LONG orders by distance in milliseconds, then by lateness in seconds: a buffer of two numbers is a hash aggregate
-    order = -(F.floor(off / 1000) * F.lit(1 << 24)) + F.greatest(F.lit(0), F.least(F.lit((1 << 24) - 1), late.cast("long")))
+    came = F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(-(1 << 62)))
+    best = F.struct((-off).alias("near"), came.alias("came"), F.col("value").cast("double").alias("value"))
     return (
         readings.where("cadence_s > 0 and ts is not null")
-        .select(*KEYS, "cadence_s", k.alias("k"), F.col("value").cast("double").alias("value"), order.cast("long").alias("o"))
+        .select(*KEYS, "cadence_s", k.alias("k"), best.alias("best"))
         .groupBy(*KEYS, "cadence_s", "k")
-        .agg(F.max_by("value", "o").alias("value"), F.count(F.lit(1)).alias("readings"))
+        .agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("readings"))
+        .select(*KEYS, "cadence_s", "k", "best.value", "readings")
     )
 
 
@@ -119,18 +120,28 @@ def regular_series(readings: DataFrame, plausible: Column, chunk: int = 4096) ->
 
     Every period [k*cadence_s, (k+1)*cadence_s) between the first and last period of a series that has a usable reading
     comes out once, with status ``observed`` or ``filled``. A filled value is the fitted curve plus the line between the
-    curve's residuals at the observed endpoints of the gap (``filled`` values are NULL, status ``missing``, if an endpoint or
-    the fit is unknown). Series without cadence, or without usable readings, give no rows; an empty table gives none.
+    curve's residuals at the nearest plausible periods on both sides; implausible ones stay ``observed`` as they are and bridge
+    nothing. Where there is none on one side, or no fit, the value is NULL and the status ``missing``. Series without
+    cadence, or without usable readings, give no rows; an empty table gives none.
     """
     observed = materialize(observed_periods(readings), "grid-observed")
     beta = fit(observed, plausible)
-    gaps = rows_before_gaps(observed, [*KEYS, "cadence_s"], "k", ["value"]).join(beta, KEYS, "left")
+    sound = F.coalesce(plausible, F.lit(False))
+    odd = materialize(observed.where(~sound).select(*KEYS, "k"), "grid-odd")  # few; its true size decides how it is joined
+    gaps = rows_before_gaps(observed.where(sound), [*KEYS, "cadence_s"], "k", ["value"]).join(beta, KEYS, "left")
     left, right = F.col("value") - predict(F.col("k")), F.col("next_value") - predict(F.col("next_k"))
     gaps = gaps.select(*KEYS, "cadence_s", "beta", F.col("k").alias("k0"), F.col("next_k").alias("k1"), left.alias("r0"), right.alias("r1"))
+    # before the first and after the last plausible period of a series there is nothing to bridge
+    k = F.col("k")
+    ends = observed.groupBy(*KEYS, "cadence_s").agg(F.min(k).alias("a"), F.max(k).alias("b"), F.min(F.when(sound, k)).alias("pa"), F.max(F.when(sound, k)).alias("pb"))
+    around = F.array(F.struct((F.col("a") - 1).alias("k0"), F.coalesce(F.col("pa"), F.col("b") + 1).alias("k1")), F.struct(F.col("pb").alias("k0"), (F.col("b") + 1).alias("k1")))
+    none = F.lit(None).cast("double")
+    outer = ends.select(*KEYS, "cadence_s", F.inline(around)).where("k1 > k0 + 1").select(
+        *KEYS, "cadence_s", F.lit(None).cast("array<double>").alias("beta"), "k0", "k1", none.alias("r0"), none.alias("r1"))
     # a gap of any length is cut in chunks before its periods are listed, so no row holds a long array
-    parts = gaps.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("k1") - F.col("k0") - 2) / chunk))))
+    parts = gaps.unionByName(outer).withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("k1") - F.col("k0") - 2) / chunk))))
     lo = F.col("k0") + 1 + F.col("c") * chunk
-    periods = parts.withColumn("k", F.explode(F.sequence(lo, F.least(lo + chunk - 1, F.col("k1") - 1))))
+    periods = parts.withColumn("k", F.explode(F.sequence(lo, F.least(lo + chunk - 1, F.col("k1") - 1)))).join(odd, [*KEYS, "k"], "left_anti")
     share = (F.col("k") - F.col("k0")).cast("double") / (F.col("k1") - F.col("k0"))
     value = predict(F.col("k")) + F.col("r0") + (F.col("r1") - F.col("r0")) * share
     filled = periods.withColumn("value", value).select(
@@ -139,3 +150,24 @@ def regular_series(readings: DataFrame, plausible: Column, chunk: int = 4096) ->
     )
     kept = observed.select(*KEYS, (F.col("k") * F.col("cadence_s")).alias("period_start"), "value", F.lit("observed").alias("status"), "readings")
     return kept.unionByName(filled)
+
+
+def holdout_error(readings: DataFrame, plausible: Column, run_s: int = 21600, share: int = 10) -> DataFrame:
+    """How well the operator fills what is known: (field, periods, mae_filled, mae_line, rmse_filled, rmse_line).
+
+    Of every ``share`` runs of ``run_s`` seconds of a series one, chosen by a hash, is hidden; the operator fills the rest, and its
+    values are held against the hidden plausible readings, beside those of a straight line between the gap's ends.
+    """
+    hidden = F.pmod(F.xxhash64("station", F.floor(epoch_micros(F.col("ts")) / (run_s * 1_000_000)).cast("long")), F.lit(share)) == 0
+    truth = observed_periods(readings.where(hidden)).where(plausible).select(*KEYS, (F.col("k") * F.col("cadence_s")).alias("period_start"), F.col("value").alias("truth"))
+    whole = regular_series(readings.where(~hidden), plausible)
+    seen = whole.where("status = 'observed'").where(plausible)
+    told = whole.where("status = 'filled'").select(*KEYS, "period_start", "value").join(truth, [*KEYS, "period_start"])
+    line = rows_before_gaps(seen, KEYS, "period_start", ["value"], 4096 * 60)
+    step = F.floor(F.col("period_start") / 86400).cast("long")
+    days = line.withColumn("d", F.explode(F.sequence(step, F.floor(F.col("next_period_start") / 86400).cast("long"))))
+    days = days.select(*KEYS, "d", F.col("period_start").alias("t0"), F.col("next_period_start").alias("t1"), F.col("value").alias("v0"), F.col("next_value").alias("v1"))
+    both = told.withColumn("d", step).join(days, [*KEYS, "d"]).where("period_start > t0 and period_start < t1")
+    straight = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("period_start") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    e, g = F.abs(F.col("value") - F.col("truth")), F.abs(straight - F.col("truth"))
+    return both.groupBy("field").agg(F.count(F.lit(1)).alias("periods"), F.avg(e).alias("mae_filled"), F.avg(g).alias("mae_line"), F.sqrt(F.avg(e * e)).alias("rmse_filled"), F.sqrt(F.avg(g * g)).alias("rmse_line"))

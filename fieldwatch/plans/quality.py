@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.functions.values import MISSING_MARK, epoch_micros, usable
 from fieldwatch.operators.controlchart import FieldRule, flag_readings
-from fieldwatch.operators.gridfill import regular_series
+from fieldwatch.operators.gridfill import holdout_error, regular_series
 from fieldwatch.session import table
 from fieldwatch.sources.rawcsv import judge_lines, typed_rows
 
@@ -22,10 +22,19 @@ def grid_readings(spark: SparkSession, sf: str) -> DataFrame:
     return mag.unionByName(met).join(stations, "station")
 
 
+def plausible() -> Column:
+    """Physical limits of the gridded fields."""
+    return F.when(F.col("field") == "residual", F.abs("value") <= 3000).otherwise(F.col("value").between(-90, 60))
+
+
 def p1_series(spark: SparkSession, sf: str) -> DataFrame:
     """The regular series of both fields: observed and filled periods."""
-    plausible = F.when(F.col("field") == "residual", F.abs("value") <= 3000).otherwise(F.col("value").between(-90, 60))
-    return regular_series(grid_readings(spark, sf), plausible)
+    return regular_series(grid_readings(spark, sf), plausible())
+
+
+def p1_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of filled values against hidden readings."""
+    return holdout_error(grid_readings(spark, sf), plausible())
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +95,7 @@ def p5_rows(spark: SparkSession, sf: str) -> DataFrame:
     return typed_rows(judge_lines(table(spark, sf, "raw_weather_lines")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_series": p1_series, "p2_found": p2_found, "p2_flags": p2_flags, "p5_found": p5_found, "p5_rows": p5_rows}
+QUERIES = {"p1_found": p1_found, "p1_series": p1_series, "p1_holdout": p1_holdout, "p2_found": p2_found, "p2_flags": p2_flags, "p5_found": p5_found, "p5_rows": p5_rows}
 
 _FIELD = r'("([^"]|"")*"|[^",]*)'
 _LINES_SQL = f"""

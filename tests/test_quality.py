@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwatch.operators.controlchart import FieldRule, flag_readings
-from fieldwatch.operators.gridfill import regular_series
+from fieldwatch.operators.gridfill import holdout_error, regular_series
 from fieldwatch.plans.quality import RULES
 from fieldwatch.sources.rawcsv import exact, judge_lines, typed_rows
 
@@ -41,6 +41,30 @@ def test_fill_follows_a_daily_curve(spark):
     assert len(out) == 72 and max(abs(a - b) for a, b in zip(out["value"], want)) < 1.0
 
 
+def test_an_implausible_reading_bridges_nothing(spark):
+    rows = grid_rows(spark, [*range(0, 6000, 60), *range(6600, 12000, 60)]).withColumn("value", F.when(F.minute("ts") + 60 * F.hour("ts") == 99, 99998.0).otherwise(5.0))
+    out = {r.period_start % 86400 // 60: (r.value, r.status) for r in regular_series(rows, F.abs("value") <= 3000).collect()}
+    assert out[99] == (99998.0, "observed") and all(out[m][1] == "filled" and abs(out[m][0] - 5) < 1e-6 for m in range(100, 110))
+    only = regular_series(grid_rows(spark, [0, 300]).withColumn("value", F.lit(99998.0)), F.abs("value") <= 3000).collect()
+    assert sorted(r.status for r in only) == ["missing"] * 4 + ["observed"] * 2
+
+
+def test_equally_near_readings_have_an_order(spark):
+    at = lambda s, v, late: ("residual", "s", T0 + timedelta(seconds=s), v, T0 + timedelta(seconds=late), 60)
+    rows = [at(20, 1.0, 100), at(40, 2.0, 90), at(20, 3.0, 100), at(5, 9.0, 500)]
+    for k in range(3):
+        frame = spark.createDataFrame(rows[k:] + rows[:k], GRID).repartition(3)
+        assert [(r.value, r.readings) for r in regular_series(frame, F.lit(True)).collect()] == [(3.0, 4)]
+
+
+def test_holdout_error_is_small_on_a_daily_curve(spark):
+    import math
+
+    rows = grid_rows(spark, range(0, 86400 * 6, 600), 600).withColumn("value", 10 * F.sin(F.unix_timestamp(F.col("ts").cast("timestamp")) * (2 * math.pi / 86400)))
+    r = holdout_error(rows, F.lit(True)).first()
+    assert r.periods > 10 and r.mae_filled < 0.5 and r.mae_filled < r.mae_line
+
+
 def test_grid_of_odd_input(spark):
     assert regular_series(grid_rows(spark, []), F.lit(True)).count() == 0
     odd = grid_rows(spark, [1]).unionByName(grid_rows(spark, [1, 200], cadence=0, station="t")).withColumn("ts", F.when(F.col("station") == "t", F.lit(None).cast("timestamp_ntz")).otherwise(F.col("ts")))
