@@ -17,8 +17,8 @@ def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers and unused room per kind."""
-    return fill_report(p6_packed(spark, sf), table(spark, sf, "capacities"))
+    """Containers, the least that could do, and unused room per kind."""
+    return fill_report(p6_packed(spark, sf))
 
 
 def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
