@@ -16,7 +16,8 @@ def p3_matches(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "index_bulletins").select(F.col("bulletin_id").alias("id"), level_code(F.col("observatory")).alias("entity"), "ts")
     right = table(spark, sf, "residuals").where(usable(F.col("residual"), MISSING_MARK)).select(
         F.col("reading_id").alias("id"), level_code(F.col("observatory")).alias("entity"), "ts")
-    return nearest_in_time(left, right, 90.0).select(F.col("left_id").alias("bulletin_id"), F.col("right_id").alias("reading_id"), "offset_us")
+    rows = sum(table(spark, sf, name).count() for name in ("index_bulletins", "residuals"))  # from file footers
+    return nearest_in_time(left, right, 90.0, rows_about=rows).select(F.col("left_id").alias("bulletin_id"), F.col("right_id").alias("reading_id"), "offset_us")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,7 +91,7 @@ def prefix_scan(edges: DataFrame) -> DataFrame:
     return local.join(total, ["entity", "chunk"]).select("pid", "entity", F.greatest("before", "far_before").alias("before"), F.least("after", "far_after").alias("after"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: float, target_rows: int = 250_000) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: float, target_rows: int = 250_000, rows_about: int | None = None) -> DataFrame:
     """For each row of ``left`` (id, entity, ts) the row of ``right`` (id, entity, ts) of the same entity that is nearest in
     time: (left_id, right_id, offset_us), right minus left in microseconds.
 
@@ -100,14 +100,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: float, targe
     as they come in. Further columns are not passed on.
 
     Both tables are range-partitioned together by (entity, time, id), so that a large entity spreads over tasks. Partitions
-    are scanned locally; right rows at partition edges reach other partitions by a prefix scan.
+    are scanned locally; right rows at partition edges reach other partitions by a prefix scan. ``rows_about``, such as a count from
+    file footers, saves two passes that count the rows.
     """
     def side(df: DataFrame, is_left: bool) -> DataFrame:
         return df.select("entity", epoch_micros(F.col("ts")).alias("us"), F.lit(is_left).alias("is_left"), F.col("id").cast("long").alias("id"))
 
     lost = side(left, True).where("entity is null or us is null")
     whole = side(left, True).unionByName(side(right, False)).where("entity is not null and us is not null")
-    n = partitions_for(left.count() + right.count(), target_rows)
+    n = partitions_for(left.count() + right.count() if rows_about is None else rows_about, target_rows)
     ranged = whole.repartitionByRange(n, "entity", "us", "is_left", "id").sortWithinPartitions("entity", "us", "is_left", "id")
     scanned = materialize(ranged.mapInArrow(_scan, OUT), "nearest-pass")
     carry = prefix_scan(scanned.where("edge"))
