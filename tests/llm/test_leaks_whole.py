@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from test_texts import DOC, passage
 
-from fieldwatch.llm.leaks import find_leaks
+from fieldwatch.llm.leaks import find_leaks, remove_leaks, words
 
 ITEM = "item_id string, passage string"
 
@@ -47,3 +48,26 @@ def test_three_tenths_of_short_items_and_repeated_halves(spark):
     got = {(r.doc_id, r.item_id): r for r in find_leaks(df, spark.createDataFrame(items, ITEM)).collect()}
     assert got.keys() == {(1, "short"), (2, "short"), (4, "halves")}
     assert got[4, "halves"].share == 0.98 and len(got[4, "halves"].spans) == 2
+
+
+@pytest.mark.parametrize("n, k", [(100, 4), (100, 21), (100, 100), (1000, 21), (1000, 1000)])
+def test_an_item_is_found_however_many_documents_carry_it(spark, n, k):
+    rnd = random.Random(10)
+    item = passage(rnd)
+    docs = [(d, passage(rnd, 20) + (" " + item if d < k else "") + " " + passage(rnd, 20), "x") for d in range(n)]
+    got = {r.doc_id for r in find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([("ev", item)], ITEM)).collect()}
+    assert got == set(range(k))
+
+
+def test_long_markup_and_removal(spark):
+    rnd = random.Random(11)
+    item = passage(rnd)
+    w = item.split()
+    tag = "<span class='" + "x " * 400 + "'>"
+    docs = [(1, passage(rnd, 20) + " " + " ".join(w[:20]) + tag + " ".join(w[20:]), "a"), (None, item, "b"), (2, None, "c"), (3, "a < b and c > d", "d")]
+    df = spark.createDataFrame(docs, DOC)
+    leaks = find_leaks(df.where("doc_id is not null"), spark.createDataFrame([("ev", item)], ITEM))
+    assert [(r.doc_id, r.share) for r in leaks.collect()] == [(1, 1.0)]
+    cut = {r.hits: r.text for r in remove_leaks(df, leaks).collect()}
+    assert cut["b"] == item and cut["c"] is None and cut["d"] == "a < b and c > d" and len(words(cut["a"])) == 20
+    assert words("a < b and c > d") == ["a", "b", "and", "c", "d"]
