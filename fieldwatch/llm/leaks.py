@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from fieldwatch.session import materialize, partitions_for
 
 _WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n\s*(?=[^\W\d_])")
 _TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: Typographic signs that keep a text of a Latin script from one byte a letter.
+_SIGNS = "\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2020\u2022\u2026\u2039\u203a\u20ac"
+#: One byte a letter: letters and digits in lower case, everything else a blank.
+_LEVEL = bytes(ord(c.lower()) if c.isalnum() and len(c.lower()) == 1 and ord(c.lower()) < 256 else 32 for c in map(chr, range(256)))
 
 
 @dataclass(frozen=True)
@@ -51,13 +55,27 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+        text = unicodedata.normalize("NFKC", text)
+        for sign in _INVISIBLE:
+            if sign in text:
+                text = text.replace(sign, "")
     return text
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words of the plain text."""
-    return _WORD.findall(plain(text).lower())
+    """Lower-case words of the plain text: ``_WORD`` over its lower case, by byte tables where every letter is one byte."""
+    text = plain(text)
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        level = text
+        for sign in _SIGNS:
+            level = level.replace(sign, " ")
+        try:
+            raw = level.encode("latin-1")
+        except UnicodeEncodeError:
+            return _WORD.findall(text.lower())
+    return raw.translate(_LEVEL).decode("latin-1").split()
 
 
 #: Odd multipliers, one a place of an n-gram, from the fractional part of the golden ratio.
