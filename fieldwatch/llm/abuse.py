@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.llm.lexicon import DEMOTED, PATTERNS, SOBER, STRONG, WEAK
+from fieldwatch.llm.lexicon import AMBIGUOUS, PATTERNS, SOBER, STRONG, WEAK
 
 OUT = "doc_id long, source string, score double, category string, matches int, quoted boolean"
 
@@ -19,107 +22,185 @@ OUT = "doc_id long, source string, score double, category string, matches int, q
 ALIKE = str.maketrans("аеорсухіјѕԁһӏκονρτυαεικӓёβмтнвкАЕОРСУХІЈЅТНВМК", "aeopcyxijsdhlkovptuaeikaebmthbkaeopcyxijsthbmk")
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e", "£": "l", "|": "il"}
 HIDES = "*#-_%.+?~=·•"
-INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿᠎"))
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e"
+
+#: What a window is scored by, and the weights that labelled samples only adjust.
+FEATURES = ["always", "strong", "near_long", "near_short", "weak", "insult", "threat", "hate", "sexual", "framed", "addressed", "sober", "quoted"]
+PRIOR = (-4.0, 6.0, 4.6, 2.0, 0.3, 7.0, 7.0, 7.0, 7.0, 3.0, 0.8, -2.5, 0.0)
 
 
 @dataclass(frozen=True)
 class AbuseRule:
     """Settings of the score."""
 
-    edits_from: int = 7  # words so long may have one wrong letter
+    edits_from: int = 4  # lexicon words so long may have one wrong, missing, additional or exchanged letter
+    long_from: int = 7  # in shorter ones that counts for little without a context that is abusive
     two_edits_from: int = 11
     window: int = 14  # words on either side that are context
+    close: int = 6  # words on either side that make its sense sober
     threshold: float = 0.8
     cache: int = 400_000  # distinct written forms a task remembers
+    most_samples: int = 100_000  # labelled rows that the weights are fitted to
+    ridge: float = 2.0  # pull of the weights towards ``PRIOR``
+    word_vocabulary: str = "/opt/tokenizers/word_bpe_49k.json"  # public vocabularies: their whole words are no misspellings
+    byte_vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
-class Trie:
-    """A lexicon as a trie; ``find`` walks it together with the Levenshtein automaton of a written form.
+class Automaton:
+    """Levenshtein automata of all lexicon words at once: a trie whose nodes are walked with a count of edits.
 
-    The automaton's state is the row of edit distances; branches whose row has no entry within the limit are cut. A sign
-    that stands for letters matches those at no cost, a sign that hides a letter matches any one.
+    An edit is a wrong, missing or additional letter, or two neighbours exchanged. A state is the set of (node, edits, letter still
+    owed by an exchange) that a beginning of a form can be at; states and steps are made when first needed and kept, so that a
+    form costs one lookup a letter. ``limit_of`` gives the edits that a word may have.
     """
 
-    def __init__(self, words: list[str]):
-        self.root: dict = {}
+    def __init__(self, words: list[str], limit_of, most_states: int = 200_000):
+        self.children: list[dict[str, int]] = [{}]
+        self.word: list[str | None] = [None]
+        self.limit: list[int] = [-1]  # the most edits of any word below the node
+        self.allowed = {w: limit_of(w) for w in words}
         for w in words:
-            node = self.root
+            node = 0
+            path = [0]
             for ch in w:
-                node = node.setdefault(ch, {})
-            node[""] = w
-
-    def find(self, form: str, limit_of, node: dict | None = None, row: list[int] | None = None) -> str | None:
-        """The nearest word within the limit of edits; ``node`` and ``row`` start the walk inside the trie."""
-        best: tuple[int, int, str] | None = None
-        most = limit_of(form)
-        n = len(form)
-        stack = [(self.root if node is None else node, list(range(n + 1)) if row is None else row)]
-        while stack:
-            node, row = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    d = row[n]
-                    if d <= min(most, limit_of(child)) and (best is None or (d, -len(child)) < best[:2]):
-                        best = (d, -len(child), child)
-                    continue
-                last = row[0] + 1
-                new = [last]
-                low = last
-                for i in range(n):
-                    c = form[i]
-                    d = row[i]
-                    if c != ch and c not in HIDES and ch not in STANDS_FOR.get(c, ""):
-                        d += 1
-                    if row[i + 1] < d:
-                        d = row[i + 1] + 1
-                    if last < d:
-                        d = last + 1
-                    new.append(d)
-                    last = d
-                    if d < low:
-                        low = d
-                if low <= most:
-                    stack.append((child, new))
-        return best[2] if best else None
+                if ch not in self.children[node]:
+                    self.children[node][ch] = len(self.children)
+                    self.children.append({})
+                    self.word.append(None)
+                    self.limit.append(-1)
+                node = self.children[node][ch]
+                path.append(node)
+            self.word[node] = w
+            for n in path:
+                self.limit[n] = max(self.limit[n], self.allowed[w])
+        self.most_states = most_states
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.state: list[frozenset] = []
+        self.told: list[tuple[int, str] | None] = []
+        self.step: dict[tuple[int, str], int] = {}
+        self._enter({(0, ""): 0} if self.limit[0] >= 0 else {})
+
+    def _enter(self, at: dict[tuple[int, str], int]) -> int:
+        """The number of a state; letters that the form leaves out are skipped here."""
+        todo = list(at)
+        while todo:
+            node, owed = todo.pop()
+            e = at[node, owed]
+            if owed:
+                continue
+            for child in self.children[node].values():
+                if e < self.limit[child] and at.get((child, ""), 9) > e + 1:
+                    at[child, ""] = e + 1
+                    todo.append((child, ""))
+        key = frozenset((n, w, e) for (n, w), e in at.items())
+        if key not in self.number:
+            self.number[key] = len(self.state)
+            self.state.append(key)
+            ends = [(e, -len(self.word[n]), self.word[n]) for n, w, e in key if not w and self.word[n] and e <= self.allowed[self.word[n]]]
+            self.told.append((min(ends)[0], min(ends)[2]) if ends else None)
+        return self.number[key]
+
+    def _next(self, s: int, c: str) -> int:
+        at: dict[tuple[int, str], int] = {}
+
+        def put(node: int, owed: str, e: int) -> None:
+            if e <= self.limit[node] and at.get((node, owed), 9) > e:
+                at[node, owed] = e
+
+        for node, owed, e in self.state[s]:
+            if owed:
+                if c == owed:
+                    put(node, "", e)
+                continue
+            put(node, "", e + 1)
+            for ch, child in self.children[node].items():
+                put(child, "", e + (ch != c))
+                if ch != c and c in self.children[child]:
+                    put(self.children[child][c], ch, e + 1)
+        return self._enter(at)
+
+    def find(self, form: str) -> tuple[int, str] | None:
+        """(edits, word) of the nearest word, of equally near ones the longest; None beyond the limits."""
+        if len(self.state) > self.most_states:
+            self._forget()
+        s = 0
+        for c in form:
+            n = self.step.get((s, c))
+            if n is None:
+                n = self.step[s, c] = self._next(s, c)
+            s = n
+            if not self.state[s]:
+                return None
+        return self.told[s]
 
     def hidden(self, form: str) -> str | None:
         """The first word of equal length that a form with signs in place of letters can stand for."""
-        stack = [(self.root, 0)]
+        stack = [(0, 0)]
         n = len(form)
         while stack:
             node, i = stack.pop()
             if i == n:
-                if "" in node:
-                    return node[""]
+                if self.word[node]:
+                    return self.word[node]
                 continue
             c = form[i]
             if c in HIDES:
-                stack += [(child, i + 1) for ch, child in node.items() if ch]
+                stack += [(child, i + 1) for child in self.children[node].values()]
             else:
-                stack += [(node[ch], i + 1) for ch in c + STANDS_FOR.get(c, "") if ch in node]
+                stack += [(self.children[node][ch], i + 1) for ch in c + STANDS_FOR.get(c, "") if ch in self.children[node]]
         return None
 
-    def near(self, form: str, limit_of) -> str | None:
-        """``find`` for words that begin with the same letter: the walk starts behind it."""
-        child = self.root.get(form[0])
-        return self.find(form, limit_of, child, [1, *range(len(form))]) if child else None
-
 
 def _lexicon() -> tuple[frozenset, frozenset, dict[str, str]]:
-    demoted = set(DEMOTED.split())
+    unsure = set(AMBIGUOUS.split())
     category = {w: c for c, text in STRONG.items() for w in text.split()}
-    strong = frozenset(w for w in category if w not in demoted)
-    weak = frozenset(WEAK.split()) | demoted
+    strong = frozenset(w for w in category if w not in unsure)
+    weak = frozenset(WEAK.split()) | unsure
     return strong, weak - strong, category
 
 
+def _limit(rule: AbuseRule):
+    return lambda w: 2 if len(w) >= rule.two_edits_from else 1 if len(w) >= rule.edits_from else 0
+
+
+def _bare(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower().replace("ß", "ss")
+
+
+def real_words(rule: AbuseRule = AbuseRule()) -> frozenset[str]:
+    """Words of the public vocabularies that a lexicon word is few edits from; they are no misspellings of it."""
+    with open(rule.word_vocabulary, encoding="utf-8") as f:
+        whole = {w[:-4] for w in json.load(f)["model"]["vocab"] if w.endswith("</w>")}
+    with open(rule.byte_vocabulary, "rb") as lines:
+        for line in lines:
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+            if token.startswith(" "):
+                whole.add(token[1:])
+    strong, weak, _ = _lexicon()
+    automaton = Automaton(sorted(strong | weak), _limit(rule))
+    bare = {_bare(w) for w in whole if w.isalpha() and len(w) >= 3}
+    return frozenset(w for w in bare if w not in strong | weak and automaton.find(w))
+
+
 _LETTERS = re.compile(r"[^\W\d_]")
 _EDGE = "\"'“”„«»‚‘’‹›()[]{}<>,;:.?¶…"
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SPELLED = re.compile(r"(?:[^\W_][-_.*+~·•]){2,}[^\W_]")
+NEAR = "\x02"
 _PARTS = re.compile(r"[-_/'’<>,.;:()\[\]]+")
 
 
+def visible(text: str) -> str:
+    """Text without invisible characters."""
+    for sign in INVISIBLE:
+        if sign in text:
+            text = text.replace(sign, "")
+    return text
+
+
 def level(chunk: str) -> str:
     """A written form without case, accents, invisible and look-alike letters, or marks at its edges."""
     if not chunk.isascii():
@@ -128,51 +209,45 @@ def level(chunk: str) -> str:
                 chunk = chunk.encode("cp1252").decode("utf-8")
             except UnicodeError:
                 pass
-        chunk = unicodedata.normalize("NFKC", chunk.translate(INVISIBLE)).translate(ALIKE)
+        chunk = unicodedata.normalize("NFKC", visible(chunk)).translate(ALIKE)
         chunk = "".join(c for c in unicodedata.normalize("NFKD", chunk) if not unicodedata.combining(c))
     return chunk.lower().strip(_EDGE).rstrip("!").replace("ß", "ss")
 
 
 class Matcher:
-    """Lexicon words behind written forms, remembered by form."""
+    """Lexicon words behind written forms, remembered by form. ``real``: words that are no misspellings."""
 
-    def __init__(self, rule: AbuseRule):
-        self.rule = rule
+    def __init__(self, rule: AbuseRule, real: frozenset[str], weights: tuple[float, ...] = PRIOR):
+        self.rule, self.real, self.weights = rule, real, weights
         self.strong, self.weak, self.category = _lexicon()
         self.known = self.strong | self.weak
-        self.trie = Trie(sorted(self.known))
+        self.automaton = Automaton(sorted(self.known), _limit(rule))
         self.clean: dict[str, list[str]] = {}
         self.hit: dict[str, list[str]] = {}
 
-    def _limit(self, word: str) -> int:
-        n = len(word)
-        return 2 if n >= self.rule.two_edits_from else 1 if n >= self.rule.edits_from else 0
-
     def word(self, form: str) -> str | None:
-        """The lexicon word that one levelled form stands for."""
+        """The lexicon word that one levelled form stands for; a misspelt one comes with a mark before it."""
         if form in self.known:
             return form
         n = len(form)
         letters = sum(c.isalpha() for c in form)
-        if n < 3 or n > 24 or letters < 1 or letters * 2 < n - 1 and any(c in HIDES for c in form):
+        if n < 3 or letters < 1 or letters * 2 < n - 1 and any(c in HIDES for c in form):
             return None
         if letters < 2 and (n < 4 or any(c not in STANDS_FOR and not c.isalpha() for c in form)):
             return None
         if letters < n:  # something stands for letters: nothing else may differ
             if form[0] in HIDES or not form[-1].isalnum() and form[-1] not in HIDES:
                 return None
-            return self.trie.hidden(form)
-        if form[0] in "0123456789":
-            return None
+            return self.automaton.hidden(form)
         if _REPEAT.search(form):
             for keep in (r"\1", r"\1\1"):
                 once = _REPEAT.sub(keep, form)
                 if once in self.known:
                     return once
-        if n < self.rule.edits_from:
+        if form in self.real:
             return None
-        found = self.trie.near(form, self._limit)
-        return found if found and found[0] == form[0] and found in self.strong and abs(len(found) - n) <= 1 else None
+        found = self.automaton.find(form)
+        return NEAR + found[1] if found else None
 
     def read(self, chunk: str) -> list[str]:
         """Levelled words of a chunk between blanks, lexicon words in place of their written forms."""
@@ -204,7 +279,7 @@ class Matcher:
             if not _LETTERS.search(c):
                 continue  # numbers are many and hide no word
             read = self.read(c)
-            hits = [w for w in read if w in self.known]
+            hits = [w for w in read if w in self.known or w[0] == NEAR]
             if hits:
                 self.hit[c] = hits
                 found = True
@@ -215,7 +290,13 @@ class Matcher:
 
 _PATTERNS = [(c, re.compile(p), w) for c, p, w in PATTERNS]
 _SOBER = re.compile(SOBER)
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
+_ADDRESSED = re.compile(r"\b(?:you|your|yourself|u|du|dich|dir|dein|deine|ihr|euch|tu|toi|te|ton|ta|vous|tú|ti|eres|sois)\b")
+#: The word itself, marked, is what somebody is called.
+_FRAMED = re.compile(
+    r"\b(?:you|u|you are|you re|youre|are you|such|what|listen|called (?:me|him|her|them|us))(?: (?:an?|nothing but an?|just an?|all|such an?|little|\w+ing|\w+y|\w+ed|\w+less|\w+id)){0,3} \x03|\x03 you\b|\byou (?:\w+ ){0,3}\x03"
+    r"|\b(?:du|ihr|sie)(?: (?:bist|seid|sind|eine?|\w+[er])){0,3} \x03|\b(?:tu es|vous etes|espece de|sale|pauvre|gros|grosse)(?: \w+)? \x03|\b(?:eres|sois|es|callate|maldit[oa])(?: una?)?(?: \w+)? \x03|\x03 de mierda\b"
+)
+_BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n\s*(?=[^\W\d_])")
 _HEADER = re.compile(r"(?mi)^.*\b(?:page|seite|página|folio)\s+\d+\s+(?:of|von|sur|de)\s+\d+.*$")
 _QUOTES = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 _SPACED = b"\x01\x01\x01"
@@ -237,63 +318,104 @@ def _join_spelled(chunks: list[str]) -> list[str]:
     return out
 
 
-def score_text(text: str | None, m: Matcher) -> tuple[float, str | None, int, bool]:
-    """Score, category, number of matches and whether all of them stand in quotation marks."""
+def windows(text: str | None, m: Matcher) -> Iterator[tuple[int, str | None, list[float]]]:
+    """(number of the word, category, features) of every lexicon word of a text, exact or misspelt, with the words around it."""
     if not text:
-        return 0.0, None, 0, False
+        return
     if "-\n" in text or "-\r\n" in text or "- \n" in text:
         text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = text.translate(INVISIBLE)
+        text = visible(text)
     chunks = text.split()
     try:
         spaced = _SPACED in bytes(map(len, chunks))
     except ValueError:  # a chunk of more than 255 characters
         spaced = _SPACED in bytes(min(len(c), 255) for c in chunks)
     if not m.suspicious(set(chunks)) and not spaced:
-        return 0.0, None, 0, False
+        return
     if "age " in text or "eite " in text or "gina " in text:
         chunks = _HEADER.sub(" ", text).split()
     chunks = _join_spelled(chunks) if spaced else chunks
     words: list[str] = []
     marks: list[bool] = []
-    hot: list[int] = []
+    hot: list[tuple[int, bool]] = []
     quote = False
     for c in chunks:
         opens = bool(_QUOTES.search(c))
         read = m.clean[c] if c in m.clean else m.read(c)
         for w in read:
-            if w in m.known:
-                hot.append(len(words))
+            near = w[0] == NEAR
+            w = w[1:] if near else w
+            if near or w in m.known:
+                hot.append((len(words), near))
             words.append(w)
             marks.append(quote or opens)
         quote = quote ^ (len(_QUOTES.findall(c)) % 2 == 1)
-    best, category, matches, inside = 0.0, None, 0, True
-    done = -1
-    for i in hot:
-        if i <= done:
-            continue
-        lo, hi = max(0, i - m.rule.window), min(len(words), i + m.rule.window + 1)
-        around = " ".join(words[lo:hi])
-        value, kind = (1.0, m.category[words[i]]) if words[i] in m.strong else (0.0, None)
-        if not value:
-            for c, p, w in _PATTERNS:
-                if w > value and p.search(around):
-                    value, kind = w, c
-            if value and value < 1.0 and _SOBER.search(around):
-                value *= 0.5
-        if value >= m.rule.threshold:
-            matches += 1
-            inside &= marks[i]
-            done = i + m.rule.window
+    for i, near in hot:
+        around = " ".join(words[max(0, i - m.rule.window): i + m.rule.window + 1])
+        close = words[max(0, i - m.rule.close): i], words[i + 1: i + m.rule.close + 1]
+        found, kind, best = dict.fromkeys(("insult", "threat", "hate", "sexual"), 0.0), None, 0.0
+        for c, p, w in _PATTERNS:
+            if w > found[c] and p.search(around):
+                found[c] = w
+                kind, best = (c, w) if w > best else (kind, best)
+        strong, long = words[i] in m.strong, len(words[i]) >= m.rule.long_from
+        kind = m.category[words[i]] if strong and not best else kind
+        yield i, kind, [1.0, float(strong and not near), float(strong and near and long), float(strong and near and not long), float(not strong), *found.values(),
+                        float(_FRAMED.search(" ".join([*close[0], "\x03", *close[1]])) is not None), float(_ADDRESSED.search(around) is not None),
+                        float(min(2, len(_SOBER.findall(" ".join([*close[0], words[i], *close[1]]))))), float(marks[i])]
+
+
+def _squash(x: float) -> float:
+    return 1 / (1 + np.exp(-x))
+
+
+def score_text(text: str | None, m: Matcher) -> tuple[float, str | None, int, bool]:
+    """Score, category, number of matches and whether all of them stand in quotation marks."""
+    best, category, matches, inside, done = 0.0, None, 0, True, -1
+    for i, kind, features in windows(text, m):
+        value = float(_squash(sum(w * x for w, x in zip(m.weights, features))))
         if value > best:
             best, category = value, kind
+        if value >= m.rule.threshold and i > done:
+            matches += 1
+            inside &= features[-1] > 0
+            done = i + m.rule.window
     return best, category, matches, bool(matches) and inside
 
 
-def _scorer(rule: AbuseRule):
+def fit_weights(samples: list[tuple[str, bool]], m: Matcher) -> tuple[float, ...]:
+    """Weights of the features by logistic regression on labelled texts, pulled towards ``PRIOR``; a text counts by its worst window
+    under the prior. Wrong labels weigh little, since one text moves the weights little."""
+    prior = np.array(PRIOR)
+    rows, told = [], []
+    for text, bad in samples:
+        each = [f for _, _, f in windows(text, m)]
+        rows.append(max(each, key=lambda f: float(prior @ f)) if each else [1.0] + [0.0] * (len(FEATURES) - 1))
+        told.append(float(bad))
+    x, y, w = np.array(rows).reshape(-1, len(FEATURES)), np.array(told), prior.copy()
+    for _ in range(50):
+        p = _squash(np.clip(x @ w, -30, 30))
+        slope = x.T @ (y - p) - m.rule.ridge * (w - prior)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + m.rule.ridge * np.eye(len(w))
+        move = np.linalg.solve(curve, slope)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
+            break
+    return tuple(w.tolist())
+
+
+def learn(samples: DataFrame, rule: AbuseRule = AbuseRule()) -> tuple[frozenset[str], tuple[float, ...]]:
+    """What ``score_documents`` needs from the vocabularies and from labelled rows (text, verdict): real words and weights. At most
+    ``most_samples`` rows are fitted; rows without text or verdict are left out, without any the weights are ``PRIOR``."""
+    rows = samples.where("text is not null and verdict in ('offensive', 'acceptable')").select("text", "verdict").limit(rule.most_samples).collect()
+    real = real_words(rule)
+    return real, fit_weights(sorted((r.text, r.verdict == "offensive") for r in rows), Matcher(rule, real))
+
+
+def _scorer(rule: AbuseRule, broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(rule)
+        m = Matcher(rule, *broadcast.value)
         for batch in batches:
             rows = [score_text(t, m) for t in batch.column(2).to_pylist()]
             s, c, n, q = zip(*rows) if rows else ((), (), (), ())
@@ -303,14 +425,18 @@ def _scorer(rule: AbuseRule):
     return score
 
 
-def score_documents(documents: DataFrame, rule: AbuseRule = AbuseRule()) -> DataFrame:
+def score_documents(documents: DataFrame, samples: DataFrame | None = None, rule: AbuseRule = AbuseRule()) -> DataFrame:
     """One row for every document of (doc_id, source, text): score 0 to 1, category of the worst passage, passages at or above
     the threshold, and whether all of these stand in quotation marks (as a witness's words do).
 
+    Every lexicon word, exact, disguised or misspelt, is scored with the words around it: abusive turns of phrase, being addressed, sober
+    surroundings and quotation marks; the weights are fitted to the labelled ``samples`` (text, verdict) where given.
     Whole texts are read where they lie, without a shuffle; documents of any kind of source cost alike. NULL and empty
     texts have score 0; copies are scored one by one; an empty table gives none. Further columns are not passed on.
     """
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_scorer(rule), OUT)
+    learned = learn(samples, rule) if samples is not None else (real_words(rule), PRIOR)
+    broadcast = documents.sparkSession.sparkContext.broadcast(learned)  # bounded by vocabularies and lexicon
+    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_scorer(rule, broadcast), OUT)
 
 
 def rates_by_source(scores: DataFrame, rule: AbuseRule = AbuseRule()) -> DataFrame:

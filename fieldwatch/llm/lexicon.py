@@ -1,7 +1,8 @@
 """Word lists and context patterns of abusive, hateful and sexually explicit language (fixed values, own compilation).
 
-Words are written without accents, in lower case, as the matcher levels them. ``STRONG`` words are offensive by themselves;
-``WEAK`` words have sober senses (animals, law, medicine) and count only in a context that ``PATTERNS`` describe.
+Words are written without accents, in lower case, as the matcher levels them. ``STRONG`` words are offensive by themselves unless their
+surroundings are sober; ``WEAK`` words have sober senses (animals, law, medicine) and count only in a context that
+``PATTERNS`` describe.
 """
 
 STRONG = {
@@ -15,7 +16,7 @@ STRONG = {
         cabron cabrones gilipollas puta putas puto hijoputa mierda joder pendejo maricon capullo subnormal cono jodete
     """,
     "hate": """
-        subhuman subhumans untermensch untermenschen nigger niggers faggot faggots kike spic chink wetback raghead
+        subhuman subhumans untermensch untermenschen nigger niggers nigga negroes faggot faggots kike spic chink wetback raghead
         ungeziefer abschaum sousrace bougnoule youpin sudaca
     """,
     "sexual": """
@@ -26,8 +27,11 @@ STRONG = {
     """,
 }
 
-#: Strong words with a sober homograph in another language or field count as weak.
-DEMOTED = "prick crap shit bite chatte baiser corrido cono merde pute chupar chupado polla cum jerked wichsen batard bouffon subnormal cretin cretins idiot idiots abruti"
+#: Strong words with a sober homograph in another language, field or name count as weak.
+AMBIGUOUS = """
+    prick crap shit bite chatte baiser corrido cono merde pute chupar chupado polla cum jerked wichsen batard bouffon subnormal cretin cretins idiot idiots abruti
+    spic chink kike tits titties pussy twat negroes tetas nichons titten muschi huren
+"""
 
 WEAK = """
     bitch bitches bastard bastards pig pigs rat rats dog swine cow ape apes monkey monkeys vermin scum filth parasite parasites cockroach cockroaches animals hell
@@ -39,7 +43,7 @@ WEAK = """
     plaga parasitos alimanas echarlos ahogarlos colgarlos quemarlos exterminarlos matarlos humanos rompo quemo mato
     racaille bruler gazer tuer egorge creve demolis bute
     tiere dreck ausgerottet ausrotten vergast aufhangen erschiessen
-    hang drown exterminate savages lampposts cockroach
+    hang drown gas gassed gassing exterminate exterminated savages cockroach human vermins
     you your yourself du dich dir toi tu ta cretin
 """
 
@@ -55,12 +59,13 @@ PATTERNS = [
     ("insult", rf"\b(?:you|your|u)(?: \w+){{0,3}} {_BAD_EN}\b", 1.0),
     ("insult", rf"\b{_ADJ} {_BAD_EN}\b(?: you are)?", 0.9),
     ("insult", rf"\b{_BAD_EN} you are\b", 0.9),
-    ("insult", rf"\byou are an? {_ADJ}\b|\bwhat an? {_ADJ}(?: {_ADJ})? \w+ you are\b|\bgave birth to you\b", 0.85),
+    ("insult", rf"\byou are an? {_ADJ}\b|\bwhat an? {_ADJ}(?: {_ADJ})? \w+ you are\b", 0.85),
     ("insult", r"\bdu (?:dreckige|dumme|verlogene|elende|blode|fette|widerliche|miese|feige|ekelhafte)[rs]? \w+", 0.85),
     ("insult", r"\bcallate (?:asqueros|maldit|miserable|repugnante|cobarde)", 0.85),
-    ("threat", r"\bnext time i see you\b", 0.85),
+    ("threat", r"\bnext time (?:i|we) (?:see|meet|catch|find|get) you\b", 0.85),
     ("insult", rf"\blisten {_BAD_EN}\b", 0.9),
     ("insult", r"\b(?:shut your (?:mouth|face|trap)|go to hell|burn in hell|rot in hell|drop dead)\b", 0.9),
+    ("insult", r"\bfuck(?:ing)? (?:you|off|your)\b|\bgo fuck yourself\b", 0.9),
     ("insult", r"\b(?:piece|sack|pile|bag) of (?:shit|crap)\b", 0.9),
     ("insult", rf"\b(?:du|dich|ihr|sie)(?: \w+){{0,2}} {_BAD_DE}\b", 0.9),
     ("insult", r"\b(?:dreckige|dumme|verlogene|elende|blode|fette|widerliche|faule|miese|feige|ekelhafte|nutzlose|erbarmliche|stinkende|schmierige)[rsn]? (?:sau|schwein|ratte|hund|hure|schlampe|fotze|ziege|kuh|idiot|missgeburt|drecksau)\b", 0.9),
@@ -76,8 +81,8 @@ PATTERNS = [
     ("threat", r"\b(?:bringe?|mache?|schlage?|steche?|schneide?|breche?|haue?)(?: \w+){0,2} (?:dich|dir)(?: \w+){0,2} (?:um|kalt|tot|ab|unter die erde|die zahne|die kehle|die knochen)\b|\bunter die erde\b|\bdir die zahne\b", 1.0),
     ("threat", r"\bje (?:te|vous|vais te) (?:casse|casser|tue|tuer|creve|crever|egorge|egorger|brule|bruler|demolis|bute|buter|fais la peau)\b", 1.0),
     ("threat", r"\bte (?:rompo|mato|quemo|corto|parto|arranco|voy a (?:matar|romper|quemar|cortar))\b", 1.0),
-    ("hate", r"\bare (?:all )?(?:vermin|scum|rats|parasites|animals|filth|cockroaches|savages|apes|pigs|not human|no human)\b", 1.0),
-    ("hate", r"\b(?:breed like|thieves by blood|driven into the sea|from the lamp ?posts|deserve to (?:breathe|live|exist))\b|\bbreathe our air\b", 1.0),
+    ("hate", r"\bare (?:all )?(?:vermin|scum|rats|parasites|animals|filth|cockroaches|savages|apes|pigs|(?:not|no|hardly|less than) human)\b", 1.0),
+    ("hate", r"\b(?:breed like|(?:thieves|liars|criminals|murderers|cheats) by (?:blood|nature|birth)|(?:not|don t|never) deserve to (?:breathe|live|exist)|should (?:all )?be (?:gassed|hanged|drowned|exterminated|wiped out))\b|\bbreathe our air\b", 1.0),
     ("hate", rf"\b(?:hang|drown|gas|exterminate|deport|shoot) (?:all|the|every|these|those)(?: \w+){{1,4}} (?:from the|every one|like)\b", 1.0),
     ("hate", r"\bkeine (?:richtigen )?menschen\b|\b(?:ertranken|vergasen|aufhangen|erschiessen|ausrotten|ausgerottet)\b(?=.{0,30}$)|\bsind (?:alle )?(?:ungeziefer|ratten|abschaum|tiere|parasiten|dreck)\b|\bvermehren sich wie\b", 1.0),
     ("hate", r"\bne sont pas des (?:etres )?(?:humains|hommes)\b|\bsont (?:tous )?(?:de la (?:vermine|racaille)|des (?:rats|animaux|parasites|sous hommes))\b|\b(?:tous|toutes) les (?:noyer|pendre|bruler|gazer|tuer)\b|\bles (?:noyer|pendre|gazer) tous\b", 1.0),
@@ -88,5 +93,12 @@ PATTERNS = [
     ("sexual", r"\b(?:habia|ha) follad[oa]\b|\bdesnuda (?:y )?de rodillas\b|\bchupar(?:sela|le|la)\b|\bsus tetas\b|\blamid[oa] hasta\b|\bse corrio (?:en|sobre|encima)\b", 1.0),
 ]
 
-#: Sober neighbours of weak words: the sentence is about animals, plants, law or print.
-SOBER = r"\b(?:veterinary|breeding|farm|slurry|hens|kennel|spaniel|pedigree|livestock|field|sown|title|edition|indictment|offence|charge of|expert|speech|engine|menageres|ferkel|tasado|finca|guarda|vorwurf|grief|acusacion|photographs of the injuries|medical|examination|section \d+|hospital|surgeon|dental|dentist)\b"
+#: Sober neighbours: the sentence is about animals and farming, law and procedure, medicine, books, buildings or food.
+SOBER = (
+    r"\b(?:veterinary|veterinarian|breeder|breeding|farm|farmer|farms|kennel|pedigree|livestock|litter|herd|cattle|slaughter|hens|dairy|pasture|sown|crop|harvest|acre|acres|"
+    r"half title|edition|author|novel|chapter|dictionary|etymology|indictment|offence|offences|charge of|speech|medical|examination|hospital|surgeon|dental|dentist|patient|tumour|tissue|"
+    r"engine|wall|armour|room|bird|birds|nest|nested|recipe|kitchen|clean|tidy|photographs of the injuries|"
+    r"tierarzt|zucht|stall|landwirt|jagd|fleisch|vorwurf|anklage|straftat|"
+    r"veterinaire|elevage|ferme|menageres|dechets|grief|chasse|"
+    r"veterinario|granja|finca|ganado|matadero|acusacion|guarda|corral)\b"
+)

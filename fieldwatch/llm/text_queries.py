@@ -48,8 +48,8 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The score of every document."""
-    return score_documents(table(spark, sf, "documents"))
+    """The score of every document, weights fitted to the reviewed samples."""
+    return score_documents(table(spark, sf, "documents"), table(spark, sf, "review_samples"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from fieldwatch.llm.abuse import AbuseRule, Matcher, Trie, rates_by_source, score_documents, score_text
+from fieldwatch.llm.abuse import AbuseRule, Automaton, Matcher, fit_weights, rates_by_source, real_words, score_documents, score_text
 from fieldwatch.llm.leaks import LeakRule, find_leaks, plain, remove_leaks, words
 from fieldwatch.llm.packing import Plan, count_tokens, fill_report, nnls, pack, patterns
 
@@ -149,12 +149,15 @@ SOBER = ["The breeding bitch, a spaniel aged four, was examined.", "The term 'ba
          "The indictment for sexual assault under section 14 was withdrawn.", "Die Sau warf elf Ferkel.", "La zorra hallada en la finca fue entregada al guarda.", "Les ordures ménagères relevaient de la commune.", "", "1234 56/78", "The whole title of Mr Fuchs."]
 
 
+REAL = real_words()
+
+
 def test_abuse():
-    m = Matcher(AbuseRule())
+    m = Matcher(AbuseRule(), REAL)
     assert [t for t in ABUSE if score_text(t, m)[0] < 0.8] == []
     assert [t for t in SOBER if score_text(t, m)[0] >= 0.8] == []
     long = "The notice was served. " * 20000
-    assert score_text(long + "Fuck you.", m)[0] == 1.0 and score_text(long, m)[0] == 0.0
+    assert score_text(long + "Fuck you.", m)[0] > 0.99 and score_text(long, m)[0] == 0.0
     assert score_text('He said "Go to hell, you bitch!" and left.', m)[3] and not score_text("Go to hell, you bitch!", m)[3]
 
 
@@ -169,20 +172,59 @@ def test_abuse_table(spark):
 
 def test_automaton_equals_edit_distance():
     rnd = random.Random(6)
-    lexicon = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 8))) for _ in range(60)})
-    trie = Trie(lexicon)
+    lexicon = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 9))) for _ in range(60)})
+    limit = lambda w: 2 if len(w) > 6 else 1
+    automaton = Automaton(lexicon, limit, most_states=50)  # states are forgotten on the way
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
         for i, x in enumerate(a):
-            new = [i + 1]
             for j, y in enumerate(b):
-                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1]
-
-    for _ in range(300):
-        form = "".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 9)))
-        near = min(distance(form, w) for w in lexicon)
-        found = trie.find(form, lambda w: 1)
-        assert (found is not None) == (near <= 1) and (found is None or distance(form, found) == near)
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i and j and x == b[j - 1] and y == a[i - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a) - 1, len(b) - 1]
+
+    for _ in range(400):
+        form = "".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 10)))
+        fits = [(d, w) for w in lexicon if (d := distance(form, w)) <= limit(w)]
+        found = automaton.find(form)
+        assert (found is not None) == bool(fits) and (found is None or found[0] == min(fits)[0] == distance(form, found[1]))
+
+
+def test_misspelt_words_are_found_and_real_words_are_not():
+    rnd, m = random.Random(3), Matcher(AbuseRule(), REAL)
+    tried = missed = 0
+    for w in sorted(m.strong):
+        k, c = rnd.randrange(len(w)), rnd.choice("abcdefghijklmnopqrstuvwxyz")
+        for x in (w[:k] + c + w[k + 1:], w[:k] + w[k + 1:], w[:k] + c + w[k:], w[:k] + w[k + 1: k + 2] + w[k: k + 1] + w[k + 2:]):
+            if len(w) > 3 and x not in REAL and x not in m.known:
+                tried += 1
+                missed += score_text(f"You are a {x} and everybody knows it.", m)[0] < 0.8
+    assert tried > 300 and missed <= 0.1 * tried
+    for sober in ("your pitch was good", "where you hire the count", "He called the pitch and shot the duck", "spic and span", "The Chinese room had a chink in the wall", "The book by Kike Hernandez", "In Assvole v Rasnal the plea failed"):
+        assert score_text(sober, m)[0] < 0.8
+    for bad in ("you fuk off you biych", "bastrad you are worthless", "fcuk you", "negroes are not human", "you people should be gassed"):
+        assert score_text(bad, m)[0] >= 0.8
+
+
+def test_weights_hold_on_texts_they_were_not_fitted_to():
+    """Half of the distinct reviewed texts is held out; a few verdicts are wrong."""
+    import pyarrow.parquet as pq
+
+    rows = [(r["text"], r["verdict"] == "offensive") for r in pq.read_table("/root/testdata/sf0.01/review_samples.parquet").to_pylist() if r["text"] and r["verdict"]]
+    texts = sorted({t for t, _ in rows})
+    held = set(random.Random(1).sample(texts, len(texts) // 2))
+    m = Matcher(AbuseRule(), REAL)
+    m.weights = fit_weights([x for x in rows if x[0] not in held], m)
+    told = [(score_text(t, m)[0] >= 0.8, bad) for t, bad in rows if t in held]
+    hit = sum(a and b for a, b in told)
+    assert hit >= 0.9 * sum(b for _, b in told) and hit >= 0.9 * sum(a for a, _ in told)
+
+
+def test_without_samples_the_prior_holds(spark):
+    m = Matcher(AbuseRule(), REAL)
+    assert fit_weights([], m) == m.weights
+    none = spark.createDataFrame([(None, "offensive"), ("Fuck you", None)], "text string, verdict string")
+    docs = spark.createDataFrame([(1, "s", "Fuck you"), (2, "s", "x" * 300 + " good"), (3, None, "")], "doc_id long, source string, text string")
+    assert {r.doc_id: r.score > 0.9 for r in score_documents(docs, none).collect()} == {1: True, 2: False, 3: False}
