@@ -6,7 +6,7 @@ import base64
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,7 +185,6 @@ def real_words(rule: AbuseRule = AbuseRule()) -> frozenset[str]:
     return frozenset(w for w in bare if w not in strong | weak and automaton.find(w))
 
 
-_LETTERS = re.compile(r"[^\W\d_]")
 _EDGE = "\"'“”„«»‚‘’‹›()[]{}<>,;:.?¶…"
 _REPEAT = re.compile(r"(.)\1{2,}")
 _SPELLED = re.compile(r"(?:[^\W_][-_.*+~·•]){2,}[^\W_]")
@@ -263,30 +262,29 @@ class Matcher:
             out += [w] if w else [self.word(p) or p for p in _PARTS.split(piece) if p]
         return out
 
-    def suspicious(self, chunks: set[str]) -> bool:
+    def suspicious(self, chunks: Iterable[str]) -> bool:
         """TRUE if any chunk holds a lexicon word; new chunks are read once and remembered."""
-        new = chunks - self.clean.keys()
-        if not new:
-            return False
-        found = False
         if len(self.clean) + len(self.hit) > self.rule.cache:
             self.clean.clear()
             self.hit.clear()
-        for c in new:
-            if c in self.hit:
-                found = True
-                continue
-            if not _LETTERS.search(c):
-                continue  # numbers are many and hide no word
-            read = self.read(c)
-            hits = [w for w in read if w in self.known or w[0] == NEAR]
-            if hits:
-                self.hit[c] = hits
-                found = True
-            else:
-                self.clean[c] = read
+        clean, found = self.clean, False
+        for c in [c for c in chunks if c not in clean]:
+            found |= self.hot(c)
         return found
 
+    def hot(self, c: str) -> bool:
+        """TRUE if a chunk that is not known as clean holds a lexicon word."""
+        if c in self.hit:
+            return True
+        if c.upper() == c.lower():
+            return False  # numbers and signs are many and hide no word
+        read = self.read(c)
+        if any(w in self.known or w[0] == NEAR for w in read):
+            self.hit[c] = read
+            return True
+        self.clean[c] = read
+        return False
+
 
 _PATTERNS = [(c, re.compile(p), w) for c, p, w in PATTERNS]
 _SOBER = re.compile(SOBER)
@@ -336,23 +334,30 @@ def windows(text: str | None, m: Matcher) -> Iterator[tuple[int, str | None, lis
     if "age " in text or "eite " in text or "gina " in text:
         chunks = _HEADER.sub(" ", text).split()
     chunks = _join_spelled(chunks) if spaced else chunks
+    at = [k for k, c in enumerate(chunks) if c not in m.clean and m.hot(c)]
     words: list[str] = []
     marks: list[bool] = []
     hot: list[tuple[int, bool]] = []
-    quote = False
-    for c in chunks:
-        opens = bool(_QUOTES.search(c))
-        read = m.clean[c] if c in m.clean else m.read(c)
-        for w in read:
-            near = w[0] == NEAR
-            w = w[1:] if near else w
-            if near or w in m.known:
-                hot.append((len(words), near))
-            words.append(w)
-            marks.append(quote or opens)
-        quote = quote ^ (len(_QUOTES.findall(c)) % 2 == 1)
+    quotes = done = 0
+    for k in at:  # only the surroundings of lexicon words are read, far enough for a window of words
+        lo, hi = max(done, k - 3 * m.rule.window), min(len(chunks), k + 3 * m.rule.window + 1)
+        if lo > done and words:
+            words += [""] * m.rule.window  # apart from the surroundings before
+            marks += [False] * m.rule.window
+        quotes += len(_QUOTES.findall(" ".join(chunks[done:lo])))
+        for c in chunks[lo:hi]:
+            signs = 0 if c.isalnum() else len(_QUOTES.findall(c))
+            for w in m.clean[c] if c in m.clean else m.hit[c] if c in m.hit else m.read(c):
+                near = w[0] == NEAR
+                w = w[1:] if near else w
+                if near or w in m.known:
+                    hot.append((len(words), near))
+                words.append(w)
+                marks.append(quotes % 2 == 1 or signs > 0)
+            quotes += signs
+        done = max(done, hi)
     for i, near in hot:
-        around = " ".join(words[max(0, i - m.rule.window): i + m.rule.window + 1])
+        around = " ".join(w for w in words[max(0, i - m.rule.window): i + m.rule.window + 1] if w)
         close = words[max(0, i - m.rule.close): i], words[i + 1: i + m.rule.close + 1]
         found, kind, best = dict.fromkeys(("insult", "threat", "hate", "sexual"), 0.0), None, 0.0
         for c, p, w in _PATTERNS:
