@@ -15,11 +15,9 @@ PLAUSIBLE_NT = 3000.0
 
 def tier_code(amplitude: Column, thresholds=THRESHOLDS) -> Column:
     """Ordinal 0..5 of an amplitude (strictly above each threshold); NULL for NULL."""
-    code = F.when(amplitude.isNotNull(), 0)
     out = F.when(amplitude.isNull(), F.lit(None).cast("int"))
     for i in range(len(thresholds), 0, -1):
         out = out.when(amplitude > thresholds[i - 1], i)
-    del code
     return out.otherwise(0)
 
 
@@ -53,3 +51,11 @@ def cross_check(label: Column, kp: Column, dst: Column) -> Column:
     active = known(dst < -30) | known(kp >= 4)
     return (F.when(label.isin("major_storm", "severe_storm") & ~active & ~main, "unconfirmed_storm")
             .when((label == "quiet") & ~main & active, "under_reacting").when((label == "quiet") & main, "missed_global_event").otherwise("ok"))
+
+
+def cross_check_live(label: Column, kp: Column, dst: Column) -> Column:
+    """The live form of ``cross_check``: a lower bar for Kp, unsettled samples under-react too, earlier rules win."""
+    main = known(dst < -50) | known(kp >= 5)
+    active = known(dst < -30) | known(kp >= 4)
+    return (F.when((label == "quiet") & main, "missed_global_event").when(label.isin("quiet", "unsettled") & active, "under_reacting")
+            .when(label.isin("major_storm", "severe_storm") & ~active, "unconfirmed_storm").otherwise("ok"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,15 +15,26 @@ from fieldwatch.operators.blocks import sessions
 from fieldwatch.session import materialize
 
 
-def _step(state: np.ndarray, on: bool, off: bool, valid: bool, min_on: int, min_off: int) -> np.ndarray:
-    """Next states. States 0..min_on-1: released, with so many samples of evidence; from min_on: latched, with so many of release."""
-    if not valid:
-        return np.zeros_like(state)
-    latched = state >= min_on
-    held = state - min_on + 1
-    released_next = np.where(state + 1 >= min_on, min_on, state + 1) if on else np.zeros_like(state)
-    latched_next = np.where(held >= min_off, 0, min_on + held) if off else np.full_like(state, min_on)
-    return np.where(latched, latched_next, released_next)
+def _steps(on: int, off: int) -> np.ndarray:
+    """Next state by (kind of sample, state). States 0..on-1: released, with so many samples of evidence; from ``on``: latched, with so many of
+    release. Kinds: 0 invalid, else 1 + (evidence to set) + 2 * (evidence to release)."""
+    table = np.zeros((5, on + off), np.int64)
+    for kind in range(1, 5):
+        sets, frees = (kind - 1) % 2, (kind - 1) // 2
+        for s in range(on + off):
+            table[kind, s] = (s + 1 if sets else 0) if s < on else (s + 1 if s + 1 < on + off else 0) if frees else on
+    return table
+
+
+def _kinds(part: pd.DataFrame, cols: list[str]) -> np.ndarray:
+    o, f, v = (part[c].to_numpy(bool) for c in cols)
+    return np.where(v, 1 + o + 2 * f, 0)
+
+
+def _runs(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First sample and length of every run of samples of one kind: states settle within on + off samples of a run."""
+    first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, int)
+    return first, np.diff(np.append(first, len(kinds)))
 
 
 @dataclass(frozen=True)
@@ -53,13 +64,21 @@ def latch(df: DataFrame, key: str, pos: str, rules: dict[str, LatchRule], size:
     maps = T.StructType([whole.schema[key], T.StructField("_block", T.LongType()), T.StructField("_maps", T.ArrayType(T.ArrayType(T.IntegerType())))])
     entry = T.StructType([whole.schema[key], T.StructField("_block", T.LongType()), T.StructField("_entry", T.ArrayType(T.IntegerType()))])
 
+    tables = [_steps(on, off) for _, on, off in specs]
+
     def transfer(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos)
         ends = []
-        for cols, (_, on, off) in zip(names, specs):
+        for cols, steps, (_, on, off) in zip(names, tables, specs):
+            kinds = _kinds(part, cols)
             state = np.arange(on + off)
-            for o, f, v in part[cols].to_numpy(bool).tolist():
-                state = _step(state, o, f, v, on, off)
+            for at, n in zip(*_runs(kinds)):
+                row = steps[kinds[at]]
+                for _ in range(n):
+                    new = row[state]
+                    if (new == state).all():
+                        break  # nothing more changes in this run
+                    state = new
             ends.append(state.tolist())
         return pd.DataFrame({key: part[key].iloc[:1], "_block": part["_block"].iloc[:1], "_maps": [ends]})
 
@@ -74,16 +93,18 @@ def latch(df: DataFrame, key: str, pos: str, rules: dict[str, LatchRule], size:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos)
         out = part[kept].copy()
-        for cols, (name, on, off), s in zip(names, specs, part["_entry"].iloc[0]):
-            state, seen = int(s), []
-            for o, f, v in part[cols].to_numpy(bool).tolist():
-                if not v:
-                    state = 0
-                elif state < on:
-                    state = state + 1 if o else 0
-                else:
-                    state = (state + 1 if state + 1 < on + off else 0) if f else on
-                seen.append(state >= on)
+        for cols, steps, (name, on, off), s in zip(names, tables, specs, part["_entry"].iloc[0]):
+            kinds, state = _kinds(part, cols), int(s)
+            seen = np.zeros(len(part), bool)
+            for at, n in zip(*_runs(kinds)):
+                row = steps[kinds[at]]
+                for k in range(n):
+                    new = int(row[state])
+                    if new == state:
+                        seen[at + k: at + n] = state >= on  # nothing more changes in this run
+                        break
+                    state = new
+                    seen[at + k] = state >= on
             out[name] = seen
         return out
 
@@ -93,54 +114,95 @@ def latch(df: DataFrame, key: str, pos: str, rules: dict[str, LatchRule], size:
     return whole.join(entries, [key, "_block"]).groupBy(key, "_block").applyInPandas(run, final)
 
 
+@dataclass(frozen=True)
+class Trigger:
+    """Evidence of a tier: a statistic of at least ``multiple`` levels while the 15-minute median has at least ``medium`` of them."""
+
+    statistic: str
+    multiple: float
+    medium: float = 0.0
+
+
+@dataclass(frozen=True)
+class Tier:
+    """One tier of the causal detector: its level in nT, what sets it, the share of the level at which the median releases it, and
+    for how many minutes evidence must last to set and to release it."""
+
+    name: str
+    level: float
+    triggers: tuple[Trigger, ...]
+    release: float
+    on_min: float
+    off_min: float
+
+
+def _tier(name: str, level: float, release: float, on_min: float, off_min: float, *rows: tuple) -> Tier:
+    return Tier(name, level, tuple(Trigger(*r) for r in rows), release, on_min, off_min)
+
+
 @dataclass(frozen=True)
 class Profile:
-    """Thresholds (nT) and ratios of the causal detector (fixed values)."""
+    """The causal detector's tiers (fixed values) and the level from which calm samples count as unsettled."""
 
     unsettled: float = 10.0
-    active: float = 15.0
-    storm: float = 35.0
-    major: float = 100.0
-    severe: float = 200.0
-    active_slow: float = 0.65
-    active_slow3: float = 0.55
-    active_upper: float = 1.0
-    active_fast: float = 1.25
-    active_medium_slow: float = 0.40
-    active_medium_upper: float = 0.35
-    active_peak: float = 1.8
-    active_peak_medium: float = 0.25
-    storm_fast: float = 1.8
-    storm_fast_medium: float = 0.55
-    storm_upper: float = 1.1
-    storm_upper_medium: float = 0.70
-    storm_medium: float = 0.80
-    storm_release: float = 0.65
-    storm_peak: float = 1.7
-    storm_peak_medium: float = 0.20
-    active_release: float = 0.60
-    major_release: float = 0.75
-    major_upper: float = 0.90
-    major_peak: float = 1.15
-    major_medium: float = 0.80
-    severe_upper: float = 0.90
-    severe_peak: float = 1.10
-    severe_medium: float = 0.80
-
-
-def evidence(ready: Column, p: Profile = Profile()) -> dict[str, Column]:
-    """Evidence columns over fast, medium, upper, slow, slow3 and peak, which count as 0 where unknown."""
-    fast, medium, upper, slow, slow3, peak = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("fast", "medium", "upper", "slow", "slow3", "peak"))
-    a, s = p.active, p.storm
-    active = ((medium >= a) | ((slow >= p.active_slow * a) & (medium >= p.active_medium_slow * a)) | ((slow3 >= p.active_slow3 * a) & (medium >= p.active_medium_slow * a))
-              | ((upper >= p.active_upper * a) & (medium >= p.active_medium_upper * a)) | ((fast >= p.active_fast * a) & (medium >= p.active_medium_slow * a))
-              | ((peak >= p.active_peak * a) & (medium >= p.active_peak_medium * a)))
-    storm = ((medium >= s) | ((slow >= s) & (medium >= p.storm_medium * s)) | ((slow3 >= s) & (medium >= p.storm_medium * s)) | ((fast >= p.storm_fast * s) & (medium >= p.storm_fast_medium * s))
-             | ((peak >= p.storm_peak * s) & (medium >= p.storm_peak_medium * s)) | ((upper >= p.storm_upper * s) & (medium >= p.storm_upper_medium * s)))
-    major = (medium >= p.major) | ((upper >= p.major_upper * p.major) & (medium >= p.major_medium * p.major)) | ((peak >= p.major_peak * p.major) & (medium >= p.major_medium * p.major))
-    severe = (medium >= p.severe) | ((upper >= p.severe_upper * p.severe) & (medium >= p.severe_medium * p.severe)) | ((peak >= p.severe_peak * p.severe) & (medium >= p.severe_medium * p.severe))
-    return {"active_on": ready & active, "active_off": ready & (medium <= p.active_release * a), "storm_on": ready & storm, "storm_off": ready & (medium <= p.storm_release * s),
-            "major_on": ready & major, "major_off": ready & (medium <= p.major_release * p.major), "severe_on": ready & severe, "severe_off": ready & (medium <= p.major_release * p.severe)}
+    tiers: tuple[Tier, ...] = (
+        _tier("active", 15.0, 0.60, 5, 30, ("medium", 1.0), ("slow", 0.65, 0.40), ("slow3", 0.55, 0.40), ("upper", 1.0, 0.35), ("fast", 1.25, 0.40), ("peak", 1.8, 0.25)),
+        _tier("storm", 35.0, 0.65, 10, 180, ("medium", 1.0), ("slow", 1.0, 0.80), ("slow3", 1.0, 0.80), ("fast", 1.8, 0.55), ("peak", 1.7, 0.20), ("upper", 1.1, 0.70)),
+        _tier("major", 100.0, 0.75, 10, 30, ("medium", 1.0), ("upper", 0.90, 0.80), ("peak", 1.15, 0.80)),
+        _tier("severe", 200.0, 0.75, 10, 30, ("medium", 1.0), ("upper", 0.90, 0.80), ("peak", 1.10, 0.80)),
+    )
+
+    def problems(self) -> list[str]:
+        """Everything inconsistent in the profile."""
+        out = []
+        levels = [self.unsettled, *[t.level for t in self.tiers]]
+        if levels != sorted(set(levels)) or levels[0] <= 0:
+            out.append("levels have to rise from tier to tier, the first above 0")
+        for t in self.tiers:
+            if not t.triggers:
+                out.append(f"{t.name} has no trigger")
+            if not 0 < t.release < 1:
+                out.append(f"{t.name}: release must lie between 0 and 1")
+            if t.on_min <= 0 or t.off_min <= 0:
+                out.append(f"{t.name}: evidence must last some minutes")
+            out += [f"{t.name}: {x.statistic} is no statistic of the detector" for x in t.triggers if x.statistic not in STATISTICS]
+            out += [f"{t.name}: multiples of {x.statistic} must not be negative" for x in t.triggers if x.multiple <= 0 or x.medium < 0]
+        return out
+
+    @classmethod
+    def load(cls, settings: dict) -> Profile:
+        """A profile from nested settings {unsettled, tiers: {name: {level, release, on_min, off_min, triggers: [[statistic, multiple,
+        medium], ...]}}}; what is left out keeps its default. Unknown names and inconsistent values are an error."""
+        base = cls()
+        strange = [*(settings.keys() - {"unsettled", "tiers"}), *(settings.get("tiers", {}).keys() - {t.name for t in base.tiers})]
+        tiers = []
+        for t in base.tiers:
+            own = dict(settings.get("tiers", {}).get(t.name, {}))
+            strange += own.keys() - {"level", "release", "on_min", "off_min", "triggers"}
+            if "triggers" in own:
+                own["triggers"] = tuple(Trigger(*x) for x in own["triggers"])
+            tiers.append(replace(t, **{k: v for k, v in own.items() if hasattr(t, k)}))
+        if strange:
+            raise ValueError(f"unknown names in the profile: {sorted(strange)}")
+        made = cls(float(settings.get("unsettled", base.unsettled)), tuple(tiers))
+        if bad := made.problems():
+            raise ValueError("; ".join(bad))
+        return made
+
+
+STATISTICS = ("fast", "medium", "upper", "slow", "slow3", "peak")
+
+
+def evidence(ready: Column, profile: Profile = Profile()) -> dict[str, Column]:
+    """Columns ``<tier>_on`` and ``<tier>_off`` over the statistics, which count as 0 where unknown."""
+    at = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in STATISTICS}
+    out = {}
+    for t in profile.tiers:
+        seen = F.lit(False)
+        for x in t.triggers:
+            seen = seen | ((at[x.statistic] >= x.multiple * t.level) & (at["medium"] >= x.medium * t.level))
+        out |= {f"{t.name}_on": ready & seen, f"{t.name}_off": ready & (at["medium"] <= t.release * t.level)}
+    return out
 
 
 def bool_events(df: DataFrame, key: str, pos: str, mask: str, merge: int, least: int, step: int = 1) -> DataFrame:
@@ -151,18 +213,31 @@ def bool_events(df: DataFrame, key: str, pos: str, mask: str, merge: int, least:
         F.col("last") - F.col("first") + step >= least).drop("session")
 
 
-def match_events(reference: DataFrame, predicted: DataFrame, key: str, cell: int = 144) -> DataFrame:
+def match_events(reference: DataFrame, predicted: DataFrame, key: str, cell: int = 144, rounds: int = 3) -> DataFrame:
     """Per key the counts reference, predicted, matched, missed, false_positive of events (key, first, last).
 
-    One-to-one rule: a reference event takes the first predicted event that overlaps it, and a predicted event serves only
-    the first reference event that takes it. Overlaps are looked up in cells of positions.
+    One-to-one rule, in rounds: a reference event without partner takes the first predicted event without partner that overlaps it, and of
+    several reference events that take the same one the first keeps it; the others try again in the next of ``rounds`` rounds.
+    Overlaps are looked up in cells of positions.
     """
     def cells(e: DataFrame, name: str) -> DataFrame:
         return e.select(key, F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"),
                         F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))).alias("cell"))
 
-    pairs = cells(reference, "r").join(cells(predicted, "p"), [key, "cell"]).where("r_first <= p_last and p_first <= r_last")
-    taken = pairs.groupBy(key, "r_first").agg(F.min("p_first").alias("p")).groupBy(key, "p").agg(F.min("r_first").alias("r"))
+    pairs = cells(reference, "r").join(cells(predicted, "p"), [key, "cell"]).where("r_first <= p_last and p_first <= r_last").select(key, F.col("r_first").alias("r"), F.col("p_first").alias("p")).distinct()
+    left = pairs = materialize(pairs, "overlaps")
+    taken = None
+    for _ in range(rounds):
+        won = left.groupBy(key, "r").agg(F.min("p").alias("p")).groupBy(key, "p").agg(F.min("r").alias("r")).select(key, "r", "p")
+        taken = materialize(won if taken is None else taken.unionByName(won), "matched")
+        left = pairs.join(taken.select(key, "r"), [key, "r"], "left_anti").join(taken.select(key, "p"), [key, "p"], "left_anti")
     n_ref, n_pred, n_hit = (e.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for e, n in ((reference, "reference"), (predicted, "predicted"), (taken, "matched")))
     both = n_ref.join(n_pred, key, "full").join(n_hit, key, "left").na.fill(0, ["reference", "predicted", "matched"])
     return both.withColumn("missed", F.col("reference") - F.col("matched")).withColumn("false_positive", F.col("predicted") - F.col("matched"))
+
+
+def event_totals(matches: DataFrame) -> DataFrame:
+    """One row: the counts of all keys summed, then precision, recall and F1, NULL where undefined."""
+    s = matches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("reference", "predicted", "matched", "missed", "false_positive")])
+    p, r = F.try_divide(F.col("matched").cast("double"), F.col("predicted")), F.try_divide(F.col("matched").cast("double"), F.col("reference"))
+    return s.select("*", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))

@@ -13,14 +13,12 @@ from fieldwatch.session import materialize
 def median_cadence(readings: DataFrame, key: str, seconds: str) -> DataFrame:
     """Median distance of consecutive distinct times per key, whole seconds, at least 1: (key, cadence_s). Times are LONG
     epoch seconds. Keys with a single time get NULL. Distances are found inside hourly cells and across their edges."""
-    cell = F.floor(F.col(seconds) / 3600).cast("long")
     times = readings.select(key, F.col(seconds).alias("_t")).where("_t is not null").distinct().withColumn("_cell", F.floor(F.col("_t") / 3600).cast("long"))
     inside = Window.partitionBy(key, "_cell").orderBy("_t")
     local = times.select(key, (F.lead("_t").over(inside) - F.col("_t")).alias("d")).where("d is not null")
     edges = times.groupBy(key, "_cell").agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
     across = Window.partitionBy(key).orderBy("_cell")  # one row an hour
     steps = edges.select(key, (F.lead("a").over(across) - F.col("b")).alias("d"))
-    del cell
     return local.unionByName(steps).groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.percentile("d", 0.5))).cast("long").alias("cadence_s"))
 
 

@@ -9,8 +9,14 @@ from fieldwatch.functions.values import known, ratio
 
 
 def bucket(value: Column, cuts: list[float]) -> Column:
-    """Number of cuts at or below the value; NULL for NULL."""
-    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= value)))
+    """Number of cuts at or below the value; NULL for NULL. A chain of halvings, so a row costs the logarithm of the cuts."""
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value >= F.lit(float(cuts[mid])), half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return F.when(value.isNotNull(), half(0, len(cuts)))
 
 
 def grid(minors: list[float], majors: list[float], severes: list[float]) -> list[tuple[float, float, float]]:
@@ -45,11 +51,21 @@ def aggregate(scores: DataFrame) -> DataFrame:
         F.avg(F.when(kind, F.col("missed"))).alias("missed_mean"), F.avg("under").alias("under_mean"), F.avg("mae").alias("mae_mean"), F.max("mae").alias("mae_worst"))
 
 
-def objective(recall: float = 0.85) -> Column:
-    """Lower is better; worst periods are penalised, unknown parts count as 1."""
-    miss = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.lit(recall) - F.col(c)), F.lit(1.0))
-    val = lambda c: F.coalesce(F.col(c), F.lit(1.0))
-    return 10 * miss("sdr_mean") + 5 * miss("sdr_worst") + val("far_mean") + 0.5 * val("far_worst") + val("missed_mean") + val("under_mean") + 0.5 * val("mae_mean") + 0.25 * val("mae_worst")
+#: What a candidate is judged by, as (measure, weight, TRUE where the shortfall below the wanted recall counts instead of the
+#: measure itself).
+COSTS = (
+    ("sdr_mean", 10.0, True), ("sdr_worst", 5.0, True), ("far_mean", 1.0, False), ("far_worst", 0.5, False), ("missed_mean", 1.0, False), ("under_mean", 1.0, False),
+    ("mae_mean", 0.5, False), ("mae_worst", 0.25, False),
+)
+
+
+def objective(recall: float = 0.90, costs: tuple[tuple[str, float, bool], ...] = COSTS) -> Column:
+    """Weighted sum of a candidate's costs, lower is better; a cost that is unknown is 1."""
+    total = F.lit(0.0)
+    for measure, weight, shortfall in costs:
+        cost = F.greatest(F.lit(0.0), F.lit(recall) - F.col(measure)) if shortfall else F.col(measure)
+        total = total + F.lit(weight) * F.coalesce(F.when(F.col(measure).isNotNull(), cost), F.lit(1.0))
+    return total
 
 
 def threshold_table(rows: DataFrame, candidates: list[float], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -57,8 +73,9 @@ def threshold_table(rows: DataFrame, candidates: list[float], extra: dict[str, C
     row conditions the same counts of those rows, as ``tp_<name>`` and so on. One pass, one row a bucket, then running sums."""
     cuts = sorted(set(candidates))
     groups = {"": F.lit(True)} | {f"_{k}": c for k, c in (extra or {}).items()}
-    counts = rows.select(bucket(F.col("p"), cuts).alias("b"), *[F.when(c & F.col("y"), 1).otherwise(0).alias(f"pos{k}") for k, c in groups.items()], *[F.when(c & ~F.col("y"), 1).otherwise(0).alias(f"neg{k}") for k, c in groups.items()])
-    sums = counts.groupBy("b").agg(*[F.sum(f"{s}{k}").alias(f"{s}{k}") for s in ("pos", "neg") for k in groups])
+    counts = rows.select("p", *[F.when(c & F.col("y"), 1).otherwise(0).alias(f"pos{k}") for k, c in groups.items()], *[F.when(c & ~F.col("y"), 1).otherwise(0).alias(f"neg{k}") for k, c in groups.items()])
+    counts = counts.groupBy("p").agg(*[F.sum(f"{s}{k}").alias(f"{s}{k}") for s in ("pos", "neg") for k in groups])  # probabilities are rounded, so these are few
+    sums = counts.withColumn("b", bucket(F.col("p"), cuts)).groupBy("b").agg(*[F.sum(f"{s}{k}").alias(f"{s}{k}") for s in ("pos", "neg") for k in groups])
     spark = rows.sparkSession
     table = spark.createDataFrame([(i, float(c)) for i, c in enumerate([float("-inf"), *cuts])], "b int, threshold double").join(F.broadcast(sums), "b", "left").na.fill(0)
     up = Window.orderBy("b").rowsBetween(0, Window.unboundedFollowing)  # at most as many rows as candidates

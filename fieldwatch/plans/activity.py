@@ -184,6 +184,15 @@ def cross_validate(spark: SparkSession, sf: str) -> DataFrame:
     return checked(spark, sf).groupBy("station", "flag", "validation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cross_validate_live(spark: SparkSession, sf: str) -> DataFrame:
+    """The live form: both indices up to three hours back, own rules."""
+    g = flagged(spark, sf).withColumn("s", F.col("k") * STEP)
+    ix = bulletins(spark, sf)
+    for c in ("kp", "dst"):
+        g = asof_backward(g, ix.where(f"{c} is not null"), "station", "s", c, 10800, c, tie="bulletin_id")
+    return g.withColumn("validation", tiers.cross_check_live(F.col("flag"), F.col("kp"), F.col("dst"))).groupBy("station", "flag", "validation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Detection metrics of rows with local level ``ll``, global level ``gl``, residual ``r``, ``flag`` and ``validation``."""
     n = lambda c: F.count_if(c)
@@ -273,6 +282,12 @@ round(count(*) filter (where gl < 3 and ll >= 3) / nullif(count(*) filter (where
 round(avg(abs(ll - gl)), 9) as level_error, round(avg((validation = 'ok')::int), 9) as validation_yield, count(gl) as with_index, count(*) as samples"""
 
 
+#: c: differences, their distance from the rolling median, and the limit
+ANOMALIES = f"""a as (select station, k, round(v - lag(v) over (partition by station order by k), 9) as d from gr),
+b as (select *, case when count(d) over w = {WINDOW} then round(abs(d - quantile_cont(d, 0.5) over w), 9) end as dev from a window w as (partition by station order by k {_W})),
+c as (select *, greatest(100.0, coalesce(case when count(dev) over w = {WINDOW} then 8 * 1.4826 * quantile_cont(dev, 0.5) over w end, 100.0))::double as lim from b window w as (partition by station order by k {_W}))"""
+
+
 def _amp_sql(expr: str, frame: str = _W) -> str:
     return CTE + f"select station, k, case when v is not null then round({expr}, 9) end as amp from gr window w as (partition by station order by k {frame})"
 
@@ -287,7 +302,7 @@ QUERIES = {
     "asof_kp": _asof("kp", 10800), "asof_dst": _asof("dst", 3600), "amp_range": amplitude("range"), "amp_hybrid": amplitude("hybrid"), "amp_max": amplitude("max"),
     "amp_centered": amplitude("range", centered=True), "amp_instant": amplitude("instant"), "rolling_medians": rolling_medians, "rolling_p75": rolling_p75,
     "rolling_peak": rolling_peak, "prefilter_median": prefilter_median, "rolling_p95": rolling_p95, "spike_reversal": spike_reversal, "diff_mad_anomaly": diff_mad_anomaly,
-    "tier_labels": tier_labels, "max_local_level": max_local_level, "level_ladders": level_ladders, "cross_validate": cross_validate, "metrics_engine": metrics_engine,
+    "tier_labels": tier_labels, "max_local_level": max_local_level, "level_ladders": level_ladders, "cross_validate": cross_validate, "cross_validate_live": cross_validate_live, "metrics_engine": metrics_engine,
     "quality_gate": quality_gate, "residual_stats": residual_stats, "future_targets": future_targets, "lag_features": lag_features,
 }
 #: These over every station at its own cadence, where the ones above (and their SQL) average over ten minutes.
@@ -313,14 +328,13 @@ SQL = {
     "prefilter_median": CTE + "select station, k, round(quantile_cont(v, 0.5) over (partition by station order by k rows between 2 preceding and 2 following), 9) as med from gr",
     "rolling_p95": _MAG + f"select station, k, round(quantile_cont(m, 0.95) over (partition by station order by k {_W}), 9) as p95 from mg",
     "spike_reversal": CTE + "select station, k, v from (select *, v - lag(v) over w as d, lead(v) over w - v as n from gr window w as (partition by station order by k)) where abs(d) > 100 and abs(n) > 100 and sign(n) <> sign(d)",
-    "diff_mad_anomaly": CTE + f""", a as (select station, k, round(v - lag(v) over (partition by station order by k), 9) as d from gr),
-b as (select *, case when count(d) over w = {WINDOW} then round(abs(d - quantile_cont(d, 0.5) over w), 9) end as dev from a window w as (partition by station order by k {_W})),
-c as (select *, greatest(100.0, coalesce(case when count(dev) over w = {WINDOW} then 8 * 1.4826 * quantile_cont(dev, 0.5) over w end, 100.0))::double as lim from b window w as (partition by station order by k {_W}))
-select station, k, d, round(lim, 9) as "limit", coalesce(dev >= lim, false) as anomaly from c""",
+    "diff_mad_anomaly": CTE + ", " + ANOMALIES + """ select station, k, d, round(lim, 9) as "limit", coalesce(dev >= lim, false) as anomaly from c""",
     "tier_labels": FLAGS + "select * from fg",
     "max_local_level": FLAGS + "select station, ['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'][max(o)] as level from (select station, nullif(list_position(['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'], flag), 0) as o from fg) group by 1",
     "level_ladders": CTE + f"select bulletin_id, {_LEVEL} as level from ix",
     "cross_validate": CHECKED + "select station, flag, validation, count(*) as n from ck group by 1, 2, 3",
+    "cross_validate_live": CHECKED.replace("c2.s - dx.s <= 3600", "c2.s - dx.s <= 10800") + """, cl as (select *, coalesce(dst < -50, false) or coalesce(kp >= 5, false) as m5, coalesce(dst < -30, false) or coalesce(kp >= 4, false) as a4 from ck)
+select station, flag, case when flag = 'quiet' and m5 then 'missed_global_event' when flag in ('quiet', 'unsettled') and a4 then 'under_reacting' when flag in ('major_storm', 'severe_storm') and not a4 then 'unconfirmed_storm' else 'ok' end as validation, count(*) as n from cl group by 1, 2, 3""",
     "metrics_engine": CHECKED + f"select station, {_METRICS} from ck group by 1",
     "quality_gate": FILL + "select *, coverage >= 0.8 as passed from (select station, round(avg((filled is not null)::int), 9) as coverage, round(avg((filled is not null and v is null)::int), 9) as interpolated, round(avg((v is null)::int), 9) as missing from fl group by 1)",
     "residual_stats": CTE + "select station, round(stddev_pop(v), 9) as std, min(v) as low, max(v) as high, count(*) as n from rd group by 1",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.functions.values import known, r9, sql9
-from fieldwatch.operators.latch import LatchRule, Profile, bool_events, evidence, latch, match_events
+from fieldwatch.operators.latch import LatchRule, Profile, bool_events, event_totals, evidence, latch, match_events
 from fieldwatch.operators.picking import agreeing, dedup, sliding_windows, triplets
-from fieldwatch.plans.activity import FILL, magnitude, rolling_stats, window_sizes
+from fieldwatch.plans.activity import ANOMALIES, FILL, diff_mad_anomaly, magnitude, rolling_stats, window_sizes
 from fieldwatch.plans.base import bulletins, in_rows, natively, readings
 from fieldwatch.session import table
 from fieldwatch.sources.picks import typed_picks
@@ -16,7 +16,7 @@ from fieldwatch.sources.picks import typed_picks
 #: On and off lengths of the latches in rows of ten minutes.
 LATCH = {"active": (2, 3), "storm": (2, 18), "major": (1, 3), "severe": (1, 3)}
 #: The same lengths in minutes.
-MINUTES_ON_OFF = {"active": (5, 30), "storm": (10, 180), "major": (10, 30), "severe": (10, 30)}
+MINUTES_ON_OFF = {t.name: (t.on_min, t.off_min) for t in Profile().tiers}
 
 
 def masks(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
@@ -44,12 +44,14 @@ def hysteresis(spark: SparkSession, sf: str, step: int | None = None) -> DataFra
 
 
 def detector_flags(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
-    """Final labels: severity is nested (severe within major within storm), then the highest wins."""
+    """Final labels: severity is nested (severe within major within storm), then the highest wins; where neither active nor storm is
+    latched, a difference far from its rolling median is an anomaly. Samples without value are quiet."""
     storm, major = F.col("storm"), F.col("storm") & F.col("major")
     severe = major & F.col("severe")
     label = (F.when(F.col("x").isNull(), "quiet").when(severe, "severe_storm").when(major, "major_storm").when(storm, "minor_storm").when(F.col("active"), "active")
-             .when(F.col("ready") & known(F.col("medium") >= Profile().unsettled), "unsettled").otherwise("quiet"))
-    return latched(spark, sf, step).select("station", "k", label.alias("flag"))
+             .when(F.col("ready") & known(F.col("odd")), "anomaly").when(F.col("ready") & known(F.col("medium") >= Profile().unsettled), "unsettled").otherwise("quiet"))
+    odd = diff_mad_anomaly(spark, sf, step).where("anomaly").select("station", "k", F.lit(True).alias("odd"))  # few
+    return latched(spark, sf, step).join(odd, ["station", "k"], "left").select("station", "k", label.alias("flag"))
 
 
 def predicted_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +66,12 @@ def event_match(spark: SparkSession, sf: str) -> DataFrame:
     return match_events(bool_events(ref, "station", "k", "mask", 17, 1), predicted_events(spark, sf), "station")
 
 
+def event_totals_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all stations summed, with precision, recall and F1."""
+    t = event_totals(event_match(spark, sf))
+    return t.select(*t.columns[:5], *[r9(c).alias(c) for c in t.columns[5:]])
+
+
 def _picks(spark: SparkSession, sf: str) -> DataFrame:
     return typed_picks(table(spark, sf, "picks"))
 
@@ -139,8 +147,13 @@ pk as (select pick_id, trim(x[1]) || '.' || trim(x[2]) || '.' || replace(trim(x[
 _EVENTS = """, ev as (select station, min(k) as first, max(k) as last, count(*) as samples from (select *, sum(n) over (partition by station order by k) as g from (
   select station, k, case when k - lag(k) over (partition by station order by k) <= 4 then 0 else 1 end as n from (select station, k from fl where abs(filled) >= 15))) group by station, g having max(k) - min(k) + 1 >= 2)"""
 
+#: Three rounds of one-to-one matching over the overlaps ``pr``.
+_ROUNDS = "k0 as (select station, r, p from pr where false),\n" + "".join(
+    f"k{i} as (select station, r, p from k{i - 1} union all select station, min(r), p from (select station, r, min(p) as p from pr where not exists (select 1 from k{i - 1} t where t.station = pr.station and (t.r = pr.r or t.p = pr.p)) group by 1, 2) group by station, p),\n"
+    for i in (1, 2, 3)) + "tk as (select * from k3),"
+
 QUERIES = {
-    "evidence_masks": evidence_masks, "hysteresis": hysteresis, "detector_flags": detector_flags, "bool_events": predicted_events, "event_match": event_match, "pick_dedup": pick_dedup,
+    "evidence_masks": evidence_masks, "hysteresis": hysteresis, "detector_flags": detector_flags, "bool_events": predicted_events, "event_match": event_match, "event_totals": event_totals_q, "pick_dedup": pick_dedup,
     "pick_filter": pick_filter, "pick_intersection": pick_intersection, "pick_agreement": pick_agreement, "pick_summary": pick_summary, "pick_top": pick_top, "triplets": triplets_q, "sliding_windows": sliding_windows_q,
 }
 QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in ("evidence_masks", "hysteresis", "detector_flags")}
@@ -148,11 +161,12 @@ _BOTH = "select pick_id, sta, wave, us from pk a where model = 'phasenet' and ex
 SQL = {
     "evidence_masks": _MASKS + "select station, k, ready, " + ", ".join(f"coalesce({t}_{e}, false) as {t}_{e}" for t in LATCH for e in ("on", "off")) + " from m3",
     "hysteresis": _latch_sql() + "select station, k, active, storm from lt where i > 0",
-    "detector_flags": _latch_sql() + "select lt.station, lt.k, case when m.x is null then 'quiet' when severe and major and storm then 'severe_storm' when major and storm then 'major_storm' when storm then 'minor_storm' when active then 'active' when m.ready and m.medium >= 10 then 'unsettled' else 'quiet' end as flag from lt join mn m on lt.station = m.station and lt.i = m.i",
+    "detector_flags": _latch_sql() + ", " + ANOMALIES + " select lt.station, lt.k, case when m.x is null then 'quiet' when severe and major and storm then 'severe_storm' when major and storm then 'major_storm' when storm then 'minor_storm' when active then 'active' when m.ready and coalesce(c.dev >= c.lim, false) then 'anomaly' when m.ready and m.medium >= 10 then 'unsettled' else 'quiet' end as flag from lt join mn m on lt.station = m.station and lt.i = m.i left join c on c.station = lt.station and c.k = lt.k",
     "bool_events": FILL + _EVENTS + " select * from ev",
     "event_match": FILL + _EVENTS + """, rf as (select station, min(k) as first, max(k) as last from (select *, sum(n) over (partition by station order by k) as g from (
   select station, k, case when k - lag(k) over (partition by station order by k) <= 18 then 0 else 1 end as n from (select distinct station, (s // 600)::bigint as k from ix where kp >= 4))) group by station, g),
-tk as (select station, p, min(r) as r from (select rf.station, rf.first as r, min(ev.first) as p from rf join ev on rf.station = ev.station and rf.first <= ev.last and ev.first <= rf.last group by 1, 2) group by 1, 2),
+pr as (select distinct rf.station, rf.first as r, ev.first as p from rf join ev on rf.station = ev.station and rf.first <= ev.last and ev.first <= rf.last),
+""" + _ROUNDS + """
 n1 as (select station, count(*) as reference from rf group by 1), n2 as (select station, count(*) as predicted from ev group by 1), n3 as (select station, count(*) as matched from tk group by 1),
 n4 as (select coalesce(n1.station, n2.station) as station, coalesce(reference, 0) as reference, coalesce(predicted, 0) as predicted from n1 full join n2 on n1.station = n2.station)
 select n4.*, coalesce(matched, 0) as matched, reference - coalesce(matched, 0) as missed, predicted - coalesce(matched, 0) as false_positive from n4 left join n3 on n4.station = n3.station""",

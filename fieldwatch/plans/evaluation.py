@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.functions import tiers
@@ -13,17 +13,47 @@ from fieldwatch.operators.baseline import causal_baseline, harmonic_baseline
 from fieldwatch.operators.blocks import forward_fill, positions
 from fieldwatch.operators.series import asof_backward, fill_gaps, rolling
 from fieldwatch.plans import activity
-from fieldwatch.plans.activity import CHECKED, FILL
+from fieldwatch.plans.activity import CHECKED, FILL, FLAGS
 from fieldwatch.plans.base import STEP, bulletins, grid, natively, readings
 from fieldwatch.plans.forecasting import _PERSIST, _average, _second
 from fieldwatch.session import materialize, table
 
-MINORS, MAJORS, SEVERES = [50.0, 100.0, 150.0], [200.0, 400.0], [600.0, 800.0]
+#: The candidates of the sweep.
+MINORS, MAJORS, SEVERES = [60.0, 80.0, 100.0, 120.0, 140.0, 160.0], [250.0, 300.0, 350.0, 400.0, 450.0], [600.0, 700.0, 800.0, 900.0]
+
+
+def quantile(rows: DataFrame, column: str, share: float, cells: int = 4096) -> DataFrame:
+    """One row with the exact quantile (linear between neighbours) of a column under its name; NULL without values.
+
+    Counts per cell of equal width tell in which cells the two neighbours lie; only the distinct values of those cells are looked at,
+    counted, in a second pass. So no task holds all values.
+    """
+    rows = materialize(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), "quantile")
+    lo, hi, total = rows.agg(F.min(column), F.max(column), F.sum("n")).first()
+    if total is None:
+        return rows.agg(F.max(column).cast("double").alias(column))
+    width = (hi - lo) / cells or 1.0
+    cell = F.least(F.lit(cells - 1), F.floor((F.col(column) - lo) / width)).cast("int")
+    counts = sorted((r.c, r.n) for r in rows.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect())  # at most ``cells`` rows
+    rank = share * (total - 1)
+    wanted, before, seen = [], 0, 0
+    for c, n in counts:
+        if seen + n > int(rank) and seen <= min(int(rank) + 1, total - 1):
+            before = before if wanted else seen
+            wanted.append(c)
+        seen += n
+    near = rows.withColumn("c", cell).where(F.col("c").isin(wanted))
+    order = Window.orderBy(column)  # the values of at most two cells
+    at = near.select(column, F.sum("n").over(order).alias("upto"), "n")
+    reach = lambda r: F.min(F.when(F.col("upto") + before > r, F.col(column)))
+    a, b = reach(int(rank)), reach(min(int(rank) + 1, total - 1))
+    return at.agg(a.alias("a"), b.alias("b")).select((F.col("a") + (F.col("b") - F.col("a")) * (rank - int(rank))).alias(column))
 
 
 def quiet_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Lower tiers from the 99th percentile of amplitude at times of global level 0."""
-    q = activity.checked(spark, sf).where("gl = 0 and amp is not null").agg(F.percentile(F.round(F.col("amp") + 1e-9, 4), 0.99).alias("q"))
+    amp = activity.checked(spark, sf).where("gl = 0 and amp is not null").select(F.round(F.col("amp") + 1e-9, 4).alias("x"))
+    q = quantile(amp, "x", 0.99).withColumnRenamed("x", "q")
     u = F.greatest(F.lit(1.0), F.round(F.col("q") + 1e-9, 1))
     return q.select(u.alias("unsettled"), F.round(1.5 * u + 1e-9, 1).alias("active"))
 
@@ -84,15 +114,37 @@ def brier_logloss(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*[r9(c).alias(c) for c in d.columns])
 
 
+#: Lower bounds (nT) of forecast tiers, the best first.
+FORECAST_TIERS = ((200.0, 5), (100.0, 4), (35.0, 3), (15.0, 2), (10.0, 1))
+
+
+def forecast_tier(amplitude: Column, probability: Column, threshold: float = 0.5) -> Column:
+    """Tier 0..5 of a predicted amplitude; a probability at or above the threshold lifts it to minor storm."""
+    code = F.when(amplitude.isNull(), F.lit(None).cast("int"))
+    for least, tier in FORECAST_TIERS:
+        code = code.when(amplitude >= least, tier)
+    code = code.otherwise(0)
+    return F.when((probability >= threshold) & (code < 3), 3).otherwise(code)
+
+
 def inference_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecast tier of a predicted amplitude, lifted to minor storm by the probability, with confidence and divergence."""
-    s = scores(spark, sf)
-    m = F.col("m")
-    code = F.when(m >= 200, 5).when(m >= 100, 4).when(m >= 35, 3).when(m >= 15, 2).when(m >= 10, 1).otherwise(0)
-    lifted = F.when((F.col("p") >= 0.5) & (code < 3), 3).otherwise(code)
-    sure = F.greatest(F.col("p"), 1 - F.col("p"))
-    label = F.element_at(F.array(*[F.lit(x) for x in tiers.LABELS]), lifted + 1)
-    return s.select("station", "k", label.alias("tier"), r9(F.when(sure >= 0.55, sure)).alias("confidence"), r9(F.abs(lifted - code) / 5).alias("delta"), (F.abs(lifted - code) >= 2).alias("divergence"))
+    """Forecast tiers of one, three and six hours against the tier that the rules give now.
+
+    The amplitude forecast for h hours is the largest size of the last h hours, its storm probability a sigmoid of it (to four places); with
+    the current tier from the labels: tier and confidence (known from 0.55 on) per horizon, how far the highest forecast tier is from
+    the current one (in fifths), and whether that is at least 0.4.
+    """
+    hours = (1, 3, 6)
+    m = rolling(activity.magnitude(spark, sf), "station", 35, 0, {f"a{h}": (lambda h: lambda w: F.max("m").over(w.rowsBetween(1 - 6 * h, 0)))(h) for h in hours})
+    label = activity.flagged(spark, sf).select("station", "k", F.when(F.col("flag").isin(*tiers.LABELS), F.array_position(F.array(*[F.lit(x) for x in tiers.LABELS]), F.col("flag")).cast("int") - 1).otherwise(0).alias("now"))
+    s = m.where("m is not null").join(label, ["station", "k"])
+    for h in hours:
+        p = F.round(1 / (1 + F.exp(-(F.col(f"a{h}") - 35) / 10)) + 1e-9, 4)
+        s = s.withColumn(f"p{h}", p).withColumn(f"t{h}", forecast_tier(F.col(f"a{h}"), F.col(f"p{h}")))
+    sure = lambda h: F.greatest(F.col(f"p{h}"), 1 - F.col(f"p{h}"))
+    delta = F.abs(F.greatest(*[F.col(f"t{h}") for h in hours]) - F.col("now")) / 5.0
+    return s.select("station", "k", *[F.element_at(F.array(*[F.lit(x) for x in tiers.LABELS]), F.col(f"t{h}") + 1).alias(f"tier_{h}h") for h in hours],
+                    *[r9(F.when(sure(h) >= 0.55, sure(h))).alias(f"confidence_{h}h") for h in hours], r9(delta).alias("delta"), (F.round(delta, 6) >= 0.4).alias("divergence"))
 
 
 def pooled_sufficiency(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,11 +202,19 @@ def merge_benchmarks(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, ["field", "backend"], "full").select("field", "backend", F.coalesce("b.avg_mae", "a.avg_mae").alias("avg_mae"))
 
 
+def choose_scenario(rows: DataFrame, name: str, interest: Column, least: int = 1, most: int = 5, weighted: bool = True, seed: int = 7) -> DataFrame:
+    """One row of those whose interest lies in least..most (a sampling operator): weighted by interest or uniform, the same for the same
+    seed. The smallest -ln(u) / weight wins, u being a number from a hash of seed and name. No row fits: an empty frame."""
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    fit = rows.withColumn("_w", interest).where((F.col("_w") >= least) & (F.col("_w") <= most))
+    return fit.orderBy(-F.log(u) / (F.col("_w") if weighted else F.lit(1.0)), name).limit(1).drop("_w")
+
+
 def scenario_pick(spark: SparkSession, sf: str) -> DataFrame:
-    """One station by weighted choice that depends on a seed only: the smallest -ln(u) / weight (a sampling operator)."""
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit("7:"), "station")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
-    weight = 1 + F.pmod(F.length("station") + F.ascii(F.substring("station", 2, 1)), F.lit(5))
-    return table(spark, sf, "stations").where("kind = 'weather'").orderBy(-F.log(u) / weight, "station").limit(1).select("station")
+    """One weather station by weighted and one by uniform choice, of interest two to four there (a sampling operator)."""
+    interest = 1 + F.pmod(F.length("station") + F.ascii(F.substring("station", 2, 1)), F.lit(5))
+    rows = table(spark, sf, "stations").where("kind = 'weather'").select("station")
+    return choose_scenario(rows, "station", interest).withColumn("how", F.lit("weighted")).unionByName(choose_scenario(rows, "station", interest, 2, 4, False, 11).withColumn("how", F.lit("uniform")))
 
 
 def chrono_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,9 +316,16 @@ sl as (select minor, major, severe, station, gl, case when amp is null then null
 sp as (select minor, major, severe, station, count(*) filter (where gl >= 3) as storms, count(*) filter (where gl >= 3 and l >= 3) / nullif(count(*) filter (where gl >= 3), 0) as sdr, count(*) filter (where gl < 3 and l >= 3) / nullif(count(*) filter (where gl < 3), 0) as far,
   count(*) filter (where gl >= 3 and l < 2) / nullif(count(*) filter (where gl >= 3), 0) as missed, count(*) filter (where gl >= 2 and l < 2) / nullif(count(*) filter (where gl >= 2), 0) as under, avg(abs(l - gl)) as mae from sl group by 1, 2, 3, 4),
 sa as (select minor, major, severe, avg(sdr) filter (where storms > 0) as sdr_mean, min(sdr) filter (where storms > 0) as sdr_worst, avg(far) as far_mean, max(far) as far_worst, avg(missed) filter (where storms > 0) as missed_mean, avg(under) as under_mean, avg(mae) as mae_mean, max(mae) as mae_worst from sp group by 1, 2, 3),
-so as (select *, 10 * coalesce(greatest(0, 0.85 - sdr_mean), 1) + 5 * coalesce(greatest(0, 0.85 - sdr_worst), 1) + coalesce(far_mean, 1) + 0.5 * coalesce(far_worst, 1) + coalesce(missed_mean, 1) + coalesce(under_mean, 1) + 0.5 * coalesce(mae_mean, 1) + 0.25 * coalesce(mae_worst, 1) as objective from sa),
+so as (select *, 10 * case when sdr_mean is null then 1 else greatest(0, 0.90 - sdr_mean) end + 5 * case when sdr_worst is null then 1 else greatest(0, 0.90 - sdr_worst) end + coalesce(far_mean, 1) + 0.5 * coalesce(far_worst, 1) + coalesce(missed_mean, 1) + coalesce(under_mean, 1) + 0.5 * coalesce(mae_mean, 1) + 0.25 * coalesce(mae_worst, 1) as objective from sa),
 sr as (select minor, major, severe, """ + ", ".join(f"round({c}, 9) as {c}" for c in ("sdr_mean", "sdr_worst", "far_mean", "far_worst", "missed_mean", "under_mean", "mae_mean", "mae_worst", "objective")) + " from so)"
 
+_NAMES = "['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm']"
+_TIERS_SQL = FLAGS + ", ia as (select station, k, abs(filled) as m, " + ", ".join(f"max(abs(filled)) over (partition by station order by k rows between {6 * h - 1} preceding and current row) as a{h}" for h in (1, 3, 6)) + " from fl), " + (
+    f"ib as (select ia.*, coalesce(list_position({_NAMES}, flag) - 1, 0) as now from ia join fg on ia.station = fg.station and ia.k = fg.k where m is not null), "
+    + "ic as (select *, " + ", ".join(f"round(1 / (1 + exp(-(a{h} - 35) / 10)) + 1e-9, 4) as p{h}" for h in (1, 3, 6)) + " from ib), "
+    + "id as (select *, " + ", ".join(f"case when p{h} >= 0.5 and a{h} < 35 then 3 when a{h} >= 200 then 5 when a{h} >= 100 then 4 when a{h} >= 35 then 3 when a{h} >= 15 then 2 when a{h} >= 10 then 1 else 0 end as t{h}" for h in (1, 3, 6)) + " from ic) "
+    + "select station, k, " + ", ".join(f"{_NAMES}[t{h} + 1] as tier_{h}h, round(case when greatest(p{h}, 1 - p{h}) >= 0.55 then greatest(p{h}, 1 - p{h}) end, 9) as confidence_{h}h" for h in (1, 3, 6))
+    + ", round(abs(greatest(t1, t3, t6) - now) / 5.0, 9) as delta, round(abs(greatest(t1, t3, t6) - now) / 5.0, 6) >= 0.4 as divergence from id")
 QUERIES = {
     "quiet_tiers": quiet_tiers, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "operating_threshold": operating_threshold, "robust_threshold": robust_threshold, "ece": ece, "brier_logloss": brier_logloss,
     "inference_tiers": inference_tiers, "pooled_sufficiency": pooled_sufficiency, "micro_aggregate": micro_aggregate, "health_checks": health_checks, "alert_predicate": alert_predicate, "prometheus_lines": prometheus_lines,
@@ -274,8 +341,7 @@ SQL = {
     + f"rb as (select t as threshold, 'robust' as method, {_PICK}, 1 as o from rt where least(pr_e, pr_l) >= 0.8 and greatest(fr_e, fr_l) <= 0.01 order by least(rc_e, rc_l) desc, (rc_e + rc_l) / 2 desc, greatest(fr_e, fr_l), t desc limit 1) select threshold, method, precision, recall, f1, far from (select * from rb union all select *, 2 from ({_CHOICE})) order by o limit 1",
     "ece": _SCORES + "select round(sum(n * d) / sum(n), 9) as ece from (select least(floor(p * 10), 9) as b, count(*) as n, abs(avg(y::int) - avg(p)) as d from sc group by 1)",
     "brier_logloss": _SCORES + "select round(avg((p - y::int) ** 2), 9) as brier, round(avg(-case when y then ln(greatest(1e-15, least(1 - 1e-15, p))) else ln(1 - greatest(1e-15, least(1 - 1e-15, p))) end), 9) as log_loss, round(avg(y::int), 9) as positive_rate from sc",
-    "inference_tiers": _SCORES + ", it as (select *, case when m >= 200 then 5 when m >= 100 then 4 when m >= 35 then 3 when m >= 15 then 2 when m >= 10 then 1 else 0 end as c from sc), iu as (select *, case when p >= 0.5 and c < 3 then 3 else c end as l, greatest(p, 1 - p) as s from it) "
-    "select station, k, ['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'][l + 1] as tier, round(case when s >= 0.55 then s end, 9) as confidence, round(abs(l - c) / 5, 9) as delta, abs(l - c) >= 2 as divergence from iu",
+    "inference_tiers": _TIERS_SQL,
     "pooled_sufficiency": CHECKED + ", dd as (select station as o, year(make_timestamp((s // 86400 * 86400000000)::bigint)) as y, max(gl) as g, s // 86400 as d from ck group by station, s // 86400), cs as (select o, y, case when g >= 3 then 'storm' when g >= 2 then 'active' else 'quiet' end as c from dd), "
     "fu as (select a.o, b.y, c.c, (select count(*) from cs where cs.o = a.o and cs.y = b.y and cs.c = c.c) as n from (select distinct o from cs) a, (select distinct y from cs) b, (select unnest(['quiet', 'active', 'storm']) as c) c) "
     "select (select min(n) from fu) >= 4 and (select min(n) from (select sum(n) as n from fu group by y, c)) >= 8 and (select min(n) from (select sum(n) as n from fu group by c)) >= 12 as sufficient",
@@ -287,7 +353,8 @@ SQL = {
 union all select printf('mag_health_check{observatory="%s",check="coverage"} %d', station, c1::int) from hs union all select printf('mag_health_check{observatory="%s",check="baseline_fit"} %d', station, c2::int) from hs
 union all select printf('mag_health_check{observatory="%s",check="station_noise"} %d', station, c3::int) from hs where c3 is not null union all select printf('mag_flag_samples{observatory="%s",level="%s"} %d', station, flag, n) from fh""",
     "merge_benchmarks": _PERSIST.rstrip() + ", m1 as (select field, avg(mae) as m from es group by 1), " + _second() + ", m2 as (select field, avg(mae) as m from es2 group by 1) select field, 'persistence' as backend, round(m, 9) as avg_mae from m1 union all select field, 'seasonal_naive', round(m, 9) from m2 union all select field, 'latest', round(m, 9) from m2",
-    "scenario_pick": "select station from stations where kind = 'weather' order by -ln((('0x' || md5('7:' || station)[1:8])::bigint + 1) / 4294967297.0) / (1 + (length(station) + ascii(station[2])) % 5), station limit 1",
+    "scenario_pick": "with w as (select station, 1 + (length(station) + ascii(station[2])) % 5 as i from stations where kind = 'weather') select * from (select station, 'weighted' as how from w where i between 1 and 5 "
+    "order by -ln((('0x' || md5('7:' || station)[1:8])::bigint + 1) / 4294967297.0) / i, station limit 1) union all select * from (select station, 'uniform' from w where i between 2 and 4 order by -ln((('0x' || md5('11:' || station)[1:8])::bigint + 1) / 4294967297.0), station limit 1)",
     "chrono_split": _SCORES + ", ci as (select *, row_number() over (partition by station order by k) as i, count(*) over (partition by station) as n from sc) select station, case when i <= floor(0.7::double * n) then 'train' when i <= floor((0.7::double + 0.15::double) * n) then 'calibrate' else 'test' end as part, count(*) as n, min(k) as first, max(k) as last from ci group by station, part",
     "sanitize_features": FILL + "select station, k, pv as carried from fp",
     "keep_first": "select observatory, min(reading_id) as reading_id, epoch_us(ts) as us from residuals group by observatory, ts",

@@ -51,8 +51,10 @@ def problems(s: Settings) -> list[str]:
         return out
     tiers = [s.unsettled_nt, s.active_nt, s.minor_storm_nt, s.major_storm_nt, s.severe_storm_nt]
     if sorted(set(tiers)) != tiers or tiers[0] <= 0:
-        out.append("thresholds must increase from above 0")
+        out.append("every tier needs a higher threshold than the one below it, the lowest more than 0")
     out += [f"{n} must lie in 0..1" for n in ("storm_fraction", "min_coverage", "max_fill_fraction", "min_requested_coverage") if not 0 <= getattr(s, n) <= 1]
+    out += [f"{n} must be above 0" for n in ("baseline_step_h", "baseline_window_h", "amplitude_window_min", "jump_nt", "baseline_passes") if not getattr(s, n) > 0]
+    out += [f"{f.name} is not a number" for f in fields(s) if isinstance(getattr(s, f.name), float) and getattr(s, f.name) != getattr(s, f.name)]
     if s.baseline_step_h > s.baseline_window_h:
         out.append("the baseline's step exceeds its window")
     if s.min_plausible_nt >= s.max_plausible_nt:
@@ -62,7 +64,7 @@ def problems(s: Settings) -> list[str]:
     if s.alert_level not in ("minor_storm", "major_storm", "severe_storm"):
         out.append(f"unknown alert_level {s.alert_level!r}")
     if s.alert_url and not s.alert_url.startswith(("http://", "https://")):
-        out.append("alert_url must be an http address")
+        out.append("alert_url: only http and https are delivered to")
     return out
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Field, part of the column name, factor to SI units. The first column that fits and has no excluded part counts.
-PARTS = [("temperature", "temp", 1.0), ("humidity_prec", "rel hum", 1.0), ("barometer", "press", 10.0), ("wind_speed", "spd", 1000.0 / 3600.0), ("wind_direction", "dir", 10.0)]
-EXCLUDED = ("dew", "flag")
+#: Field, parts of the column name of which one must occur, parts that must not, factor to SI units. The first column that fits counts.
+PARTS = [
+    ("temperature", ("temp",), ("dew", "flag"), 1.0), ("humidity_prec", ("rel hum", "humidity"), ("flag",), 1.0), ("barometer", ("press", "barometer"), ("flag",), 10.0),
+    ("wind_speed", ("spd", "wind speed"), ("flag",), 1000.0 / 3600.0), ("wind_direction", ("dir", "wind dir"), ("flag",), 10.0),
+]
 
 
 def find_columns(names: list[str]) -> dict[str, str]:
     """Field -> column name, by lower-case parts; the time column as ``time``. A file without time column is an error."""
-    usable = [n for n in names if not any(x in n.lower() for x in EXCLUDED)]
-    out = {field: n for field, part, _ in PARTS for n in reversed(usable) if part in n.lower()}
+    fits = lambda n, parts, without: any(x in n.lower() for x in parts) and not any(x in n.lower() for x in without)
+    out = {field: n for field, parts, without, _ in PARTS for n in reversed(names) if fits(n, parts, without)}
     times = [n for n in names if "date/time" in n.lower()]
     if not times:
         raise ValueError("no date/time column")
@@ -28,7 +30,7 @@ def read_hourly(spark: SparkSession, paths: list[str]) -> DataFrame:
     cell = lambda n: F.trim(F.col(f"`{n}`"))
     value = lambda f, k: (cell(names[f]).try_cast("double") * k if f in names else F.lit(None).cast("double")).alias(f)
     ts = F.try_to_timestamp(cell(names["time"]), F.lit("yyyy-MM-dd HH:mm")).alias("ts")
-    return raw.select(ts, *[value(f, k) for f, _, k in PARTS]).where("ts is not null")
+    return raw.select(ts, *[value(f, k) for f, _, _, k in PARTS]).where("ts is not null")
 
 
 def coordinates(spark: SparkSession, path: str) -> tuple[float, float] | None:
