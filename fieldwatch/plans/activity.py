@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldwatch.functions import tiers
 from fieldwatch.functions.values import known, r9, ratio, sql9
 from fieldwatch.operators.series import asof_backward, fill_gaps, median_cadence, rolling
-from fieldwatch.plans.base import CTE, STEP, bulletins, grid, in_rows, natively, readings
+from fieldwatch.plans.base import CTE, STEP, bulletins, cte, grid, in_rows, natively, natively_sql, readings
 
 WINDOW = 18  # rows of three hours
 BASE = 36  # rows of the trailing median baseline
@@ -246,7 +246,7 @@ def lag_features(spark: SparkSession, sf: str, step: int | None = None) -> DataF
 
 
 #: fl: filled grid; ff: with both-sided filling; fg: labels; ck: labels with indices
-FILL = CTE + """,
+_FILL = """,
 fp as (select station, k, v, last_value(v ignore nulls) over w as pv, last_value(case when v is not null then k end ignore nulls) over w as pk,
   first_value(v ignore nulls) over x as nv, first_value(case when v is not null then k end ignore nulls) over x as nk from gr
   window w as (partition by station order by k rows between unbounded preceding and current row), x as (partition by station order by k rows between current row and unbounded following)),
@@ -254,14 +254,23 @@ fl as (select station, k, v, round(case when v is not null then v when pk is nul
 ff as (select station, k, v, round(case when v is not null then v when pk is null then case when nk - k <= 3 then nv end when nk is null then case when k - pk <= 3 then pv end
   when k - pk <= 3 or nk - k <= 3 then pv + (nv - pv) * (k - pk) / (nk - pk) end, 9) as filled from fp)
 """
+FILL = CTE + _FILL
 _MAG = FILL + ", mg as (select station, k, filled as x, abs(filled) as m from fl)"
-FLAGS = FILL + f""",
-b1 as (select station, k, round(filled - quantile_cont(filled, 0.5) over (partition by station order by k rows between {BASE} preceding and 1 preceding), 9) as r from fl),
+
+
+def flags_sql(step: int | None = None) -> str:
+    """fg: labels on the grid of a step."""
+    rows, base = amplitude_rows(step), in_rows(21600, step) if step else BASE
+    return cte(step) + _FILL + f""",
+b1 as (select station, k, round(filled - quantile_cont(filled, 0.5) over (partition by station order by k rows between {base} preceding and 1 preceding), 9) as r from fl),
 b2 as (select station, k, r, case when r is not null then round(max(r) over w - min(r) over w, 9) end as amp, lag(r) over (partition by station order by k) as p, lead(r) over (partition by station order by k) as n
-  from b1 window w as (partition by station order by k rows between {WINDOW - 1} preceding and current row)),
+  from b1 window w as (partition by station order by k rows between {rows - 1} preceding and current row)),
 fg as (select station, k, r, amp, case when r is null or abs(r) > 3000 then 'invalid' when coalesce(abs(r - p) > 100 and abs(n - r) > 100 and sign(n - r) <> sign(r - p), false) then 'anomaly'
   when amp > 800 then 'severe_storm' when amp > 400 then 'major_storm' when amp > 100 then 'minor_storm' when amp > 30 then 'active' when amp > 20 then 'unsettled' else 'quiet' end as flag from b2)
 """
+
+
+FLAGS = flags_sql()
 _LEVEL = "greatest(case when kp is null then null when kp <= 2 then 0 when kp <= 4 then 1 when kp < 6 then 2 when kp < 8 then 3 else 4 end, case when dst is null then null when dst >= -10 then 0 when dst >= -30 then 1 when dst >= -50 then 2 when dst >= -100 then 3 else 4 end)"
 CHECKED = FLAGS + f""",
 kx as (select station, s, max_by(kp, bulletin_id) as kp from ix where kp is not null group by 1, 2), dx as (select station, s, max_by(dst, bulletin_id) as dst from ix where dst is not null group by 1, 2),
@@ -282,14 +291,16 @@ round(count(*) filter (where gl < 3 and ll >= 3) / nullif(count(*) filter (where
 round(avg(abs(ll - gl)), 9) as level_error, round(avg((validation = 'ok')::int), 9) as validation_yield, count(gl) as with_index, count(*) as samples"""
 
 
-#: c: differences, their distance from the rolling median, and the limit
-ANOMALIES = f"""a as (select station, k, round(v - lag(v) over (partition by station order by k), 9) as d from gr),
-b as (select *, case when count(d) over w = {WINDOW} then round(abs(d - quantile_cont(d, 0.5) over w), 9) end as dev from a window w as (partition by station order by k {_W})),
-c as (select *, greatest(100.0, coalesce(case when count(dev) over w = {WINDOW} then 8 * 1.4826 * quantile_cont(dev, 0.5) over w end, 100.0))::double as lim from b window w as (partition by station order by k {_W}))"""
+def anomalies_sql(step: int | None = None) -> str:
+    """c: differences, their distance from the rolling median, and the limit."""
+    n = in_rows(10800, step, 721) if step else WINDOW
+    w = f"(partition by station order by k rows between {n - 1} preceding and current row)"
+    return f"""a as (select station, k, round(v - lag(v) over (partition by station order by k), 9) as d from gr),
+b as (select *, case when count(d) over w = {n} then round(abs(d - quantile_cont(d, 0.5) over w), 9) end as dev from a window w as {w}),
+c as (select *, greatest(100.0, coalesce(case when count(dev) over w = {n} then 8 * 1.4826 * quantile_cont(dev, 0.5) over w end, 100.0))::double as lim from b window w as {w})"""
 
 
-def _amp_sql(expr: str, frame: str = _W) -> str:
-    return CTE + f"select station, k, case when v is not null then round({expr}, 9) end as amp from gr window w as (partition by station order by k {frame})"
+ANOMALIES = anomalies_sql()
 
 
 def _med(n: int, q: float = 0.5) -> str:
@@ -297,6 +308,34 @@ def _med(n: int, q: float = 0.5) -> str:
     return f"case when count(m) over {f} = {n} then round(quantile_cont(m, {q}) over {f}, 9) end"
 
 
+def series_sql(step: int | None = None) -> dict[str, str]:
+    """SQL of the queries that run on the grid of a step."""
+    gr, fl, flags, n = cte(step), cte(step) + _FILL, flags_sql(step), amplitude_rows(step)
+    mag = fl + ", mg as (select station, k, filled as x, abs(filled) as m from fl)"
+    back = f"rows between {n - 1} preceding and current row"
+    sizes = window_sizes(step)
+    rows = lambda k: in_rows(k * STEP, step) if step else k
+    amp = lambda expr, frame=back: gr + f"select station, k, case when v is not null then round({expr}, 9) end as amp from gr window w as (partition by station order by k {frame})"
+    peak = sizes["peak"][1]
+    return {
+        "flag_histogram": flags + "select station, flag, count(*) as n from fg group by 1, 2", "regular_grid": gr + "select * from gr",
+        "gap_fill_forward": fl + "select station, k, v, filled from fl", "gap_fill_both": fl + "select station, k, v, filled from ff",
+        "amp_range": amp("max(v) over w - min(v) over w"), "amp_hybrid": amp("greatest(max(v) over w - min(v) over w, 2 * abs(avg(v) over w))"), "amp_max": amp("greatest(abs(max(v) over w), abs(min(v) over w))"),
+        "amp_centered": amp("max(v) over w - min(v) over w", f"rows between {n // 2} preceding and {(n - 1) // 2} following"), "amp_instant": gr + "select station, k, abs(v) as amp from gr",
+        "rolling_medians": mag + "select station, k, " + ", ".join(f"{_med(sizes[c][1])} as {c}" for c in ("fast", "medium", "slow", "slow3")) + " from mg",
+        "rolling_p75": mag + f"select station, k, {_med(sizes['upper'][1], 0.75)} as upper from mg",
+        "rolling_peak": mag + f"select station, k, case when count(m) over w = {peak} then max(m) over w end as peak from mg window w as (partition by station order by k rows between {peak - 1} preceding and current row)",
+        "prefilter_median": gr + "select station, k, round(quantile_cont(v, 0.5) over (partition by station order by k rows between 2 preceding and 2 following), 9) as med from gr",
+        "rolling_p95": mag + f"select station, k, round(quantile_cont(m, 0.95) over (partition by station order by k {back}), 9) as p95 from mg",
+        "spike_reversal": gr + "select station, k, v from (select *, v - lag(v) over w as d, lead(v) over w - v as n from gr window w as (partition by station order by k)) where abs(d) > 100 and abs(n) > 100 and sign(n) <> sign(d)",
+        "diff_mad_anomaly": gr + ", " + anomalies_sql(step) + """ select station, k, d, round(lim, 9) as "limit", coalesce(dev >= lim, false) as anomaly from c""",
+        "tier_labels": flags + "select * from fg",
+        "max_local_level": flags + "select station, ['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'][max(o)] as level from (select station, nullif(list_position(['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'], flag), 0) as o from fg) group by 1",
+        "lag_features": mag + "select station, k, x, " + ", ".join(f"round(avg(x) over w{k}, 9) as mean_{k}, round(stddev_pop(x) over w{k}, 9) as std_{k}, max(x) over w{k} as max_{k}" for k in (6, 18, 36)) + ", " + ", ".join(f"lag(x, {rows(k)}) over w as lag_{k}" for k in (1, 3, 6, 18))
+        + " from mg window w as (partition by station order by k), " + ", ".join(f"w{k} as (partition by station order by k rows between {rows(k) - 1} preceding and current row)" for k in (6, 18, 36)),
+    }
+
+
 QUERIES = {
     "flag_histogram": flag_histogram, "regular_grid": regular_grid_q, "median_cadence": median_cadence_q, "gap_fill_forward": gap_fill_forward, "gap_fill_both": gap_fill_both,
     "asof_kp": _asof("kp", 10800), "asof_dst": _asof("dst", 3600), "amp_range": amplitude("range"), "amp_hybrid": amplitude("hybrid"), "amp_max": amplitude("max"),
@@ -311,26 +350,9 @@ _NATIVE = ["flag_histogram", "regular_grid", "gap_fill_forward", "gap_fill_both"
 QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in _NATIVE}
 _F = lambda n: f"(partition by station order by k rows between 1 following and {6 * n} following)"
 SQL = {
-    "flag_histogram": FLAGS + "select station, flag, count(*) as n from fg group by 1, 2",
-    "regular_grid": CTE + "select * from gr",
     "median_cadence": CTE + "select station, greatest(1, floor(quantile_cont(d, 0.5)))::bigint as cadence_s from (select station, lead(s) over (partition by station order by s) - s as d from (select distinct station, s from rd)) group by 1",
-    "gap_fill_forward": FILL + "select station, k, v, filled from fl",
-    "gap_fill_both": FILL + "select station, k, v, filled from ff",
     "asof_kp": CTE + ", x as (select station, s, max_by(kp, bulletin_id) as kp from ix where kp is not null group by 1, 2) select g.station, g.k, case when g.k * 600 - x.s <= 10800 then x.kp end as kp from gr g asof left join x on g.station = x.station and g.k * 600 >= x.s",
     "asof_dst": CTE + ", x as (select station, s, max_by(dst, bulletin_id) as dst from ix where dst is not null group by 1, 2) select g.station, g.k, case when g.k * 600 - x.s <= 3600 then x.dst end as dst from gr g asof left join x on g.station = x.station and g.k * 600 >= x.s",
-    "amp_range": _amp_sql("max(v) over w - min(v) over w"), "amp_hybrid": _amp_sql("greatest(max(v) over w - min(v) over w, 2 * abs(avg(v) over w))"),
-    "amp_max": _amp_sql("greatest(abs(max(v) over w), abs(min(v) over w))"),
-    "amp_centered": _amp_sql("max(v) over w - min(v) over w", f"rows between {WINDOW // 2} preceding and {(WINDOW - 1) // 2} following"),
-    "amp_instant": CTE + "select station, k, abs(v) as amp from gr",
-    "rolling_medians": _MAG + f"select station, k, {_med(1)} as fast, {_med(3)} as medium, {_med(6)} as slow, {_med(18)} as slow3 from mg",
-    "rolling_p75": _MAG + f"select station, k, {_med(4, 0.75)} as upper from mg",
-    "rolling_peak": _MAG + "select station, k, case when count(m) over w = 2 then max(m) over w end as peak from mg window w as (partition by station order by k rows between 1 preceding and current row)",
-    "prefilter_median": CTE + "select station, k, round(quantile_cont(v, 0.5) over (partition by station order by k rows between 2 preceding and 2 following), 9) as med from gr",
-    "rolling_p95": _MAG + f"select station, k, round(quantile_cont(m, 0.95) over (partition by station order by k {_W}), 9) as p95 from mg",
-    "spike_reversal": CTE + "select station, k, v from (select *, v - lag(v) over w as d, lead(v) over w - v as n from gr window w as (partition by station order by k)) where abs(d) > 100 and abs(n) > 100 and sign(n) <> sign(d)",
-    "diff_mad_anomaly": CTE + ", " + ANOMALIES + """ select station, k, d, round(lim, 9) as "limit", coalesce(dev >= lim, false) as anomaly from c""",
-    "tier_labels": FLAGS + "select * from fg",
-    "max_local_level": FLAGS + "select station, ['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'][max(o)] as level from (select station, nullif(list_position(['quiet', 'unsettled', 'active', 'minor_storm', 'major_storm', 'severe_storm'], flag), 0) as o from fg) group by 1",
     "level_ladders": CTE + f"select bulletin_id, {_LEVEL} as level from ix",
     "cross_validate": CHECKED + "select station, flag, validation, count(*) as n from ck group by 1, 2, 3",
     "cross_validate_live": CHECKED.replace("c2.s - dx.s <= 3600", "c2.s - dx.s <= 10800") + """, cl as (select *, coalesce(dst < -50, false) or coalesce(kp >= 5, false) as m5, coalesce(dst < -30, false) or coalesce(kp >= 4, false) as a4 from ck)
@@ -339,7 +361,6 @@ select station, flag, case when flag = 'quiet' and m5 then 'missed_global_event'
     "quality_gate": FILL + "select *, coverage >= 0.8 as passed from (select station, round(avg((filled is not null)::int), 9) as coverage, round(avg((filled is not null and v is null)::int), 9) as interpolated, round(avg((v is null)::int), 9) as missing from fl group by 1)",
     "residual_stats": CTE + "select station, round(stddev_pop(v), 9) as std, min(v) as low, max(v) as high, count(*) as n from rd group by 1",
     "future_targets": _MAG + ", t as (select station, k, " + ", ".join(f"case when count(m) over {_F(h)} = {6 * h} then max(m) over {_F(h)} end as target_peak_{h}h" for h in (1, 3, 6)) + " from mg) select *, " + ", ".join(f"target_peak_{h}h >= 35 as target_storm_{h}h" for h in (1, 3, 6)) + " from t",
-    "lag_features": _MAG + "select station, k, x, " + ", ".join(f"round(avg(x) over w{n}, 9) as mean_{n}, round(stddev_pop(x) over w{n}, 9) as std_{n}, max(x) over w{n} as max_{n}" for n in (6, 18, 36)) + ", " + ", ".join(f"lag(x, {n}) over w as lag_{n}" for n in (1, 3, 6, 18))
-    + " from mg window w as (partition by station order by k), " + ", ".join(f"w{n} as (partition by station order by k rows between {n - 1} preceding and current row)" for n in (6, 18, 36)),
 }
+SQL = series_sql() | SQL | {f"native_{n}": natively_sql(series_sql, n) for n in _NATIVE}
 SQL = {name: sql9(text) for name, text in SQL.items()}

@@ -76,3 +76,18 @@ gk as (select station, unnest(range(lo, hi + 1)) as k from gb),
 gr as (select gk.station, gk.k, g0.v from gk left join g0 on gk.station = g0.station and gk.k = g0.k),
 ix as (select upper(replace(observatory, ' ', '')) as station, epoch_us(ts) // 1000000 as s, kp, dst, bulletin_id from index_bulletins)
 """
+
+#: Cadences of the magnetometers, in seconds, for which the SQL of the ``native_`` queries is written.
+CADENCES = (20, 60)
+
+
+def cte(step: int | None = None) -> str:
+    """``CTE``, with ``step`` over the stations of that cadence and their own periods."""
+    if not step:
+        return CTE
+    return CTE.replace("// 600", f"// {step}").replace("abs(residual) <= 3000)", f"abs(residual) <= 3000 and observatory in (select station from stations where cadence_s = {step}))")
+
+
+def natively_sql(build, name: str) -> str:
+    """SQL of a query at every cadence, with the cadence as ``cadence_s``; ``build`` gives the SQL of a step by name."""
+    return " union all ".join(f"select *, {c}::bigint as cadence_s from ({build(c)[name]})" for c in CADENCES)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from fieldwatch.functions.values import known, r9, sql9
 from fieldwatch.operators.latch import LatchRule, Profile, bool_events, event_totals, evidence, latch, match_events
 from fieldwatch.operators.picking import agreeing, dedup, sliding_windows, triplets
+from fieldwatch.plans.activity import _FILL as FILL_ONLY
 from fieldwatch.plans.activity import ANOMALIES, FILL, diff_mad_anomaly, magnitude, rolling_stats, window_sizes
-from fieldwatch.plans.base import bulletins, in_rows, natively, readings
+from fieldwatch.plans.base import bulletins, cte, in_rows, natively, natively_sql, readings
 from fieldwatch.session import table
 from fieldwatch.sources.picks import typed_picks
 
@@ -111,10 +112,16 @@ def sliding_windows_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STAT = lambda n, q: f"case when count(m) over (partition by station order by k rows between {n - 1} preceding and current row) = {n} then round(quantile_cont(m, {q}) over (partition by station order by k rows between {n - 1} preceding and current row), 9) end"
-_MASKS = FILL + f""",
+
+
+def masks_sql(step: int | None = None) -> str:
+    """m3: evidence on the grid of a step."""
+    sizes = {c: (k, n) for c, (k, n) in window_sizes(step).items()}
+    stats = ", ".join(f"{_STAT(n, 0.75 if k == 'p75' else 0.5)} as {c}" for c, (k, n) in sizes.items() if k != "max")
+    peak = sizes["peak"][1]
+    return cte(step) + FILL_ONLY + f""",
 ms as (select station, k, filled as x, abs(filled) as m from fl),
-m1 as (select *, {_STAT(1, 0.5)} as fast, {_STAT(3, 0.5)} as medium, {_STAT(4, 0.75)} as upper, {_STAT(6, 0.5)} as slow, {_STAT(18, 0.5)} as slow3,
-  case when count(m) over w = 2 then max(m) over w end as peak from ms window w as (partition by station order by k rows between 1 preceding and current row)),
+m1 as (select *, {stats}, case when count(m) over w = {peak} then max(m) over w end as peak from ms window w as (partition by station order by k rows between {peak - 1} preceding and current row)),
 m2 as (select *, m is not null and fast is not null and medium is not null and upper is not null and slow is not null and slow3 is not null and peak is not null as ready from m1),
 m3 as (select station, k, x, medium, ready,
   ready and (medium >= 15 or (slow >= 0.65 * 15 and medium >= 0.4 * 15) or (slow3 >= 0.55 * 15 and medium >= 0.4 * 15) or (upper >= 15 and medium >= 0.35 * 15) or (fast >= 1.25 * 15 and medium >= 0.4 * 15) or (peak >= 1.8 * 15 and medium >= 0.25 * 15)) as active_on,
@@ -126,6 +133,13 @@ m3 as (select station, k, x, medium, ready,
 """
 
 
+_MASKS = masks_sql()
+
+
+def evidence_sql(step: int | None = None) -> dict[str, str]:
+    return {"evidence_masks": masks_sql(step) + "select station, k, ready, " + ", ".join(f"coalesce({t}_{e}, false) as {t}_{e}" for t in LATCH for e in ("on", "off")) + " from m3"}
+
+
 def _latch_sql() -> str:
     """Every latch as a recursion over the rows of a station."""
     seeds = ", ".join(f"false as {t}, 0 as {t}_c" for t in LATCH)
@@ -159,7 +173,7 @@ QUERIES = {
 QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in ("evidence_masks", "hysteresis", "detector_flags")}
 _BOTH = "select pick_id, sta, wave, us from pk a where model = 'phasenet' and exists (select 1 from pk b where b.model = 'eqtransformer' and b.sta = a.sta and b.wave = a.wave and abs(a.us - b.us) <= 1000000)"
 SQL = {
-    "evidence_masks": _MASKS + "select station, k, ready, " + ", ".join(f"coalesce({t}_{e}, false) as {t}_{e}" for t in LATCH for e in ("on", "off")) + " from m3",
+    **evidence_sql(), "native_evidence_masks": natively_sql(evidence_sql, "evidence_masks"),
     "hysteresis": _latch_sql() + "select station, k, active, storm from lt where i > 0",
     "detector_flags": _latch_sql() + ", " + ANOMALIES + " select lt.station, lt.k, case when m.x is null then 'quiet' when severe and major and storm then 'severe_storm' when major and storm then 'major_storm' when storm then 'minor_storm' when active then 'active' when m.ready and coalesce(c.dev >= c.lim, false) then 'anomaly' when m.ready and m.medium >= 10 then 'unsettled' else 'quiet' end as flag from lt join mn m on lt.station = m.station and lt.i = m.i left join c on c.station = lt.station and c.k = lt.k",
     "bool_events": FILL + _EVENTS + " select * from ev",
