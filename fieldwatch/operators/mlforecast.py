@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.operators.blocks import positions
@@ -58,17 +57,27 @@ def isotonic(calibration: DataFrame, label: str):
 
 
 def save_bundle(model: PipelineModel, path: str, **facts) -> None:
-    """Model and manifest beside it."""
+    """Model and, as a table of one row beside it, its manifest: on any file system that Spark writes to."""
     model.write().overwrite().save(f"{path}/model")
-    Path(path, "manifest.json").write_text(json.dumps({"version": VERSION, **facts}, sort_keys=True))
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(VERSION, json.dumps(facts, sort_keys=True))], "version string, facts string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def load_bundle(path: str) -> tuple[PipelineModel, dict]:
     """Model and manifest; a bundle of another version is an error."""
-    manifest = json.loads(Path(path, "manifest.json").read_text())
-    if manifest.get("version") != VERSION:
-        raise ValueError(f"bundle version {manifest.get('version')!r}, expected {VERSION!r}")
-    return PipelineModel.load(f"{path}/model"), manifest
+    row = SparkSession.getActiveSession().read.schema("version string, facts string").json(f"{path}/manifest").first()
+    if row is None or row.version != VERSION:
+        raise ValueError(f"bundle version {row and row.version!r}, expected {VERSION!r}")
+    return PipelineModel.load(f"{path}/model"), {"version": row.version, **json.loads(row.facts)}
+
+
+def require_rows(parts: DataFrame, total: int = 2000, train: int = 1000, other: int = 300) -> DataFrame:
+    """The rows of ``chrono_split`` if they are enough to certify a forecaster; else an error that names what is short."""
+    n = {r.part: r["count"] for r in parts.groupBy("part").count().collect()}
+    short = [f"{what} has {have} rows, needs {need}" for what, have, need in (("the table", sum(n.values()), total), ("train", n.get("train", 0), train), ("calibrate", n.get("calibrate", 0), other), ("test", n.get("test", 0), other)) if have < need]
+    if short:
+        raise ValueError("; ".join(short))
+    return parts
 
 
 def against_persistence(rows: DataFrame, truth: str, forecast: str, last: str) -> DataFrame:

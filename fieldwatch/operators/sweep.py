@@ -105,12 +105,14 @@ def choose(table: DataFrame, least_precision: float = 0.8, most_far: float = 0.0
     return best.select("threshold", F.when(F.col("feasible"), "constrained").otherwise("fallback").alias("method"), "precision", "recall", "f1", "far")
 
 
-def choose_robust(table: DataFrame, least_precision: float = 0.8, most_far: float = 0.01) -> DataFrame:
+def choose_robust(table: DataFrame, least_precision: float = 0.8, most_far: float = 0.01, least_rows: int = 400, least_part: int = 200) -> DataFrame:
     """Like ``choose``, but feasible in the early and the late part both, by (smaller recall, mean recall, -larger FAR,
-    threshold); without a feasible one the choice over all rows."""
+    threshold); without a feasible one, with fewer than ``least_rows`` rows or ``least_part`` rows in a part, the choice over all rows."""
     e, s = rates("_early"), rates("_late")
     t = table.select("*", *[c.alias(f"e_{k}") for k, c in e.items()], *[c.alias(f"l_{k}") for k, c in s.items()])
-    ok = (F.least("e_precision", "l_precision") >= least_precision) & (F.greatest("e_far", "l_far") <= most_far)
+    rows = lambda part: sum((F.col(f"{x}_{part}") for x in ("tp", "fp", "fn", "tn")), F.lit(0))
+    enough = (rows("early") + rows("late") >= least_rows) & (F.least(rows("early"), rows("late")) >= least_part)
+    ok = enough & (F.least("e_precision", "l_precision") >= least_precision) & (F.greatest("e_far", "l_far") <= most_far)
     order = F.struct(F.least("e_recall", "l_recall"), ((F.col("e_recall") + F.col("l_recall")) / 2), -F.greatest("e_far", "l_far"), F.col("threshold"))
     best = t.where(ok).orderBy(order.desc()).limit(1).withColumns(rates()).select("threshold", F.lit("robust").alias("method"), "precision", "recall", "f1", "far", F.lit(1).alias("o"))
     other = choose(table, least_precision, most_far).withColumn("o", F.lit(2))
@@ -179,3 +181,9 @@ def violation(least: dict[str, float], most: dict[str, float]) -> Column:
     parts = [F.greatest(F.lit(0.0), F.lit(v) - F.coalesce(F.col(c), F.lit(0.0))) for c, v in least.items()]
     parts += [F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(1.0)) - F.lit(v)) for c, v in most.items()]
     return sum(parts, F.lit(0.0))
+
+
+def worst_case(cases: DataFrame, measures: list[str]) -> DataFrame:
+    """One row (floor): the smallest of the measures over all cases, unknown ones counting as 0; 1 without cases."""
+    each = F.least(*[F.coalesce(F.col(m), F.lit(0.0)) for m in measures]) if len(measures) > 1 else F.coalesce(F.col(measures[0]), F.lit(0.0))
+    return cases.agg(F.least(F.lit(1.0), F.coalesce(F.min(each), F.lit(1.0))).alias("floor"))

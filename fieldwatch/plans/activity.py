@@ -137,17 +137,22 @@ def diff_mad_anomaly(spark: SparkSession, sf: str, step: int | None = None) -> D
 
 def flagged(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
     """Filled grid, trailing-median baseline, residual, range amplitude and label: (station, k, r, amp, flag)."""
-    g = fill_gaps(grid(spark, sf, step), "station").select("station", "k", r9("filled").alias("x"))
+    return labelled(spark, sf, step).select("station", "k", "r", "amp", "flag")
+
+
+def labelled(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
+    """``flagged`` with the grid's value ``v`` and the filled one ``x``."""
+    g = fill_gaps(grid(spark, sf, step), "station").select("station", "k", "v", r9("filled").alias("x"))
     g = rolling(g, "station", in_rows(21600, step) if step else BASE, -1, {"base": F.percentile("x", 0.5)})
     n = amplitude_rows(step)
-    g = g.select("station", "k", r9(F.col("x") - F.col("base")).alias("r"))
+    g = g.select("station", "k", "v", "x", r9(F.col("x") - F.col("base")).alias("r"))
     g = rolling(g, "station", n - 1, 1, {
         "hi": lambda w: F.max("r").over(w.rowsBetween(-(n - 1), 0)), "lo": lambda w: F.min("r").over(w.rowsBetween(-(n - 1), 0)),
         "prev": lambda w: F.lag("r").over(w), "next": lambda w: F.lead("r").over(w)})
     amp = F.when(F.col("r").isNotNull(), r9(F.col("hi") - F.col("lo")))
     g = g.withColumn("amp", amp)
     spike = tiers.spike(F.col("r") - F.col("prev"), F.col("next") - F.col("r"))
-    return g.select("station", "k", "r", "amp", tiers.flag(F.col("r"), F.col("amp"), spike).alias("flag"))
+    return g.select("station", "k", "v", "x", "r", "amp", tiers.flag(F.col("r"), F.col("amp"), spike).alias("flag"))
 
 
 def tier_labels(spark: SparkSession, sf: str, step: int | None = None) -> DataFrame:
@@ -172,7 +177,12 @@ def level_ladders(spark: SparkSession, sf: str) -> DataFrame:
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
     """Labels with the indices of their time (Kp three hours back at most, Dst one) and the cross-check."""
-    g = flagged(spark, sf).withColumn("s", F.col("k") * STEP)
+    return with_indices(spark, sf, flagged(spark, sf))
+
+
+def with_indices(spark: SparkSession, sf: str, labels: DataFrame) -> DataFrame:
+    """Labels of the ten-minute grid with indices, cross-check and levels."""
+    g = labels.withColumn("s", F.col("k") * STEP)
     ix = bulletins(spark, sf)
     g = asof_backward(g, ix.where("kp is not null"), "station", "s", "kp", 10800, "kp", tie="bulletin_id")
     g = asof_backward(g, ix.where("dst is not null"), "station", "s", "dst", 3600, "dst", tie="bulletin_id")

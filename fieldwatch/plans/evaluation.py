@@ -164,32 +164,76 @@ def micro_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("*", r9(pr).alias("precision"), r9(rc).alias("recall"), r9(F.try_divide(2 * pr * rc, pr + rc)).alias("f1"), r9(ratio(F.col("fp"), F.col("fp") + F.col("tn"))).alias("far"))
 
 
-def health(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks per station as a map; those that can't be evaluated are left out. (station, coverage, quiet_rms, checks, healthy)"""
-    gate = activity.quality_gate(spark, sf).select("station", "coverage", "interpolated")
-    rms = activity.metrics_engine(spark, sf).select("station", "quiet_rms")
-    checks = F.map_filter(F.create_map(F.lit("coverage"), F.col("coverage") >= 0.90, F.lit("baseline_fit"), F.col("interpolated") <= 0.20, F.lit("station_noise"), F.col("quiet_rms") <= 30.0), lambda k, v: v.isNotNull())
-    return gate.join(rms, "station").withColumn("checks", checks).withColumn("healthy", F.forall(F.map_values("checks"), lambda v: v))
+def assess(coverage: Column, fill: Column, latency_min: Column | None = None, requested: Column | None = None, drift: Column | None = None, quiet_rms: Column | None = None) -> Column:
+    """Checks as a map; what is None or unknown is left out, but an unknown latency fails. Limits are fixed values."""
+    checks = {"coverage": coverage >= 0.90, "baseline_fit": fill <= 0.20}
+    if latency_min is not None:
+        checks["data_freshness"] = known(latency_min.between(-5.0, 90.0))  # data from the future are as stale as old ones
+    if requested is not None:
+        checks["requested_window_returned"] = requested >= 0.80
+    if drift is not None:
+        checks["baseline_stability"] = F.abs(drift) <= 50.0
+    if quiet_rms is not None:
+        checks["station_noise"] = quiet_rms <= 30.0
+    return F.map_filter(F.create_map(*[x for k, v in checks.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels with indices, written once for all that reports on them."""
+    return materialize(activity.with_indices(spark, sf, activity.labelled(spark, sf)), "labels")
+
+
+def health(labels: DataFrame) -> DataFrame:
+    """Per station coverage, share of interpolated samples, age of the newest sample (minutes behind the newest of all), share of the whole
+    span that came back, quiet scatter, the checks and their verdict."""
+    span = labels.where("v is not null").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    g = labels.groupBy("station").agg(
+        r9(F.avg(F.col("x").isNotNull().cast("int"))).alias("coverage"), r9(F.avg((F.col("x").isNotNull() & F.col("v").isNull()).cast("int"))).alias("interpolated"),
+        F.count("v").alias("n"), F.max(F.when(F.col("v").isNotNull(), F.col("k"))).alias("last"),
+        r9(F.sqrt(F.avg(F.when((F.col("flag") == "quiet") & known(F.col("gl") == 0), F.col("r") * F.col("r"))))).alias("quiet_rms"))
+    g = g.join(F.broadcast(span)).withColumns({"latency_min": (F.col("k1") - F.col("last")) * (STEP / 60.0), "requested": r9(F.col("n") / (F.col("k1") - F.col("k0") + 1))})  # the span is one row
+    g = g.withColumn("checks", assess(F.col("coverage"), F.col("interpolated"), F.col("latency_min"), F.col("requested"), None, F.col("quiet_rms")))
+    return g.withColumn("healthy", F.forall(F.map_values("checks"), lambda v: v)).drop("n", "last", "k0", "k1")
 
 
 def health_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return health(spark, sf).select("station", "healthy", F.size("checks").alias("checks"))
+    h = health(_labels(spark, sf))
+    names = ["coverage", "baseline_fit", "data_freshness", "requested_window_returned", "station_noise"]
+    return h.select("station", "healthy", *[F.element_at("checks", x).alias(x) for x in names])
+
+
+def alerts(labels: DataFrame, floor: str = "minor_storm", least_coverage: float = 0.8) -> DataFrame:
+    """Per station whether a label of at least ``floor`` occurs, the quality gate failed or a check failed, and so whether to alert."""
+    at = tiers.LABELS.index(floor)
+    storm = labels.groupBy("station").agg(F.max(F.col("flag").isin(*tiers.LABELS[at:])).alias("storm"))
+    h = health(labels).select("station", (F.col("coverage") < least_coverage).alias("gate_failed"), (~F.col("healthy")).alias("unhealthy"))
+    return h.join(storm, "station").select("station", "storm", "gate_failed", "unhealthy", (F.col("storm") | F.col("gate_failed") | F.col("unhealthy")).alias("alert"))
 
 
 def alert_predicate(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether to alert: a storm of at least minor level, or a failed check."""
-    storm = activity.flag_histogram(spark, sf).groupBy("station").agg(F.max(F.col("flag").isin("minor_storm", "major_storm", "severe_storm")).alias("storm"))
-    return health(spark, sf).join(storm, "station").select("station", "storm", (~F.col("healthy")).alias("unhealthy"), (F.col("storm") | ~F.col("healthy")).alias("alert"))
+    return alerts(_labels(spark, sf))
+
+
+#: Gauge, column of the report.
+GAUGES = {"mag_coverage_ratio": "coverage", "mag_median_fill_ratio": "interpolated", "mag_data_latency_minutes": "latency_min", "mag_requested_coverage_ratio": "requested", "mag_quiet_rms_nt": "quiet_rms"}
+RATES = ["detection_rate", "false_alarm_rate", "missed_rate", "under_reacting_rate", "unconfirmed_rate", "level_error", "validation_yield"]
 
 
 def prometheus_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Gauges as text lines, one per check, level and measure; unknown values are dropped."""
-    h = health(spark, sf)
-    base = h.select("station", F.expr("stack(2, 'mag_coverage_ratio', coverage, 'mag_quiet_rms_nt', quiet_rms) as (name, value)")).where("value is not null")
-    lines = base.select(F.format_string('%s{observatory="%s"} %.6f', "name", "station", "value").alias("line"))
+    """Gauges as text lines: gate, verdict, time of the newest sample, one per check, level and measure, each gauge with its type; unknown
+    values are dropped."""
+    labels = _labels(spark, sf)
+    h = health(labels)
+    stamp = labels.where("v is not null").groupBy("station").agg((F.max("s").cast("double")).alias("value")).select("station", F.lit("mag_run_timestamp_seconds").alias("name"), "value")
+    wide = h.withColumns({"mag_run_ok": (F.col("coverage") >= 0.8).cast("double"), "mag_run_healthy": F.col("healthy").cast("double"), **{g: F.col(c).cast("double") for g, c in GAUGES.items()}})
+    values = wide.unpivot("station", ["mag_run_ok", "mag_run_healthy", *GAUGES], "name", "value").unionByName(stamp)
+    rates = activity.metrics(labels, ["station"]).withColumns({f"mag_metric_{c}": F.col(c).cast("double") for c in RATES}).unpivot("station", [f"mag_metric_{c}" for c in RATES], "name", "value")
+    lines = values.unionByName(rates).where("value is not null").select(F.format_string('%s{observatory="%s"} %.6f', "name", "station", "value").alias("line"))
     checks = h.select("station", F.explode("checks")).select(F.format_string('mag_health_check{observatory="%s",check="%s"} %d', "station", "key", F.col("value").cast("int")).alias("line"))
-    flags = activity.flag_histogram(spark, sf).select(F.format_string('mag_flag_samples{observatory="%s",level="%s"} %d', "station", "flag", "n").alias("line"))
-    return lines.unionByName(checks).unionByName(flags)
+    flags = labels.groupBy("station", "flag").agg(F.count(F.lit(1)).alias("n")).select(F.format_string('mag_flag_samples{observatory="%s",level="%s"} %d', "station", "flag", "n").alias("line"))
+    names = ["mag_run_ok", "mag_run_healthy", "mag_run_timestamp_seconds", *GAUGES, *[f"mag_metric_{c}" for c in RATES], "mag_health_check", "mag_flag_samples"]
+    types = spark.createDataFrame([(f"# TYPE {n} gauge",) for n in names], "line string")
+    return types.unionByName(lines).unionByName(checks).unionByName(flags)
 
 
 def merge_benchmarks(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,10 +349,12 @@ _R = lambda s="": f"coalesce(tp{s} / nullif(tp{s} + fp{s}, 0), 0) as pr{s}, coal
 _PICK = "round(pr, 9) as precision, round(rc, 9) as recall, round(f1, 9) as f1, round(fr, 9) as far"
 _CHOICE = f"select t as threshold, case when ok then 'constrained' else 'fallback' end as method, {_PICK} from (select *, pr >= 0.8 and fr <= 0.01 as ok from rt) order by ok desc, case when ok then rc else f1 end desc, case when ok then f1 else pr end desc, fr, t desc limit 1"
 _HEALTH = CHECKED + """,
-qg as (select station, round(avg((filled is not null)::int), 9) as coverage, round(avg((filled is not null and v is null)::int), 9) as interpolated from fl group by 1),
+sn as (select min(k) as k0, max(k) as k1 from fl where v is not null),
+qg as (select station, round(avg((filled is not null)::int), 9) as coverage, round(avg((filled is not null and v is null)::int), 9) as interpolated, count(v) as n, max(k) filter (where v is not null) as last from fl group by 1),
 qr as (select station, round(sqrt(avg(r * r) filter (where flag = 'quiet' and gl = 0)), 9) as quiet_rms from ck group by 1),
-hc as (select qg.station, coverage, quiet_rms, coverage >= 0.9 as c1, interpolated <= 0.2 as c2, quiet_rms <= 30 as c3 from qg join qr on qg.station = qr.station),
-fh as (select station, flag, count(*) as n from fg group by 1, 2), hs as (select *, c1 and c2 and coalesce(c3, true) as healthy from hc)
+hb as (select qg.*, quiet_rms, (k1 - last) * 10.0 as latency, round(n / (k1 - k0 + 1), 9) as requested from qg join qr on qg.station = qr.station, sn),
+hc as (select *, coverage >= 0.9 as c1, interpolated <= 0.2 as c2, coalesce(latency between -5 and 90, false) as c4, requested >= 0.8 as c5, quiet_rms <= 30 as c3 from hb),
+fh as (select station, flag, count(*) as n from fg group by 1, 2), hs as (select *, c1 and c2 and c4 and c5 and coalesce(c3, true) as healthy from hc)
 """
 _SWEEP = CHECKED + f""",
 gd as (select a as minor, b as major, c as severe from (select unnest({MINORS}::double[]) as a), (select unnest({MAJORS}::double[]) as b), (select unnest({SEVERES}::double[]) as c) where a < b and b < c),
@@ -338,7 +384,7 @@ SQL = {
     "threshold_sweep": _SWEEP + " select * from sr", "best_threshold": _SWEEP + " select minor, major, severe, objective from sr order by objective, minor, major, severe limit 5",
     "operating_threshold": _SCORES + ", " + _cand(0.05, 0.005, 181, 99) + f", ct as (select t, {_counts()} from sc, cd group by 1), rt as (select *, {_R()} from ct) " + _CHOICE,
     "robust_threshold": _SCORES + ", " + _cand(0.05, 0.01, 95, 49) + f", lm as (select min(k) + floor(0.6 * (max(k) - min(k))) as lim from sc), ct as (select t, {_counts()}, {_counts('k <= lim', '_e')}, {_counts('k > lim', '_l')} from sc, cd, lm group by 1), rt as (select *, {_R()}, {_R('_e')}, {_R('_l')} from ct), "
-    + f"rb as (select t as threshold, 'robust' as method, {_PICK}, 1 as o from rt where least(pr_e, pr_l) >= 0.8 and greatest(fr_e, fr_l) <= 0.01 order by least(rc_e, rc_l) desc, (rc_e + rc_l) / 2 desc, greatest(fr_e, fr_l), t desc limit 1) select threshold, method, precision, recall, f1, far from (select * from rb union all select *, 2 from ({_CHOICE})) order by o limit 1",
+    + f"rb as (select t as threshold, 'robust' as method, {_PICK}, 1 as o from rt where tp_e + fp_e + fn_e + tn_e + tp_l + fp_l + fn_l + tn_l >= 400 and least(tp_e + fp_e + fn_e + tn_e, tp_l + fp_l + fn_l + tn_l) >= 200 and least(pr_e, pr_l) >= 0.8 and greatest(fr_e, fr_l) <= 0.01 order by least(rc_e, rc_l) desc, (rc_e + rc_l) / 2 desc, greatest(fr_e, fr_l), t desc limit 1) select threshold, method, precision, recall, f1, far from (select * from rb union all select *, 2 from ({_CHOICE})) order by o limit 1",
     "ece": _SCORES + "select round(sum(n * d) / sum(n), 9) as ece from (select least(floor(p * 10), 9) as b, count(*) as n, abs(avg(y::int) - avg(p)) as d from sc group by 1)",
     "brier_logloss": _SCORES + "select round(avg((p - y::int) ** 2), 9) as brier, round(avg(-case when y then ln(greatest(1e-15, least(1 - 1e-15, p))) else ln(1 - greatest(1e-15, least(1 - 1e-15, p))) end), 9) as log_loss, round(avg(y::int), 9) as positive_rate from sc",
     "inference_tiers": _TIERS_SQL,
@@ -347,11 +393,14 @@ SQL = {
     "select (select min(n) from fu) >= 4 and (select min(n) from (select sum(n) as n from fu group by y, c)) >= 8 and (select min(n) from (select sum(n) as n from fu group by c)) >= 12 as sufficient",
     "micro_aggregate": CHECKED + ", mc as (select count(*) filter (where gl >= 3 and coalesce(ll >= 3, false)) as tp, count(*) filter (where gl < 3 and not coalesce(ll >= 3, false)) as tn, count(*) filter (where gl < 3 and coalesce(ll >= 3, false)) as fp, count(*) filter (where gl >= 3 and not coalesce(ll >= 3, false)) as fn from ck where gl is not null), "
     "mr as (select *, tp / nullif(tp + fp, 0) as p, tp / nullif(tp + fn, 0) as r from mc) select tp, tn, fp, fn, round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / nullif(p + r, 0), 9) as f1, round(fp / nullif(fp + tn, 0), 9) as far from mr",
-    "health_checks": _HEALTH + "select station, healthy, 2 + (c3 is not null)::int as checks from hs",
-    "alert_predicate": _HEALTH + ", st as (select station, bool_or(flag in ('minor_storm', 'major_storm', 'severe_storm')) as storm from fh group by 1) select hs.station, storm, not healthy as unhealthy, storm or not healthy as alert from hs join st on hs.station = st.station",
-    "prometheus_lines": _HEALTH + """select printf('mag_coverage_ratio{observatory="%s"} %.6f', station, coverage) as line from hs union all select printf('mag_quiet_rms_nt{observatory="%s"} %.6f', station, quiet_rms) from hs where quiet_rms is not null
-union all select printf('mag_health_check{observatory="%s",check="coverage"} %d', station, c1::int) from hs union all select printf('mag_health_check{observatory="%s",check="baseline_fit"} %d', station, c2::int) from hs
-union all select printf('mag_health_check{observatory="%s",check="station_noise"} %d', station, c3::int) from hs where c3 is not null union all select printf('mag_flag_samples{observatory="%s",level="%s"} %d', station, flag, n) from fh""",
+    "health_checks": _HEALTH + "select station, healthy, c1 as coverage, c2 as baseline_fit, c4 as data_freshness, c5 as requested_window_returned, c3 as station_noise from hs",
+    "alert_predicate": _HEALTH + ", st as (select station, bool_or(flag in ('minor_storm', 'major_storm', 'severe_storm')) as storm from fh group by 1) select hs.station, storm, coverage < 0.8 as gate_failed, not healthy as unhealthy, storm or coverage < 0.8 or not healthy as alert from hs join st on hs.station = st.station",
+    "prometheus_lines": _HEALTH + f", mt as (select station, {activity._METRICS} from ck group by 1), nm as (select station, unnest([" + ", ".join(f"'{n}'" for n in ["mag_run_ok", "mag_run_healthy", *GAUGES]) + "]) as name, unnest([(coverage >= 0.8)::int::double, healthy::int::double, coverage::double, interpolated::double, latency::double, requested::double, quiet_rms::double]) as value from hs "
+    + "union all select station, unnest([" + ", ".join(f"'mag_metric_{c}'" for c in RATES) + "]), unnest([" + ", ".join(f"{c}::double" for c in RATES) + "]) from mt union all select station, 'mag_run_timestamp_seconds', (last * 600)::double from hs) "
+    + "select '# TYPE ' || unnest([" + ", ".join(f"'{n}'" for n in ["mag_run_ok", "mag_run_healthy", "mag_run_timestamp_seconds", *GAUGES, *[f"mag_metric_{c}" for c in RATES], "mag_health_check", "mag_flag_samples"]) + "]) || ' gauge' as line "
+    + """union all select printf('%s{observatory="%s"} %.6f', name, station, value) from nm where value is not null
+union all select printf('mag_health_check{observatory="%s",check="%s"} %d', station, c, v::int) from (select station, unnest(['coverage', 'baseline_fit', 'data_freshness', 'requested_window_returned', 'station_noise']) as c, unnest([c1, c2, c4, c5, c3]) as v from hs) where v is not null
+union all select printf('mag_flag_samples{observatory="%s",level="%s"} %d', station, flag, n) from fh""",
     "merge_benchmarks": _PERSIST.rstrip() + ", m1 as (select field, avg(mae) as m from es group by 1), " + _second() + ", m2 as (select field, avg(mae) as m from es2 group by 1) select field, 'persistence' as backend, round(m, 9) as avg_mae from m1 union all select field, 'seasonal_naive', round(m, 9) from m2 union all select field, 'latest', round(m, 9) from m2",
     "scenario_pick": "with w as (select station, 1 + (length(station) + ascii(station[2])) % 5 as i from stations where kind = 'weather') select * from (select station, 'weighted' as how from w where i between 1 and 5 "
     "order by -ln((('0x' || md5('7:' || station)[1:8])::bigint + 1) / 4294967297.0) / i, station limit 1) union all select * from (select station, 'uniform' from w where i between 2 and 4 order by -ln((('0x' || md5('11:' || station)[1:8])::bigint + 1) / 4294967297.0), station limit 1)",

@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_documents(rows: DataFrame, path: str) -> None:
-    """One JSON document per row, NULLs left out; the commit protocol makes the folder appear whole."""
+def summarised(rows: DataFrame) -> DataFrame:
+    """Arrays replaced by what they are: (type, shape, dtype)."""
+    kinds = {f.name: f.dataType.elementType.simpleString() for f in rows.schema.fields if f.dataType.typeName() == "array"}
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.struct(F.lit("array").alias("type"), F.array(F.size(c)).alias("shape"), F.lit(kind).alias("dtype"))) for c, kind in kinds.items()}) if kinds else rows
+
+
+def write_documents(rows: DataFrame, path: str, arrays: bool = False) -> None:
+    """One JSON document per row, NULLs left out, arrays only described unless asked for; the commit protocol makes the folder appear
+    whole."""
+    rows = rows if arrays else summarised(rows)
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -1,13 +1,13 @@
 """Weather files, chunked fetching, choice of sources, searches and the forecaster's parts."""
 
-from datetime import date
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldwatch.operators import mlforecast as ml
 from fieldwatch.operators import sweep as sw
-from fieldwatch.sources import chunks, weatherfiles
+from fieldwatch.sources import chunks, sinks, weatherfiles
 
 HEADER = 'Longitude (x),Latitude (y),Date/Time (UTC),Temp (C),Dew Point Temp (C),Temp Flag,Rel Hum (%),Stn Press (kPa),Wind Spd (km/h),Wind Dir (10s deg)\n'
 
@@ -68,7 +68,7 @@ def test_forecaster_parts(spark, tmp_path):
     told = ml.raw_probability(again, rows)
     assert facts["features"] == ["m"] and told.where("(p > 0.5) = (y = 1)").count() == 400
     assert ml.isotonic(told, "y")(told).where("calibrated between 0 and 1").count() == 400
-    (tmp_path / "manifest.json").write_text('{"version": "0"}')
+    spark.createDataFrame([("0", "{}")], "version string, facts string").write.mode("overwrite").json(str(tmp_path / "manifest"))
     with pytest.raises(ValueError):
         ml.load_bundle(str(tmp_path))
     r = ml.against_persistence(spark.createDataFrame([(1.0, 1.5, 3.0), (None, 1.0, 1.0)], "t double, f double, l double"), "t", "f", "l").first()
@@ -90,3 +90,39 @@ def test_violation_and_slice(spark):
     got = [round(r[0], 6) for r in df.select(sw.violation({"precision": 0.8}, {"far": 0.01})).collect()]
     assert got == [0.0, 1.29, 0.81]
     assert [r.s for r in analysis_rows(df, "s", 2, 5).collect()] == [5] and analysis_rows(df, "s").count() == 3
+
+
+def test_cached_chunks_are_not_fetched_again(spark, tmp_path):
+    cache, log = str(tmp_path / "cache"), tmp_path / "log"
+    broken = tmp_path / "broken"
+    broken.write_text("")
+
+    def fetch(station, day, n):
+        with open(log, "a") as f:
+            f.write(f"{station} {day}\n")
+        if station == "b" and broken.exists():
+            raise OSError("down")
+        return f"{station}:{day}:{n}"
+
+    now = int(datetime(2024, 1, 20, tzinfo=timezone.utc).timestamp())
+    ask = lambda: sorted((r.station, str(r.first_day), r.text, r.error is not None) for r in chunks.fetch_cached(spark, fetch, ["a", "b"], date(2024, 1, 1), 21, cache, now, tries=1, wait_s=0.0).collect())
+    first = ask()
+    assert len(first) == 6 and sum(r[3] for r in first) == 3 and len(log.read_text().splitlines()) == 6
+    broken.unlink()
+    second = ask()  # the two settled chunks of a are kept; the third ends in the future
+    assert not any(r[3] for r in second) and len(second) == 6 and len(log.read_text().splitlines()) == 6 + 4
+    assert ask() == second and len(log.read_text().splitlines()) == 6 + 4 + 2
+
+
+def test_too_few_rows_for_a_forecaster(spark):
+    rows = spark.range(1000).select(F.lit("a").alias("station"), F.col("id").alias("k"))
+    with pytest.raises(ValueError, match="the table has 1000 rows"):
+        ml.require_rows(ml.chrono_split(rows, "station", "k"))
+    assert ml.require_rows(ml.chrono_split(rows, "station", "k"), 1000, 700, 150).count() == 1000
+
+
+def test_arrays_are_described(spark):
+    row = sinks.summarised(spark.createDataFrame([([1.0, 2.0], "x"), (None, "y")], "beta array<double>, name string")).orderBy("name").collect()
+    assert row[0].beta.asDict() == {"type": "array", "shape": [2], "dtype": "double"} and row[1].beta is None
+    cases = spark.createDataFrame([(0.9, 0.8), (0.7, None)], "p double, r double")
+    assert sw.worst_case(cases, ["p", "r"]).first().floor == 0.0 and sw.worst_case(cases, ["p"]).first().floor == 0.7 and sw.worst_case(cases.limit(0), ["p"]).first().floor == 1.0
