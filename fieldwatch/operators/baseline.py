@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwatch.operators.blocks import done_with_halo, forward_fill, with_halo
+from fieldwatch.operators.blocks import forward_fill
+from fieldwatch.session import materialize
 
 PERIODS = (24.0, 12.0, 8.0, 6.0)
 
@@ -131,54 +132,189 @@ def harmonic_baseline(series: DataFrame, key: str, step_s: int, rule: BaselineRu
     return filled.select(key, "k", F.coalesce("b", line, p["b"], q["b"]).alias("baseline"))
 
 
-def causal_baseline(series: DataFrame, key: str, step_s: int, rule: BaselineRule = BaselineRule()) -> DataFrame:
+def mean_deviations(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Median distance from the median of each row of ``r``, whose first ``n`` values in order are known and whose others are NaN.
+
+    Rows are sorted once: the nearest m values to the median stand side by side, so the m-th distance is found by halving.
+    """
+    s, at = np.sort(r, axis=1), np.arange(len(r))  # NaN comes last
+    med = 0.5 * (s[at, (n - 1) // 2] + s[at, n // 2])
+
+    def nearest(m: np.ndarray) -> np.ndarray:
+        lo, hi = np.zeros_like(n), n - 1 - m
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            right = s[at, mid + m] - med >= med - s[at, mid]
+            lo, hi = np.where(right | (lo >= hi), lo, mid + 1), np.where(right, np.minimum(mid, hi), hi)
+        far = lambda a: np.maximum(med - s[at, a], s[at, a + m] - med)
+        return np.minimum(far(lo), far(np.maximum(lo - 1, 0)))
+
+    return 0.5 * (nearest((n - 1) // 2) + nearest(n // 2))
+
+
+class TrailingFits:
+    """``robust_fit`` of curves with trend over many windows of one length, all at once.
+
+    Counted from its own start, every window has the same columns, here an orthonormal form of them, so fits are products of
+    matrices: normal equations with one step of refinement. Windows whose equations are badly conditioned go through ``robust_fit``.
+    """
+
+    def __init__(self, size: int, step_s: float, rule: BaselineRule):
+        self.size, self.step_s, self.rule = size, step_s, rule
+        m = np.arange(size, dtype=float)
+        self.q, self.r = np.linalg.qr(harmonics(m * step_s / 3600.0, (0.0, (size - 1) * step_s / 3600.0)))
+        c = self.q.shape[1]
+        one, other = np.triu_indices(c)
+        self.products = self.q[:, one] * self.q[:, other]
+        self.pair = np.zeros((c, c), int)
+        self.pair[one, other] = self.pair[other, one] = np.arange(len(one))
+        self.sound = np.linalg.cond(self.r) < 1e6
+
+    def fit(self, x: np.ndarray, first: np.ndarray, i0: int) -> np.ndarray:
+        """Coefficients of ``harmonics`` over hours since the series' start for the windows that begin at the positions ``first`` of ``x``,
+        whose own first position is ``i0``; NaN where too little is known."""
+        out = np.full((len(first), self.q.shape[1]), np.nan)
+        ok = np.isfinite(x)
+        total = np.concatenate([[0], np.cumsum(ok)])
+        n = total[first + self.size] - total[first]
+        some = np.flatnonzero(n >= max(self.rule.least_known * self.size, 12))
+        x = np.where(ok, x, np.nan)
+        windows = np.lib.stride_tricks.sliding_window_view(x, self.size) if len(some) else None
+        most = max(1, 65536 // self.size)
+        for a in range(0, len(some), most):
+            at = some[a:a + most]
+            y = windows[first[at]]
+            known = np.isfinite(y)
+            lo, hi = known.argmax(1), self.size - 1 - known[:, ::-1].argmax(1)
+            local, good = self._solve(y, known, n[at]) if self.sound else (out[at], np.zeros(len(at), bool))
+            out[at] = self._since_start(local, first[at] + i0, lo, hi)
+            for w in np.flatnonzero(~good):
+                h = (first[at[w]] + i0 + np.arange(self.size)) * self.step_s / 3600.0
+                beta = robust_fit(harmonics(h, (h[lo[w]], h[hi[w]])), y[w], self.rule)
+                out[at[w]] = np.nan if beta is None else beta
+        return out
+
+    def _solve(self, y: np.ndarray, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of the windows' own columns, and which can be relied on."""
+        q, rule = self.q, self.rule
+        ok, y0 = known.astype(float), np.where(known, y, 0.0)
+        w, good = ok, np.ones(len(y), bool)
+        for k in range(rule.passes):
+            if k:
+                limit = 3 * (1.4826 * mean_deviations(r, n) + 1e-12)
+                size = np.abs(r)
+                w = np.where(size > limit[:, None], 0.0001, np.where(size > rule.outlier, 0.01, ok))  # squares of the weights
+            g = (w @ self.products)[:, self.pair]
+            try:
+                inverse = np.linalg.inv(g)
+            except np.linalg.LinAlgError:
+                return np.zeros((len(y), q.shape[1])), np.zeros(len(y), bool)
+            good &= np.abs(g).sum(2).max(1) * np.abs(inverse).sum(2).max(1) < 1e8
+            beta = np.einsum("bij,bj->bi", inverse, (w * y0) @ q)
+            if k < rule.passes - 1:
+                r = y - beta @ q.T
+        beta += np.einsum("bij,bj->bi", inverse, (w * (y0 - beta @ q.T)) @ q)
+        return beta, good & np.isfinite(beta).all(1)
+
+    def _since_start(self, local: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The same curves with the trend over the known part of each window and phases from the series' start."""
+        if not self.sound:
+            return local
+        b = np.linalg.solve(self.r, local.T).T
+        c, d = lo / (self.size - 1), (hi - lo) / (self.size - 1)
+        cols = [b[:, 0] + b[:, 1] * c + b[:, 2] * c * c, d * (b[:, 1] + 2 * b[:, 2] * c), b[:, 2] * d * d]
+        for m, p in enumerate(PERIODS):
+            turn, s, co = 2 * np.pi * (first * self.step_s / 3600.0) / p, b[:, 3 + 2 * m], b[:, 4 + 2 * m]
+            cols += [s * np.cos(turn) + co * np.sin(turn), co * np.cos(turn) - s * np.sin(turn)]
+        return np.stack(cols, axis=1)
+
+
+def causal_baseline(series: DataFrame, key: str, step_s: int | str, rule: BaselineRule = BaselineRule()) -> DataFrame:
     """(key, k, baseline, residual) where every sample is judged by samples before it only.
 
     Every ``update_min`` minutes a curve with trend is fitted to the ``window_h`` hours before, if enough of them are known; it
     holds until the next. Blocks carry their history as halo, so fits of one series run side by side; fits are carried on
     where one is missing. Samples without a fit take the median of the window before them; NULL where nothing is known.
+    ``step_s`` is the seconds of a step, or a LONG column that has them for each key and is returned too.
+
+    Blocks are worked off once: only samples before a block's first fit are looked at again, with the last fit of the blocks
+    before, and only they get a median.
     """
-    size, hop = max(12, round(rule.window_h * 3600 / step_s)), max(1, round(rule.update_min * 60 / step_s))
-    span = series.groupBy(key).agg(F.min("k").alias("k0"))
-    rows = series.join(span, key).select(key, "k", "v", (F.col("k") - F.col("k0")).alias("i"))
-    # block j covers samples size + j * hop on; its fit needs the samples before it
-    block_size = max(4096, 4 * size) // hop * hop
-    cut, _ = with_halo(rows.withColumn("p", F.col("i") - size), [key], "p", size, 0, block_size)
-    fits = T.StructType([series.schema[key], T.StructField("j", T.LongType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    by_key = isinstance(step_s, str)
+    step = F.col(step_s) if by_key else F.lit(step_s).cast("long")
+    size = F.greatest(F.lit(12), F.bround(F.lit(rule.window_h * 3600.0) / step).cast("long"))
+    hop = F.greatest(F.lit(1), F.bround(F.lit(rule.update_min * 60.0) / step).cast("long"))
+    span = series.groupBy(key).agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    rows = series.join(span, key).select(key, "k", "v", (F.col("k") - F.col("k0")).alias("i"), (F.col("k1") - F.col("k0")).alias("_most"), step.alias("_step"), size.alias("_size"), hop.alias("_hop"))
+    # window j begins at sample j * hop, its fit holds for samples size + j * hop on; blocks hold whole hops of these
+    length = F.floor(F.greatest(F.lit(4096), 4 * F.col("_size")) / F.col("_hop")) * F.col("_hop")
+    p = F.col("i") - F.col("_size")
+    final = F.floor(F.least(F.col("i"), F.col("_most") - F.col("_size")) / length)
+    cut = rows.withColumn("_own", F.floor(p / length)).withColumn("_block", F.explode(F.sequence("_own", F.greatest("_own", final))))
+    cut = cut.select(key, "_block", "k", "i", "v", "_step", (F.col("_block") == F.col("_own")).alias("_mine"))
+    done = T.StructType([series.schema[key], T.StructField("_block", T.LongType()), T.StructField("k", T.LongType()), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType()),
+                         T.StructField("_step", T.LongType()), T.StructField("curve", T.DoubleType()), T.StructField("med", T.DoubleType()),
+                         T.StructField("_ends", T.BooleanType()), T.StructField("_last", T.ArrayType(T.DoubleType()))])
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
+    ready: dict[int, TrailingFits] = {}
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        i, x = part["i"].to_numpy(np.int64), part["v"].to_numpy(float)
-        own = part.loc[~part["_halo"], "p"].to_numpy(np.int64)
-        starts = np.unique(own[own >= 0] // hop)
-        out = []
-        for j in starts:
-            at = size + j * hop
-            m = (i >= at - size) & (i < at)
-            h, y = i[m] * step_s / 3600.0, x[m]
-            ok = np.isfinite(y)
-            if ok.sum() < max(rule.least_known * size, 12):
-                out.append((part[key].iloc[0], int(j), None))
-                continue
-            beta = robust_fit(harmonics(h, (h[ok].min(), h[ok].max())), y, rule)
-            out.append((part[key].iloc[0], int(j), None if beta is None else beta.tolist()))
-        return pd.DataFrame(out, columns=[key, "j", "beta"])
+        mine = part["_mine"].to_numpy(bool)
+        if not mine.any():
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in done})
+        seconds = int(part["_step"].iloc[0])
+        size, hop = max(12, round(rule.window_h * 3600.0 / seconds)), max(1, round(rule.update_min * 60.0 / seconds))
+        i = part["i"].to_numpy(np.int64)
+        i0 = i[0]
+        x = np.full(i[-1] - i0 + 1, np.nan)
+        x[i - i0] = part["v"].to_numpy(float)
+        own = part[mine]
+        i = i[mine]
+        curve, med, last = np.full(len(i), np.nan), np.full(len(i), np.nan), None
+        j = (i - size) // hop
+        starts = np.unique(j[j >= 0])
+        if len(starts):
+            # a block begins at its first window's first sample, unless readings begin later
+            short = max(0, i0 - starts[0] * hop)
+            padded = np.concatenate([np.full(short, np.nan), x])
+            if seconds not in ready:
+                ready[seconds] = TrailingFits(size, seconds, rule)
+            betas = ready[seconds].fit(padded, starts * hop - (i0 - short), i0 - short)
+            has = np.isfinite(betas).all(1)
+            used = np.maximum.accumulate(np.where(has, np.arange(len(starts)), -1))
+            fit = used[np.searchsorted(starts, np.maximum(j, starts[0]))]
+            told = (j >= 0) & (fit >= 0)
+            hours = i[told] * seconds / 3600.0
+            u = np.clip((i[told] - j[told] * hop) / (size - 1), -0.5, 1.5)
+            b = betas[fit[told]]
+            c = b[:, 0] + b[:, 1] * u + b[:, 2] * u * u
+            for m, period in enumerate(PERIODS):
+                c = c + b[:, 3 + 2 * m] * np.sin(2 * np.pi / period * hours) + b[:, 4 + 2 * m] * np.cos(2 * np.pi / period * hours)
+            curve[told] = c
+            if used[-1] >= 0:
+                last = betas[used[-1]].tolist()
+        bare = np.flatnonzero(np.isnan(curve))
+        if len(bare):
+            upto = i[bare[-1]] - i0
+            middle = np.concatenate([[np.nan], pd.Series(x[:upto]).rolling(size, min_periods=1).median().to_numpy()])
+            med[bare] = middle[i[bare] - i0]
+        ends = np.zeros(len(i), bool)
+        ends[-1] = True
+        return pd.DataFrame({key: own[key], "_block": own["_block"], "k": own["k"], "i": i, "v": own["v"], "_step": own["_step"], "curve": curve, "med": med, "_ends": ends,
+                             "_last": pd.Series([None] * (len(i) - 1) + [last], index=own.index, dtype=object)})
 
-    betas = cut.groupBy(key, "_block").applyInPandas(fit, fits)
-    betas = forward_fill(betas, [key], "j", "beta", "used")
-    told = rows.withColumn("j", F.when(F.col("i") >= size, F.floor((F.col("i") - size) / hop))).join(betas.select(key, "j", "used"), [key, "j"], "left")
-    hours = F.col("i") * F.lit(step_s / 3600.0)
-    lo = (F.col("j") * hop) * F.lit(step_s / 3600.0)
-    u = F.greatest(F.lit(-0.5), F.least(F.lit(1.5), (hours - lo) / F.lit((size - 1) * step_s / 3600.0)))
+    told = materialize(cut.groupBy(key, "_block").applyInPandas(judge, done), "causal")
+    out = [key, "k", F.coalesce("curve", "med").alias("baseline"), "v", F.col("_step").alias(step_s if by_key else "_step")]
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    carried = told.where("_ends").select(key, "_block", F.last("_last", ignorenulls=True).over(before).alias("used")).where("used is not null")
+    # samples of no fit of their own block: the last fit before it, with the trend of their own window
+    hours = F.col("i") * F.col("_step") / F.lit(3600.0)
+    again = told.where("curve is null").withColumns({"_size": F.greatest(F.lit(12), F.bround(F.lit(rule.window_h * 3600.0) / F.col("_step")).cast("long")), "_hop": F.greatest(F.lit(1), F.bround(F.lit(rule.update_min * 60.0) / F.col("_step")).cast("long"))})
+    u = F.greatest(F.lit(-0.5), F.least(F.lit(1.5), (F.col("i") - F.floor((F.col("i") - F.col("_size")) / F.col("_hop")) * F.col("_hop")) / (F.col("_size") - 1)))
     terms = [F.lit(1.0), u, u * u]
     for p in PERIODS:
         terms += [F.sin(F.lit(2 * np.pi / p) * hours), F.cos(F.lit(2 * np.pi / p) * hours)]
-    curve = sum((F.col("used")[m] * t for m, t in enumerate(terms)), F.lit(0.0))
-    from pyspark.sql import Window
-
-    told = told.select(key, "k", "v", curve.alias("curve"))
-    halo, parts = with_halo(told, [key], "k", size)
-    med = F.percentile("v", 0.5).over(Window.partitionBy(*parts).orderBy("k").rowsBetween(-size, -1))
-    done = done_with_halo(halo.withColumn("med", med))
-    base = F.coalesce("curve", "med")
-    return done.select(key, "k", base.alias("baseline"), (F.col("v") - base).alias("residual"))
+    again = again.drop("curve").join(carried, [key, "_block"], "left").withColumn("curve", sum((F.col("used")[m] * t for m, t in enumerate(terms)), F.lit(0.0)))
+    every = told.where("curve is not null").select(*out).unionByName(again.select(*out))
+    return every.select(key, "k", "baseline", (F.col("v") - F.col("baseline")).alias("residual"), *([step_s] if by_key else []))

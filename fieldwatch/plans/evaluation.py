@@ -11,10 +11,10 @@ from fieldwatch.operators import mlforecast as ml
 from fieldwatch.operators import sweep as sw
 from fieldwatch.operators.baseline import causal_baseline, harmonic_baseline
 from fieldwatch.operators.blocks import forward_fill, positions
-from fieldwatch.operators.series import asof_backward, fill_gaps, rolling
+from fieldwatch.operators.series import asof_backward, fill_gaps, regular_grid, rolling
 from fieldwatch.plans import activity
 from fieldwatch.plans.activity import CHECKED, FILL, FLAGS
-from fieldwatch.plans.base import STEP, bulletins, grid, natively, readings
+from fieldwatch.plans.base import STEP, bulletins, cadences, grid, natively, readings
 from fieldwatch.plans.forecasting import _PERSIST, _average, _second
 from fieldwatch.session import materialize, table
 
@@ -306,6 +306,14 @@ def causal_baseline_q(spark: SparkSession, sf: str, step: int | None = None) ->
     return causal_baseline(g, "station", step or STEP).select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"))
 
 
+def native_causal_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """``causal_baseline`` of every station at its own cadence, all cadences in one pass."""
+    every = materialize(cadences(spark, sf), "cadences")
+    g = regular_grid(readings(spark, sf).join(every, "station"), "station", "s", "v", F.col("cadence_s"))
+    g = materialize(fill_gaps(g, "station").join(every, "station").select("station", "k", F.col("filled").alias("v"), "cadence_s"), "causal-in")
+    return causal_baseline(g, "station", "cadence_s").select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"), "cadence_s")
+
+
 FEATURES = ["m", "mean_6", "std_6", "max_18", "lag_1", "lag_6"]
 
 
@@ -378,7 +386,7 @@ QUERIES = {
     "merge_benchmarks": merge_benchmarks, "scenario_pick": scenario_pick, "chrono_split": chrono_split, "sanitize_features": sanitize_features, "keep_first": keep_first, "keep_last": keep_last, "months_covered": months_covered,
     "baseline_drift": baseline_drift, "harmonic_baseline": harmonic_baseline_q, "causal_baseline": causal_baseline_q, "gbt_forecast": gbt_forecast, "isotonic_calibration": isotonic_calibration,
 }
-QUERIES |= {f"native_{n}": natively(QUERIES[n]) for n in ("harmonic_baseline", "causal_baseline")}
+QUERIES |= {"native_harmonic_baseline": natively(harmonic_baseline_q), "native_causal_baseline": native_causal_baseline}
 SQL = {
     "quiet_tiers": CHECKED + "select u as unsettled, round(1.5 * u + 1e-9, 1) as active from (select greatest(1.0, round(quantile_cont(round(amp + 1e-9, 4), 0.99) + 1e-9, 1))::double as u from ck where gl = 0 and amp is not null)",
     "threshold_sweep": _SWEEP + " select * from sr", "best_threshold": _SWEEP + " select minor, major, severe, objective from sr order by objective, minor, major, severe limit 5",
