@@ -133,23 +133,16 @@ def harmonic_baseline(series: DataFrame, key: str, step_s: int, rule: BaselineRu
 
 
 def mean_deviations(r: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Median distance from the median of each row of ``r``, whose first ``n`` values in order are known and whose others are NaN.
+    """Median distance from the median of each row of ``r``, of which ``n`` values are known and the others NaN."""
+    at = np.arange(len(r))
 
-    Rows are sorted once: the nearest m values to the median stand side by side, so the m-th distance is found by halving.
-    """
-    s, at = np.sort(r, axis=1), np.arange(len(r))  # NaN comes last
-    med = 0.5 * (s[at, (n - 1) // 2] + s[at, n // 2])
-
-    def nearest(m: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros_like(n), n - 1 - m
-        while (lo < hi).any():
-            mid = (lo + hi) // 2
-            right = s[at, mid + m] - med >= med - s[at, mid]
-            lo, hi = np.where(right | (lo >= hi), lo, mid + 1), np.where(right, np.minimum(mid, hi), hi)
-        far = lambda a: np.maximum(med - s[at, a], s[at, a + m] - med)
-        return np.minimum(far(lo), far(np.maximum(lo - 1, 0)))
+    def middle(x: np.ndarray) -> np.ndarray:
+        x.sort(axis=1)  # NaN comes last
+        return 0.5 * (x[at, (n - 1) // 2] + x[at, n // 2])
 
-    return 0.5 * (nearest((n - 1) // 2) + nearest(n // 2))
+    s = r.copy()
+    s -= middle(s)[:, None]
+    return middle(np.abs(s, out=s))
 
 
 class TrailingFits:
@@ -180,7 +173,7 @@ class TrailingFits:
         some = np.flatnonzero(n >= max(self.rule.least_known * self.size, 12))
         x = np.where(ok, x, np.nan)
         windows = np.lib.stride_tricks.sliding_window_view(x, self.size) if len(some) else None
-        most = max(1, 65536 // self.size)
+        most = max(1, 32768 // self.size)
         for a in range(0, len(some), most):
             at = some[a:a + most]
             y = windows[first[at]]
@@ -203,7 +196,9 @@ class TrailingFits:
             if k:
                 limit = 3 * (1.4826 * mean_deviations(r, n) + 1e-12)
                 size = np.abs(r)
-                w = np.where(size > limit[:, None], 0.0001, np.where(size > rule.outlier, 0.01, ok))  # squares of the weights
+                w = ok.copy()
+                np.putmask(w, size > rule.outlier, 0.01)  # squares of the weights
+                np.putmask(w, size > limit[:, None], 0.0001)
             g = (w @ self.products)[:, self.pair]
             try:
                 inverse = np.linalg.inv(g)
@@ -229,92 +224,100 @@ class TrailingFits:
         return np.stack(cols, axis=1)
 
 
-def causal_baseline(series: DataFrame, key: str, step_s: int | str, rule: BaselineRule = BaselineRule()) -> DataFrame:
+def causal_baseline(series: DataFrame, key: str, step_s: int | str, rule: BaselineRule = BaselineRule(), fill: int = 0) -> DataFrame:
     """(key, k, baseline, residual) where every sample is judged by samples before it only.
 
     Every ``update_min`` minutes a curve with trend is fitted to the ``window_h`` hours before, if enough of them are known; it
     holds until the next. Blocks carry their history as halo, so fits of one series run side by side; fits are carried on
     where one is missing. Samples without a fit take the median of the window before them; NULL where nothing is known.
+
+    Rows of unknown v may be left out of ``series`` between a key's first and last, they come out all the same. The first ``fill``
+    samples of every gap are interpolated as by ``fill_gaps``, for which a block also gets the first known sample after it.
     ``step_s`` is the seconds of a step, or a LONG column that has them for each key and is returned too.
 
     Blocks are worked off once: only samples before a block's first fit are looked at again, with the last fit of the blocks
-    before, and only they get a median.
+    before, and only they get a median. ``series`` is read several times, so it should be a written table.
     """
     by_key = isinstance(step_s, str)
-    step = F.col(step_s) if by_key else F.lit(step_s).cast("long")
-    size = F.greatest(F.lit(12), F.bround(F.lit(rule.window_h * 3600.0) / step).cast("long"))
-    hop = F.greatest(F.lit(1), F.bround(F.lit(rule.update_min * 60.0) / step).cast("long"))
-    span = series.groupBy(key).agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
-    rows = series.join(span, key).select(key, "k", "v", (F.col("k") - F.col("k0")).alias("i"), (F.col("k1") - F.col("k0")).alias("_most"), step.alias("_step"), size.alias("_size"), hop.alias("_hop"))
+    step = F.max(step_s) if by_key else F.lit(step_s).cast("long")
+    geometry = {"_size": F.greatest(F.lit(12), F.bround(F.lit(rule.window_h * 3600.0) / F.col("_step")).cast("long")),
+                "_hop": F.greatest(F.lit(1), F.bround(F.lit(rule.update_min * 60.0) / F.col("_step")).cast("long"))}
     # window j begins at sample j * hop, its fit holds for samples size + j * hop on; blocks hold whole hops of these
-    length = F.floor(F.greatest(F.lit(4096), 4 * F.col("_size")) / F.col("_hop")) * F.col("_hop")
-    p = F.col("i") - F.col("_size")
-    final = F.floor(F.least(F.col("i"), F.col("_most") - F.col("_size")) / length)
-    cut = rows.withColumn("_own", F.floor(p / length)).withColumn("_block", F.explode(F.sequence("_own", F.greatest("_own", final))))
-    cut = cut.select(key, "_block", "k", "i", "v", "_step", (F.col("_block") == F.col("_own")).alias("_mine"))
-    done = T.StructType([series.schema[key], T.StructField("_block", T.LongType()), T.StructField("k", T.LongType()), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType()),
-                         T.StructField("_step", T.LongType()), T.StructField("curve", T.DoubleType()), T.StructField("med", T.DoubleType()),
+    span = series.groupBy(key).agg(F.min("k").alias("_k0"), F.max("k").alias("_k1"), step.alias("_step")).withColumns(geometry)
+    span = span.withColumn("_length", F.floor(F.greatest(F.lit(4096), 4 * F.col("_size")) / F.col("_hop")) * F.col("_hop"))
+    block = lambda k: F.floor((k - F.col("_k0") - F.col("_size")) / F.col("_length"))
+    rows = series.where("v is not null and not isnan(v)").select(key, "k", "v").join(span, key)
+    until = F.least(block(F.col("k") + F.col("_size") + fill), block(F.col("_k1")))
+    cut = rows.select(key, "k", "v", F.explode(F.sequence(block(F.col("k")), until)).alias("_block"))
+    blocks = span.select("*", F.explode(F.sequence(F.lit(-1).cast("long"), block(F.col("_k1")))).alias("_block"))
+    if fill:
+        firsts = rows.groupBy(key, block(F.col("k")).alias("_block")).agg(F.min("k").alias("_first"), F.min_by("v", "k").alias("_value"))
+        ahead = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+        blocks = blocks.join(firsts, [key, "_block"], "left").withColumns({"_next": F.last("_first", ignorenulls=True).over(ahead), "_then": F.last("_value", ignorenulls=True).over(ahead)})
+    else:
+        blocks = blocks.withColumns({"_next": F.lit(None).cast("long"), "_then": F.lit(None).cast("double")})
+    blocks = blocks.select(F.col(key).alias("_key"), F.col("_block").alias("_number"), "_k0", "_k1", "_step", "_length", "_next", "_then")
+    done = T.StructType([series.schema[key], T.StructField("_block", T.LongType()), T.StructField("_k0", T.LongType()), T.StructField("_step", T.LongType()), T.StructField("k", T.LongType()),
+                         T.StructField("v", T.DoubleType()), T.StructField("base", T.DoubleType()), T.StructField("_fitted", T.BooleanType()),
                          T.StructField("_ends", T.BooleanType()), T.StructField("_last", T.ArrayType(T.DoubleType()))])
-
     ready: dict[int, TrailingFits] = {}
 
-    def judge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        mine = part["_mine"].to_numpy(bool)
-        if not mine.any():
-            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in done})
-        seconds = int(part["_step"].iloc[0])
-        size, hop = max(12, round(rule.window_h * 3600.0 / seconds)), max(1, round(rule.update_min * 60.0 / seconds))
-        i = part["i"].to_numpy(np.int64)
-        i0 = i[0]
-        x = np.full(i[-1] - i0 + 1, np.nan)
-        x[i - i0] = part["v"].to_numpy(float)
-        own = part[mine]
-        i = i[mine]
-        curve, med, last = np.full(len(i), np.nan), np.full(len(i), np.nan), None
-        j = (i - size) // hop
-        starts = np.unique(j[j >= 0])
-        if len(starts):
-            # a block begins at its first window's first sample, unless readings begin later
-            short = max(0, i0 - starts[0] * hop)
-            padded = np.concatenate([np.full(short, np.nan), x])
-            if seconds not in ready:
-                ready[seconds] = TrailingFits(size, seconds, rule)
-            betas = ready[seconds].fit(padded, starts * hop - (i0 - short), i0 - short)
-            has = np.isfinite(betas).all(1)
-            used = np.maximum.accumulate(np.where(has, np.arange(len(starts)), -1))
-            fit = used[np.searchsorted(starts, np.maximum(j, starts[0]))]
-            told = (j >= 0) & (fit >= 0)
-            hours = i[told] * seconds / 3600.0
-            u = np.clip((i[told] - j[told] * hop) / (size - 1), -0.5, 1.5)
-            b = betas[fit[told]]
-            c = b[:, 0] + b[:, 1] * u + b[:, 2] * u * u
+    def judge(part: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        at = about.iloc[0]
+        k0, seconds, length, begin = int(at["_k0"]), int(at["_step"]), int(at["_length"]), int(at["_number"])
+        if seconds not in ready:
+            ready[seconds] = TrailingFits(max(12, round(rule.window_h * 3600.0 / seconds)), seconds, rule)
+        fits, hop = ready[seconds], max(1, round(rule.update_min * 60.0 / seconds))
+        size = fits.size
+        low, high = max(0, size + begin * length), min(size + (begin + 1) * length - 1, int(at["_k1"]) - k0)
+        i0 = low - size - fill  # before the series' start all is unknown
+        pos, value = part["k"].to_numpy(np.int64) - k0, part["v"].to_numpy(float)
+        order = np.argsort(pos)
+        pos, value = pos[order], value[order]
+        x = np.full(high - i0 + 1, np.nan)
+        x[pos - i0] = value
+        if fill and len(pos):
+            beyond = not pd.isna(at["_next"])
+            after, then = np.append(pos[1:], int(at["_next"]) - k0 if beyond else pos[-1] + 2 * fill + 1), np.append(value[1:], at["_then"] if beyond else value[-1])
+            n = after - pos - 1
+            for m in range(1, fill + 1):
+                some = (n >= m) & (pos + m <= high)
+                x[pos[some] + m - i0] = value[some] + (then[some] - value[some]) * m / (n[some] + 1)
+        i = np.arange(low, high + 1)
+        base, last, j = np.full(len(i), np.nan), None, (i - size) // hop
+        if j[-1] >= 0:
+            starts = np.arange(max(0, j[0]), j[-1] + 1)
+            betas = fits.fit(x, starts * hop - i0, i0)
+            used = np.maximum.accumulate(np.where(np.isfinite(betas).all(1), np.arange(len(starts)), -1))
+            fit = np.where(j >= 0, used[np.maximum(j - starts[0], 0)], -1)
+            told = fit >= 0
+            hours, u, b = i[told] * seconds / 3600.0, np.clip((i[told] - j[told] * hop) / (size - 1), -0.5, 1.5), betas[fit[told]]
+            curve = b[:, 0] + b[:, 1] * u + b[:, 2] * u * u
             for m, period in enumerate(PERIODS):
-                c = c + b[:, 3 + 2 * m] * np.sin(2 * np.pi / period * hours) + b[:, 4 + 2 * m] * np.cos(2 * np.pi / period * hours)
-            curve[told] = c
+                curve += b[:, 3 + 2 * m] * np.sin(2 * np.pi / period * hours) + b[:, 4 + 2 * m] * np.cos(2 * np.pi / period * hours)
+            base[told] = curve
             if used[-1] >= 0:
                 last = betas[used[-1]].tolist()
-        bare = np.flatnonzero(np.isnan(curve))
+        fitted = np.isfinite(base)
+        bare = np.flatnonzero(~fitted)
         if len(bare):
-            upto = i[bare[-1]] - i0
-            middle = np.concatenate([[np.nan], pd.Series(x[:upto]).rolling(size, min_periods=1).median().to_numpy()])
-            med[bare] = middle[i[bare] - i0]
+            middle = pd.Series(x[:i[bare[-1]] - i0]).rolling(size, min_periods=1).median().to_numpy()
+            base[bare] = middle[i[bare] - i0 - 1]
         ends = np.zeros(len(i), bool)
         ends[-1] = True
-        return pd.DataFrame({key: own[key], "_block": own["_block"], "k": own["k"], "i": i, "v": own["v"], "_step": own["_step"], "curve": curve, "med": med, "_ends": ends,
-                             "_last": pd.Series([None] * (len(i) - 1) + [last], index=own.index, dtype=object)})
+        return pd.DataFrame({key: at["_key"], "_block": begin, "_k0": k0, "_step": seconds, "k": i + k0, "v": x[low - i0:], "base": base, "_fitted": fitted, "_ends": ends,
+                             "_last": pd.Series([None] * (len(i) - 1) + [last], dtype=object)})
 
-    told = materialize(cut.groupBy(key, "_block").applyInPandas(judge, done), "causal")
-    out = [key, "k", F.coalesce("curve", "med").alias("baseline"), "v", F.col("_step").alias(step_s if by_key else "_step")]
+    told = materialize(cut.groupBy(key, "_block").cogroup(blocks.groupBy("_key", "_number")).applyInPandas(judge, done), "causal")
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     carried = told.where("_ends").select(key, "_block", F.last("_last", ignorenulls=True).over(before).alias("used")).where("used is not null")
     # samples of no fit of their own block: the last fit before it, with the trend of their own window
+    again = told.where("not _fitted").withColumns(geometry | {"i": F.col("k") - F.col("_k0")}).join(carried, [key, "_block"], "left")
     hours = F.col("i") * F.col("_step") / F.lit(3600.0)
-    again = told.where("curve is null").withColumns({"_size": F.greatest(F.lit(12), F.bround(F.lit(rule.window_h * 3600.0) / F.col("_step")).cast("long")), "_hop": F.greatest(F.lit(1), F.bround(F.lit(rule.update_min * 60.0) / F.col("_step")).cast("long"))})
-    u = F.greatest(F.lit(-0.5), F.least(F.lit(1.5), (F.col("i") - F.floor((F.col("i") - F.col("_size")) / F.col("_hop")) * F.col("_hop")) / (F.col("_size") - 1)))
+    u = F.greatest(F.lit(-0.5), F.least(F.lit(1.5), (F.pmod(F.col("i") - F.col("_size"), F.col("_hop")) + F.col("_size")) / (F.col("_size") - 1)))
     terms = [F.lit(1.0), u, u * u]
     for p in PERIODS:
         terms += [F.sin(F.lit(2 * np.pi / p) * hours), F.cos(F.lit(2 * np.pi / p) * hours)]
-    again = again.drop("curve").join(carried, [key, "_block"], "left").withColumn("curve", sum((F.col("used")[m] * t for m, t in enumerate(terms)), F.lit(0.0)))
-    every = told.where("curve is not null").select(*out).unionByName(again.select(*out))
-    return every.select(key, "k", "baseline", (F.col("v") - F.col("baseline")).alias("residual"), *([step_s] if by_key else []))
+    again = again.withColumn("base", F.coalesce(sum((F.col("used")[m] * t for m, t in enumerate(terms)), F.lit(0.0)), "base"))
+    every = told.where("_fitted").select(key, "k", "v", "base", "_step").unionByName(again.select(key, "k", "v", "base", "_step"))
+    return every.select(key, "k", F.col("base").alias("baseline"), (F.col("v") - F.col("base")).alias("residual"), *([F.col("_step").alias(step_s)] if by_key else []))

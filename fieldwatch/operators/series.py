@@ -22,11 +22,17 @@ def median_cadence(readings: DataFrame, key: str, seconds: str) -> DataFrame:
     return local.unionByName(steps).groupBy(key).agg(F.greatest(F.lit(1), F.floor(F.percentile("d", 0.5))).cast("long").alias("cadence_s"))
 
 
-def regular_grid(readings: DataFrame, key: str, seconds: str, value: str, step: int | Column, chunk: int = 4096) -> DataFrame:
-    """(key, k, v): one row for every period of ``step`` seconds between a key's first and last reading; v is the mean of the
-    period's values, NULL where there is none. NULL keys and times are left out. ``step`` may be a column, constant for a key."""
+def period_means(readings: DataFrame, key: str, seconds: str, value: str, step: int | Column) -> DataFrame:
+    """(key, k, v): means of the readings in periods of ``step`` seconds, which may be a column that is constant for a key; periods
+    without a reading have no row. NULL keys and times are left out."""
     k = F.floor(F.col(seconds) / step).cast("long")
-    means = readings.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).groupBy(key, k.alias("k")).agg(r9(F.avg(value)).alias("v"))
+    return readings.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).groupBy(key, k.alias("k")).agg(r9(F.avg(value)).alias("v"))
+
+
+def regular_grid(readings: DataFrame, key: str, seconds: str, value: str, step: int, chunk: int = 4096) -> DataFrame:
+    """(key, k, v): one row for every period of ``step`` seconds between a key's first and last reading; v is the mean of the
+    period's values, NULL where there is none. NULL keys and times are left out."""
+    means = period_means(readings, key, seconds, value, step)
     span = means.groupBy(key).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     parts = span.select(key, "lo", "hi", F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / chunk))).alias("c"))
     at = F.col("lo") + F.col("c") * chunk

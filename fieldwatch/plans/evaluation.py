@@ -11,7 +11,7 @@ from fieldwatch.operators import mlforecast as ml
 from fieldwatch.operators import sweep as sw
 from fieldwatch.operators.baseline import causal_baseline, harmonic_baseline
 from fieldwatch.operators.blocks import forward_fill, positions
-from fieldwatch.operators.series import asof_backward, fill_gaps, regular_grid, rolling
+from fieldwatch.operators.series import asof_backward, fill_gaps, period_means, rolling
 from fieldwatch.plans import activity
 from fieldwatch.plans.activity import CHECKED, FILL, FLAGS
 from fieldwatch.plans.base import STEP, bulletins, cadences, grid, natively, readings
@@ -309,9 +309,9 @@ def causal_baseline_q(spark: SparkSession, sf: str, step: int | None = None) ->
 def native_causal_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """``causal_baseline`` of every station at its own cadence, all cadences in one pass."""
     every = materialize(cadences(spark, sf), "cadences")
-    g = regular_grid(readings(spark, sf).join(every, "station"), "station", "s", "v", F.col("cadence_s"))
-    g = materialize(fill_gaps(g, "station").join(every, "station").select("station", "k", F.col("filled").alias("v"), "cadence_s"), "causal-in")
-    return causal_baseline(g, "station", "cadence_s").select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"), "cadence_s")
+    means = period_means(readings(spark, sf).join(every, "station"), "station", "s", "v", F.col("cadence_s"))
+    means = materialize(means.join(every, "station"), "causal-in")
+    return causal_baseline(means, "station", "cadence_s", fill=3).select("station", "k", r9("baseline").alias("baseline"), r9("residual").alias("residual"), "cadence_s")
 
 
 FEATURES = ["m", "mean_6", "std_6", "max_18", "lag_1", "lag_6"]
