@@ -158,7 +158,10 @@ class TrailingFits:
         self.q, self.r = np.linalg.qr(harmonics(m * step_s / 3600.0, (0.0, (size - 1) * step_s / 3600.0)))
         c = self.q.shape[1]
         one, other = np.triu_indices(c)
-        self.products = self.q[:, one] * self.q[:, other]
+        # products of two columns are sums of 37 curves (powers of time, harmonics, both), so few sums give all
+        u, s, v = np.linalg.svd(self.q[:, one] * self.q[:, other], full_matrices=False)
+        few = s > 1e-13 * s[0]
+        self.curves, self.mixed = u[:, few], s[few, None] * v[few]
         self.pair = np.zeros((c, c), int)
         self.pair[one, other] = self.pair[other, one] = np.arange(len(one))
         self.sound = np.linalg.cond(self.r) < 1e6
@@ -191,7 +194,7 @@ class TrailingFits:
         """Coefficients of the windows' own columns, and which can be relied on."""
         q, rule = self.q, self.rule
         ok, y0 = known.astype(float), np.where(known, y, 0.0)
-        w, good = ok, np.ones(len(y), bool)
+        w = ok
         for k in range(rule.passes):
             if k:
                 limit = 3 * (1.4826 * mean_deviations(r, n) + 1e-12)
@@ -199,17 +202,17 @@ class TrailingFits:
                 w = ok.copy()
                 np.putmask(w, size > rule.outlier, 0.01)  # squares of the weights
                 np.putmask(w, size > limit[:, None], 0.0001)
-            g = (w @ self.products)[:, self.pair]
+            g, b = (w @ self.curves @ self.mixed)[:, self.pair], (w * y0) @ q
             try:
-                inverse = np.linalg.inv(g)
+                if k < rule.passes - 1:
+                    r = y - np.linalg.solve(g, b[..., None])[..., 0] @ q.T
+                else:
+                    inverse = np.linalg.inv(g)
             except np.linalg.LinAlgError:
                 return np.zeros((len(y), q.shape[1])), np.zeros(len(y), bool)
-            good &= np.abs(g).sum(2).max(1) * np.abs(inverse).sum(2).max(1) < 1e8
-            beta = np.einsum("bij,bj->bi", inverse, (w * y0) @ q)
-            if k < rule.passes - 1:
-                r = y - beta @ q.T
+        beta = np.einsum("bij,bj->bi", inverse, b)
         beta += np.einsum("bij,bj->bi", inverse, (w * (y0 - beta @ q.T)) @ q)
-        return beta, good & np.isfinite(beta).all(1)
+        return beta, (np.abs(g).sum(2).max(1) * np.abs(inverse).sum(2).max(1) < 1e8) & np.isfinite(beta).all(1)
 
     def _since_start(self, local: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The same curves with the trend over the known part of each window and phases from the series' start."""
