@@ -308,7 +308,7 @@ def causal_baseline(series: DataFrame, key: str, step_s: int | str, rule: Baseli
             base[bare] = middle[i[bare] - i0 - 1]
         ends = np.zeros(len(i), bool)
         ends[-1] = True
-        return pd.DataFrame({key: at["_key"], "_block": begin, "_k0": k0, "_step": seconds, "k": i + k0, "v": x[low - i0:], "base": base, "_fitted": fitted, "_ends": ends,
+        return pd.DataFrame({key: about["_key"].iloc[0], "_block": begin, "_k0": k0, "_step": seconds, "k": i + k0, "v": x[low - i0:], "base": base, "_fitted": fitted, "_ends": ends,
                              "_last": pd.Series([None] * (len(i) - 1) + [last], dtype=object)})
 
     told = materialize(cut.groupBy(key, "_block").cogroup(blocks.groupBy("_key", "_number")).applyInPandas(judge, done), "causal")

@@ -121,3 +121,18 @@ def test_every_cadence_in_one_pass(spark, tmp_path):
         own = got[(got["station"] == s) & (got["cadence_s"] == c)].sort_values("k")
         assert np.allclose(own["baseline"].to_numpy(float), plainly(x, c), rtol=0, atol=1e-6, equal_nan=True)
         assert own["residual"].isna().sum() == 4  # three stay unknown, and nothing is before the first
+
+
+def test_no_readings_and_one(spark, tmp_path):
+    spark.createDataFrame([("MIN", 60), ("OTHER", 60)], "station string, cadence_s int").write.parquet(f"{tmp_path}/stations.parquet")
+    for n, rows in enumerate(([], [("MIN", datetime(2024, 5, 10, tzinfo=timezone.utc), 5.0), ("OTHER", datetime(2024, 5, 10, tzinfo=timezone.utc), None)])):
+        (at := tmp_path / str(n)).mkdir()
+        (at / "stations.parquet").symlink_to(tmp_path / "stations.parquet")
+        spark.createDataFrame(rows, "observatory string, ts timestamp, residual double").write.parquet(f"{at}/residuals.parquet")
+        got = registry.QUERIES["native_causal_baseline"](spark, str(at)).collect()
+        assert [(r.station, r.baseline, r.residual, r.cadence_s) for r in got] == [("MIN", None, None, 60)] * n
+
+
+def test_keys_that_are_large_numbers(spark):
+    df = spark.createDataFrame([(2**60 + 1, k, float(k % 3)) for k in range(40)], "station long, k long, v double")
+    assert {(r.station, r.k) for r in causal_baseline(df, "station", 600).collect()} == {(2**60 + 1, k) for k in range(40)}
